@@ -31,6 +31,7 @@ from ..operators import margin as M
 from ..operators import match as J
 from ..operators import reports as R
 from ..operators.joins import DEFAULT_MAX_BROADCAST_ROWS
+from .materialize import materialize
 
 
 def business_dedup(df: DataFrame, keys: Sequence[str],
@@ -90,13 +91,17 @@ def run_keyword(orders: DataFrame, products: DataFrame,
                 line_order_by: Sequence[str] | None = None,
                 stamp: str | None = "now",
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                roles: dict | None = None) -> KeywordRun:
+                roles: dict | None = None, materialize_cleaned: bool = True) -> KeywordRun:
     """Q4: keyword-schema run.  Roles are resolved once on the two input
-    schemas (before any join, so suffixes cannot be mistaken for roles)."""
+    schemas (before any join, so suffixes cannot be mistaken for roles).
+
+    The cleaned lines feed both the key-pair search and the final join, so
+    by default they are written once to the shared checkpoint folder and
+    read back (see ``plans.materialize``)."""
     r = dict(roles or {})
-    products = products if products is None else products
     cres = C.clean_keyword(orders, opts, OrderRoles.resolve(orders.columns, r.get("orders")))
-    mres = J.match_keyword(cres.cleaned, products, product_order_by, max_broadcast_rows,
+    cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
+    mres = J.match_keyword(cleaned, products, product_order_by, max_broadcast_rows,
                            dedup_after=True)
     mroles_in = MarginRoles.resolve(orders.columns, list(mres.product_names.keys()),
                                     r.get("margin"))
@@ -109,7 +114,7 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     dk = DedupRoles.resolve(in_cols, r.get("dedup")).keys
     keys = tuple(names[k] for k in dk if k in names)
     processed = business_dedup(margined, keys, line_order_by) if keys else margined
-    return KeywordRun(orders, cres.cleaned, cres.roles, mres, margined, processed, keys)
+    return KeywordRun(orders, cleaned, cres.roles, mres, margined, processed, keys)
 
 
 @dataclass

@@ -8,10 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "margin-engine") -> SparkSession:
+                app_name: str = "margin-engine",
+                driver_memory: str | None = None) -> SparkSession:
     """Build or get a session: AQE with partition coalescing and skew-join
     splitting, UTC session time, no UI.  A checkpoint directory is set only
-    when the cluster has not named one (local runs and tests)."""
+    when the cluster has not named one (local runs and tests).
+
+    In local mode the driver JVM is the only executor, so its heap is sized
+    (``driver_memory``, default 16g) when this call launches it."""
     b = (SparkSession.builder.appName(app_name)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
@@ -21,6 +25,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.session.timeZone", "UTC"))
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", driver_memory or "16g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

@@ -33,9 +33,8 @@ WITH src AS (
     p.p_name AS {q}商品名称{q},
     CASE WHEN l.l_linenumber = 7 THEN '0.00'
          WHEN l.l_partkey % 97 = 0 THEN 'n/a'
-         ELSE CAST(CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(18,2))
-                              * (1 - CAST(l.l_discount AS DECIMAL(18,2))), 2)
-                        AS DECIMAL(18,2)) AS STRING) END AS {q}买家实付{q},
+         ELSE CAST(CAST(FLOOR(amount_units / 100) AS BIGINT) AS STRING) || '.'
+              || LPAD(CAST(amount_units % 100 AS STRING), 2, '0') END AS {q}买家实付{q},
     CASE WHEN l.l_partkey % 50 = 0 THEN CAST(NULL AS STRING)
          ELSE CAST(l.l_quantity AS STRING) END AS {q}数量{q},
     CASE WHEN o.o_orderstatus = 'F' THEN '关闭'
@@ -49,19 +48,31 @@ WITH src AS (
     l.l_linestatus AS {q}规格{q},
     CAST(o.o_orderdate AS DATE) AS {q}下单时间{q},
     l.l_suppkey AS repeat_key
-  FROM {lineitem} l
+  FROM (SELECT *,
+          -- net amount in cents, half-up: price cents x (100 - discount %) / 100
+          CAST(FLOOR((CAST(FLOOR(l_extendedprice * 100 + 0.5) AS BIGINT)
+                      * (100 - CAST(FLOOR(l_discount * 100 + 0.5) AS BIGINT)) + 50) / 100.0)
+               AS BIGINT) AS amount_units
+        FROM {lineitem}) l
   JOIN {orders} o ON l.l_orderkey = o.o_orderkey
   JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
   JOIN {part} p ON l.l_partkey = p.p_partkey
 )
-SELECT {q}订单号{q}, {q}店铺名称{q}, {q}商品编码{q}, {q}商品名称{q}, {q}买家实付{q}, {q}数量{q},
-       {q}线上订单状态{q}, {q}明细状态{q}, {q}订单标记{q}, {q}规格{q}, {q}下单时间{q}
+{repeat}
+"""
+
+_LINE_SELECT = """SELECT {q}订单号{q}, {q}店铺名称{q}, {q}商品编码{q}, {q}商品名称{q}, {q}买家实付{q},
+       {q}数量{q}, {q}线上订单状态{q}, {q}明细状态{q}, {q}订单标记{q}, {q}规格{q}, {q}下单时间{q}"""
+
+# Lines whose supplier key is a multiple of 10 appear twice.  Spark emits the
+# copy with a generator in the same pass; DuckDB with a UNION ALL.  Same rows.
+REPEAT_SPARK = _LINE_SELECT + """
+FROM src LATERAL VIEW explode(sequence(1, CASE WHEN repeat_key % 10 = 0 THEN 2 ELSE 1 END)) r AS copy_no"""
+REPEAT_DUCKDB = _LINE_SELECT + """
 FROM src
 UNION ALL
-SELECT {q}订单号{q}, {q}店铺名称{q}, {q}商品编码{q}, {q}商品名称{q}, {q}买家实付{q}, {q}数量{q},
-       {q}线上订单状态{q}, {q}明细状态{q}, {q}订单标记{q}, {q}规格{q}, {q}下单时间{q}
-FROM src WHERE repeat_key % 10 = 0
-"""
+""" + _LINE_SELECT + """
+FROM src WHERE repeat_key % 10 = 0"""
 
 CATALOG_SQL = """
 SELECT CAST(p_partkey AS STRING) AS {q}商家编码{q}, p_name AS {q}商品{q}, p_brand AS {q}SKU{q},
@@ -87,11 +98,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spark_sql_text(template: str) -> str:
-    return template.replace("{q}", "`")
+    return template.replace("{repeat}", REPEAT_SPARK).replace("{q}", "`")
 
 
 def duckdb_sql_text(template: str) -> str:
-    text = template.replace("{q}", '"')
+    text = template.replace("{repeat}", REPEAT_DUCKDB).replace("{q}", '"')
     return text.format(lineitem="lineitem", orders="orders", supplier="supplier", part="part")
 
 
