@@ -119,18 +119,19 @@ class CleanResult:
 
 def clean_keyword(orders: DataFrame, opts: CleanOptions | None = None,
                   roles: OrderRoles | None = None, exact_dedup_first: bool = True,
-                  order_filter: bool = True) -> CleanResult:
+                  order_filter: bool = True,
+                  line_order_by: tuple[str, ...] | list[str] | None = None) -> CleanResult:
     """Q1: keyword-schema cleaning.
 
     D1 exact dedup -> amount coercion -> mark/status predicates -> order-level
     amount filter (or the row-level fallback without an order id) -> shop
     filter.  ``order_filter=False`` returns the lines before the order-level
-    test (used by the full run, which applies it after the business dedup;
-    the test removes whole orders so the two commute).
+    test.  ``line_order_by`` names ordering columns (file position) that the
+    exact dedup ignores when comparing rows.
     """
     opts = opts or CleanOptions()
     roles = roles or OrderRoles.resolve(orders.columns)
-    d1 = exact_dedup(orders) if exact_dedup_first else orders
+    d1 = exact_dedup(orders, line_order_by) if exact_dedup_first else orders
     typed = coerce_amount(d1, roles.amount)
     base = typed.filter(all_of(keyword_predicates(roles, opts)))
     if roles.amount and roles.order_id:

@@ -51,9 +51,24 @@ def row_order(df: DataFrame, order_by: Sequence[str] | None = None,
     return [_c(c).asc_nulls_first() for c in first + rest]
 
 
-def exact_dedup(df: DataFrame) -> DataFrame:
-    """Drop fully identical rows (nulls compare equal)."""
-    return df.dropDuplicates()
+def exact_dedup(df: DataFrame, keep_first_by: Sequence[str] | None = None) -> DataFrame:
+    """Drop fully identical rows (nulls compare equal).
+
+    ``keep_first_by`` names ordering columns (e.g. a file-position column)
+    that are not part of the row's identity: rows equal on every other
+    column are copies, and the copy with the smallest ordering value stays.
+    """
+    order = [c for c in (keep_first_by or []) if c in df.columns]
+    if not order:
+        return df.dropDuplicates()
+    data = [c for c in df.columns if c not in order]
+    if len(order) == 1:
+        first = F.min(_c(order[0])).alias(order[0])
+        return df.groupBy(*[_c(c) for c in data]).agg(first).select(*[_c(c) for c in df.columns])
+    packed = F.min(F.struct(*[_c(c) for c in order])).alias("__o")
+    return (df.groupBy(*[_c(c) for c in data]).agg(packed)
+            .select(*[_c(c) for c in data], *[F.col(f"__o.`{c}`").alias(c) for c in order])
+            .select(*[_c(c) for c in df.columns]))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str],

@@ -99,7 +99,8 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     by default they are written once to the shared checkpoint folder and
     read back (see ``plans.materialize``)."""
     r = dict(roles or {})
-    cres = C.clean_keyword(orders, opts, OrderRoles.resolve(orders.columns, r.get("orders")))
+    cres = C.clean_keyword(orders, opts, OrderRoles.resolve(orders.columns, r.get("orders")),
+                           line_order_by=line_order_by)
     cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
     mres = J.match_keyword(cleaned, products, product_order_by, max_broadcast_rows,
                            dedup_after=True)
