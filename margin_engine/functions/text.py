@@ -37,10 +37,11 @@ def contains_ignore_case(col: Column | str, term: str) -> Column:
 def money_display(col: Column | str) -> Column:
     """``¥`` with two decimals; null shows as empty text."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.format_string("¥%.2f", c), F.lit(""))
+    # format_string renders a null argument as text, so guard it explicitly.
+    return F.when(c.isNull(), F.lit("")).otherwise(F.format_string("¥%.2f", c))
 
 
 def percent_display(col: Column | str) -> Column:
     """Margin fraction as a percentage with one decimal; null shows as ''."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.format_string("%.1f%%", c * F.lit(100.0)), F.lit(""))
+    return F.when(c.isNull(), F.lit("")).otherwise(F.format_string("%.1f%%", c * F.lit(100.0)))

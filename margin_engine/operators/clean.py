@@ -10,7 +10,8 @@ Scale notes
   collapses to one partial row per task) followed by a ``left_semi`` join of
   the lines against the qualifying order ids.  A window over the order id
   would put every line of a hot order into one task.  The semi join is a
-  sort-merge join whose large side AQE can split when one order is hot.
+  sort-merge join whose line side AQE splits when one order is hot
+  (``SortMergeJoin(skew=true)``, see ``tests/test_plans.py``).
 * The shop filter is applied *after* the order sum (an order can span
   several shops); Catalyst still pushes it below the semi join on the line
   side, which is legal because the sums branch is separate.
@@ -94,12 +95,17 @@ def keep_positive_orders(lines: DataFrame, base: DataFrame, order_id: str,
     """A1: keep every line of orders whose summed amount over ``base`` is > 0.
 
     ``lines`` is a row-filtered subset of ``base`` (or ``base`` itself).
+
+    The sums are grouped by the one-field *struct* of the order id, so their
+    output is not already partitioned on the join key: both join inputs then
+    arrive through their own shuffle, which is the shape AQE's skew-join
+    rule needs to split the line side of a hot order into several tasks.
     """
-    qualifying = (base.groupBy(_c(order_id))
+    qualifying = (base.groupBy(F.struct(_c(order_id)).alias("__k"))
                   .agg(F.sum(_c(amount).cast(MONEY)).alias("_sum"))
-                  .filter((F.col("_sum") > 0) & _c(order_id).isNotNull())
-                  .select(_c(order_id)))
-    return lines.join(qualifying, on=order_id, how="left_semi")
+                  .filter((F.col("_sum") > 0) & F.col(f"__k.`{order_id}`").isNotNull())
+                  .select(F.col(f"__k.`{order_id}`").alias("__oid")))
+    return lines.join(qualifying, _c(order_id) == F.col("__oid"), "left_semi")
 
 
 def shop_filter(df: DataFrame, shop: str | None, selected: tuple[str, ...] | None) -> DataFrame:

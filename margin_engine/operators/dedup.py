@@ -75,11 +75,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
                   order_by: Sequence[str] | None = None) -> DataFrame:
     """First row per key combination by the given order.
 
-    Null key values group together.
+    Null key values group together.  The window is partitioned by the *tuple*
+    of the keys: the operator always gets its own exchange with the partial
+    group limit below it (instead of inheriting a partitioning on a subset of
+    the keys), and its output is not partitioned on the bare key, so a later
+    shuffle join on the key sees a direct shuffle on this side.
     """
     if not keys:
         return df
-    w = Window.partitionBy(*[_c(k) for k in keys]).orderBy(
+    w = Window.partitionBy(F.struct(*[_c(k) for k in keys])).orderBy(
         *row_order(df, order_by, exclude=keys))
     return (df.withColumn("__rn", F.row_number().over(w))
             .filter(F.col("__rn") == 1).drop("__rn"))

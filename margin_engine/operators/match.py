@@ -89,6 +89,7 @@ class MatchResult:
     order_names: dict[str, str] = field(default_factory=dict)    # input name -> output name
     product_names: dict[str, str] = field(default_factory=dict)
     broadcast: bool = False
+    pre_dedup: DataFrame | None = None      # joined rows before D3
 
 
 def _rename_clashes(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
@@ -141,9 +142,10 @@ def match_first(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
         "match_status",
         F.when(F.col("__matched"), F.lit(K.MATCH_MATCHED)).otherwise(F.lit(K.MATCH_UNMATCHED))
     ).drop("__matched")
+    pre = out
     if dedup_after:
         out = exact_dedup(out)
-    return MatchResult(out, "matched", (p_key, o_key), 0, o_names, p_names, bc)
+    return MatchResult(out, "matched", (p_key, o_key), 0, o_names, p_names, bc, pre)
 
 
 def match_fanout(orders: DataFrame, products: DataFrame,
@@ -163,11 +165,18 @@ def match_fanout(orders: DataFrame, products: DataFrame,
                        o_names, p_names, bc)
 
 
-def unmatched_lines(orders: DataFrame, products: DataFrame, o_key: str, p_key: str) -> DataFrame:
-    """Order lines with no catalogue key (anti join; null keys never match)."""
+def unmatched_lines(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
+                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Order lines with no catalogue key (anti join; null keys never match).
+
+    The distinct catalogue keys are broadcast under the row bound; above it
+    they are grouped by a struct so the anti join's key side is a direct
+    shuffle and AQE can split a hot code on the line side."""
     o = orders.withColumn(o_key, strip_key(_c(o_key)))
-    p_keys = (products.select(strip_key(_c(p_key)).alias("__pkey"))
-              .filter(F.col("__pkey").isNotNull()).distinct())
+    p_keys = (products.select(F.struct(strip_key(_c(p_key)).alias("k")).alias("__s"))
+              .filter(F.col("__s.k").isNotNull()).distinct()
+              .select(F.col("__s.k").alias("__pkey")))
+    p_keys, _ = bounded_broadcast(p_keys, max_broadcast_rows)
     return o.join(p_keys, _c(o_key) == F.col("__pkey"), "left_anti")
 
 
@@ -197,3 +206,13 @@ def match_keyword(orders: DataFrame, products: DataFrame,
                       max_broadcast_rows, dedup_after)
     res.matched_lines = hits
     return res
+
+
+def without_post_join_dedup(res: MatchResult) -> DataFrame:
+    """The joined rows of ``res`` before D3 (exact dedup after the join).
+
+    Used under a keep-first-per-key dedup, which already collapses exact
+    copies (they share every key and are interchangeable), so the full-width
+    shuffle of D3 would be wasted there.
+    """
+    return res.pre_dedup if res.pre_dedup is not None else res.df

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -37,12 +37,7 @@ from .materialize import materialize
 def business_dedup(df: DataFrame, keys: Sequence[str],
                    order_by: Sequence[str] | None = None) -> DataFrame:
     """First row per business key (order id, SKU, spec), nulls grouped."""
-    if not keys:
-        return df
-    tup = F.struct(*[F.col(f"`{k}`") for k in keys])
-    w = Window.partitionBy(tup).orderBy(*D.row_order(df, order_by, exclude=keys))
-    return (df.withColumn("__rn", F.row_number().over(w))
-            .filter(F.col("__rn") == 1).drop("__rn"))
+    return D.first_per_key(df, keys, order_by)
 
 
 @dataclass
@@ -114,7 +109,13 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     in_cols = list(orders.columns) + list(mres.product_names.keys())
     dk = DedupRoles.resolve(in_cols, r.get("dedup")).keys
     keys = tuple(names[k] for k in dk if k in names)
-    processed = business_dedup(margined, keys, line_order_by) if keys else margined
+    if keys:
+        # D4 keeps one row per key; exact copies share the key and are equal,
+        # so it subsumes the post-join exact dedup: skip that shuffle here.
+        pre = M.margin_keyword(J.without_post_join_dedup(mres), mroles, stamp)
+        processed = business_dedup(pre, keys, line_order_by)
+    else:
+        processed = margined
     return KeywordRun(orders, cleaned, cres.roles, mres, margined, processed, keys)
 
 
