@@ -406,6 +406,8 @@ def build() -> dict[str, str]:
            f"'total_profit': {dec.format(rnd('total_profit', 4))}, "
            f"'avg_margin': {dec.format(rnd('avg_margin', 4))}}}) AS json FROM ("
            + o["shop_rollup"].split("\n")[-1] + ")")
+    # The streamed detail must equal the batch detail.
+    o["stream_ingest"] = o["business_dedup"]
     return o
 
 

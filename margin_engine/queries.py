@@ -260,6 +260,23 @@ def export_roundtrip(spark, sf):
     return spark.read.parquet(res.paths["detail"])
 
 
+def stream_ingest(spark, sf):
+    """The order lines arrive as two exports (whole orders each) in a landing
+    folder under the shared checkpoint folder; the streaming ingest processes
+    each arrival; the result is the accumulated detail sink."""
+    from .streaming.ingest import StreamPaths, start_ingest
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    paths = StreamPaths(f"{base}/landing", f"{base}/sink", f"{base}/checkpoint")
+    lines, products = _lines(spark, sf), _products(spark, sf)
+    part = F.pmod(F.xxhash64(F.col("`订单号`")), F.lit(2))
+    for i in (0, 1):
+        lines.filter(part == i).write.parquet(f"{paths.landing}/export_{i}")
+        q = start_ingest(spark, paths, lines.schema, products,
+                         product_order_by=list(PRODUCT_ORDER), available_now=True)
+        q.awaitTermination()
+    return spark.read.parquet(paths.detail).drop("batch_id", "processed_at")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_keyword": clean_keyword,
     "clean_fixed": clean_fixed,
@@ -303,4 +320,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "safe_json": safe_json,
     "file_catalogue": file_catalogue,
     "export_roundtrip": export_roundtrip,
+    "stream_ingest": stream_ingest,
 }
