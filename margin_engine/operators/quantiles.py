@@ -30,8 +30,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 128
-SMALL = 200_000
+SPLITS = 64
+SMALL = 4_000_000
 ACCURACY = 10_000
 
 
@@ -39,7 +39,7 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _interval_filter(lo: float | None, hi: float | None) -> Column:
+def _interval(lo: float | None, hi: float | None) -> Column:
     cond = F.lit(True)
     if lo is not None:
         cond = cond & (F.col("v") > F.lit(lo))
@@ -48,19 +48,40 @@ def _interval_filter(lo: float | None, hi: float | None) -> Column:
     return cond
 
 
-def _rank_small(sub: DataFrame, ranks: Sequence[int]) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of a bounded frame ``sub`` (column ``v``)."""
-    vc = sub.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _bucket(pts: Sequence[float], lo: int = 0, hi: int | None = None) -> Column:
+    """Index of the first split point >= v (len(pts) when none): a balanced
+    CASE tree, log2(len(pts)) comparisons per row inside codegen."""
+    hi = len(pts) if hi is None else hi
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.col("v") <= F.lit(pts[mid]), _bucket(pts, lo, mid)).otherwise(
+        _bucket(pts, mid + 1, hi))
+
+
+def _rank_intervals(vals: DataFrame, items: list) -> dict[int, float]:
+    """Rank inside several bounded intervals in one job (one window partition
+    per interval, each holding at most ``small`` values)."""
+    tag = F.lit(None).cast("int")
+    for i, (lo, hi, _, _, _) in reversed(list(enumerate(items))):
+        tag = F.when(_interval(lo, hi), F.lit(i)).otherwise(tag)
+    vc = (vals.withColumn("item", tag).filter(F.col("item").isNotNull())
+          .groupBy("item", "v").agg(F.count(F.lit(1)).alias("n")))
+    w = (Window.partitionBy("item").orderBy("v")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = vc.withColumn("cum", F.sum("n").over(w)).withColumn("prev", F.col("cum") - F.col("n"))
     hit = F.lit(False)
-    for r in ranks:
-        hit = hit | ((F.col("prev") <= F.lit(r)) & (F.lit(r) < F.col("cum")))
-    rows = cum.filter(hit).select("v", "prev", "cum").collect()
-    out = {}
-    for r in ranks:
-        for row in rows:
-            if row["prev"] <= r < row["cum"]:
+    for i, (_, _, offset, _, rs) in enumerate(items):
+        for r in rs:
+            rr = r - offset
+            hit = hit | ((F.col("item") == F.lit(i)) & (F.col("prev") <= F.lit(rr))
+                         & (F.lit(rr) < F.col("cum")))
+    rows = cum.filter(hit).select("item", "v", "prev", "cum").collect()
+    out: dict[int, float] = {}
+    for row in rows:
+        _, _, offset, _, rs = items[row["item"]]
+        for r in rs:
+            if row["prev"] <= r - offset < row["cum"]:
                 out[r] = row["v"]
     return out
 
@@ -69,43 +90,48 @@ def _select_ranks(vals: DataFrame, ranks: Sequence[int], n: int,
                   small: int, splits: int) -> dict[int, float]:
     """Order statistics of ``vals`` (column ``v``, no nulls, ``n`` rows)."""
     result: dict[int, float] = {}
-    # Work items: (lo, hi, offset, count, ranks) with interval (lo, hi) open.
+    # Work items: (lo, hi, offset, count, ranks); interval (lo, hi) open.
     work = [(None, None, 0, n, sorted(set(ranks)))]
     while work:
-        lo, hi, offset, count, rs = work.pop()
-        sub = vals.filter(_interval_filter(lo, hi))
-        if count <= small:
-            local = _rank_small(sub, [r - offset for r in rs])
+        done = [w for w in work if w[3] <= small]
+        if done:
+            result.update(_rank_intervals(vals, done))
+        nxt = []
+        for lo, hi, offset, count, rs in (w for w in work if w[3] > small):
+            sub = vals.filter(_interval(lo, hi))
+            probs = [i / splits for i in range(1, splits)]
+            pts = sub.agg(F.percentile_approx("v", probs, ACCURACY).alias("s")).collect()[0]["s"]
+            pts = sorted(set(float(x) for x in pts))
+            counts = (sub.withColumn("b", _bucket(pts))
+                      .groupBy("b").agg(F.count(F.lit(1)).alias("n"),
+                                        F.count_if(F.col("v") == F.element_at(
+                                            F.lit(pts + [None]).cast("array<double>"),
+                                            F.col("b") + 1)).alias("eq"))
+                      .collect())
+            per = {r["b"]: (r["n"], r["eq"]) for r in counts}
+            le, lt, run = [], [], 0
+            for j in range(len(pts)):
+                nj, eqj = per.get(j, (0, 0))
+                run += nj
+                le.append(run)
+                lt.append(run - eqj)
+            groups: dict[int, list[int]] = {}
             for r in rs:
-                result[r] = local[r - offset]
-            continue
-        probs = [i / splits for i in range(1, splits)]
-        pts = sub.agg(F.percentile_approx("v", probs, ACCURACY).alias("s")).collect()[0]["s"]
-        pts = sorted(set(float(x) for x in pts))
-        aggs = []
-        for i, s in enumerate(pts):
-            aggs += [F.count_if(F.col("v") < F.lit(s)).alias(f"lt{i}"),
-                     F.count_if(F.col("v") <= F.lit(s)).alias(f"le{i}")]
-        row = sub.agg(*aggs).collect()[0]
-        lt = [row[f"lt{i}"] for i in range(len(pts))]
-        le = [row[f"le{i}"] for i in range(len(pts))]
-        groups: dict[int, list[int]] = {}
-        for r in rs:
-            rr = r - offset
-            j = next((k for k in range(len(pts)) if le[k] > rr), None)
-            if j is not None and lt[j] <= rr:
-                result[r] = pts[j]          # the split point itself holds this rank
-                continue
-            groups.setdefault(-1 if j is None else j, []).append(r)
-        for j, grp in groups.items():
-            if j == -1:
-                new_lo = pts[-1] if pts else lo
-                base = le[-1] if pts else 0
-                work.append((new_lo, hi, offset + base, count - base, grp))
-            else:
-                new_lo = pts[j - 1] if j > 0 else lo
-                base = le[j - 1] if j > 0 else 0
-                work.append((new_lo, pts[j], offset + base, lt[j] - base, grp))
+                rr = r - offset
+                j = next((k for k in range(len(pts)) if le[k] > rr), None)
+                if j is not None and lt[j] <= rr:
+                    result[r] = pts[j]          # the split point itself holds this rank
+                    continue
+                groups.setdefault(-1 if j is None else j, []).append(r)
+            for j, grp in groups.items():
+                if j == -1:
+                    base = le[-1] if pts else 0
+                    nxt.append((pts[-1] if pts else lo, hi, offset + base, count - base, grp))
+                else:
+                    base = le[j - 1] if j > 0 else 0
+                    nxt.append((pts[j - 1] if j > 0 else lo, pts[j], offset + base,
+                                lt[j] - base, grp))
+        work = nxt
     return result
 
 

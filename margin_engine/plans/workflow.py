@@ -64,20 +64,26 @@ class KeywordRun:
         return D.dedup_stats(self.margined, self.processed, self.dedup_keys)
 
     def counters(self) -> DataFrame:
-        """A11 + A12 as a long (counter, value) table."""
-        spark = self.orders.sparkSession
+        """A11 + A12 as a long (counter, value) table: one aggregate per frame."""
         oid = self.clean_roles.order_id
         final_oid = self.match.order_names.get(oid, oid) if oid else None
-        pairs = [("original_lines", self.orders.agg(F.count(F.lit(1)))),
-                 ("cleaned_lines", self.cleaned.agg(F.count(F.lit(1))))]
-        if oid:
-            pairs += [("original_orders", self.orders.agg(F.count_distinct(F.col(f"`{oid}`")))),
-                      ("cleaned_orders_after_clean",
-                       self.cleaned.agg(F.count_distinct(F.col(f"`{oid}`"))))]
-        pairs += [("cleaned_orders", self.processed.agg(F.count_distinct(F.col(f"`{final_oid}`")))
-                   if final_oid else spark.range(1).select(F.lit(0))),
-                  ("matched_lines", self.processed.agg(F.count(F.lit(1))))]
-        return R.counters_frame(spark, pairs)
+
+        def stats(df: DataFrame, key: str | None, lines: str, orders: str) -> DataFrame:
+            aggs = [F.count(F.lit(1)).cast("long").alias(lines)]
+            if key:
+                aggs.append(F.count_distinct(F.col(f"`{key}`")).cast("long").alias(orders))
+            one = df.agg(*aggs)
+            names = [lines] + ([orders] if key else [])
+            return one.select(F.explode(F.array(*[
+                F.struct(F.lit(n).alias("counter"), F.col(n).alias("value")) for n in names]))
+                .alias("s")).select("s.*")
+
+        out = stats(self.orders, oid, "original_lines", "original_orders")
+        out = out.unionByName(stats(self.cleaned, oid, "cleaned_lines",
+                                    "cleaned_orders_after_clean"))
+        out = out.unionByName(stats(self.processed, final_oid, "matched_lines",
+                                    "cleaned_orders"))
+        return out
 
 
 def run_keyword(orders: DataFrame, products: DataFrame,

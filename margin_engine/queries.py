@@ -23,6 +23,7 @@ from .operators import profile as P
 from .operators import reports as R
 from .plans import export as X
 from .plans import workflow as W
+from .plans.materialize import materialize
 from .session import ensure_checkpoint_dir
 from .sources import files as S
 from .sources import fixtures as FX
@@ -47,6 +48,11 @@ def _cleaned(spark, sf, opts=None) -> DataFrame:
     return C.clean_keyword(_lines(spark, sf), opts).cleaned
 
 
+def _cleaned_shared(spark, sf) -> DataFrame:
+    """Cleaned lines read by two jobs (key search and join): written once."""
+    return materialize(_cleaned(spark, sf), "cleaned")
+
+
 def _run(spark, sf) -> W.KeywordRun:
     return W.run_keyword(_lines(spark, sf), _products(spark, sf),
                          product_order_by=PRODUCT_ORDER, stamp=None)
@@ -94,7 +100,7 @@ def match_fanout(spark, sf):
 
 
 def match_first(spark, sf):
-    return J.match_keyword(_cleaned(spark, sf), _products(spark, sf), PRODUCT_ORDER).df
+    return J.match_keyword(_cleaned_shared(spark, sf), _products(spark, sf), PRODUCT_ORDER).df
 
 
 def match_key_search(spark, sf):
@@ -111,11 +117,11 @@ def unmatched_lines(spark, sf):
 def match_fallback(spark, sf):
     # A catalogue whose only key candidate (SKU) shares no value with the codes.
     products = _products(spark, sf).drop(K.V1_PRODUCT_KEY)
-    return J.match_keyword(_cleaned(spark, sf), products, PRODUCT_ORDER).df
+    return J.match_keyword(_cleaned_shared(spark, sf), products, PRODUCT_ORDER).df
 
 
 def post_join_dedup(spark, sf):
-    joined = J.match_keyword(_cleaned(spark, sf), _products(spark, sf), PRODUCT_ORDER,
+    joined = J.match_keyword(_cleaned_shared(spark, sf), _products(spark, sf), PRODUCT_ORDER,
                              dedup_after=False).df
     rep = D.duplicate_report(joined)
     return rep.select(F.col("total_rows").alias("rows_before"),
