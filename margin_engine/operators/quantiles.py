@@ -171,17 +171,22 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     """Rows ``(column, p, value)``: exact quantiles with linear interpolation
     at position ``p * (n - 1)`` over the non-null values; null when empty."""
     spark = df.sparkSession
-    stats = df.agg(*[F.count(_c(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-                   *[F.approx_count_distinct(_c(c)).alias(f"d{i}")
-                     for i, c in enumerate(columns)]).collect()[0]
+    stats = df.agg(*[F.count(_c(c)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
     counts = {c: int(stats[f"n{i}"]) for i, c in enumerate(columns)}
+    # A row count within the bound also bounds the distinct values; only
+    # larger columns pay for a distinct-count estimate.
+    big = [c for c in columns if counts[c] > small]
+    distinct = {c: counts[c] for c in columns if c not in big}
+    if big:
+        est = df.agg(*[F.approx_count_distinct(_c(c)).alias(f"d{i}")
+                       for i, c in enumerate(big)]).collect()[0]
+        distinct.update({c: int(est[f"d{i}"]) for i, c in enumerate(big)})
     positions = {c: {p: p * (counts[c] - 1) for p in probabilities} for c in columns}
     ranks = {c: sorted({math.floor(x) for x in positions[c].values()}
                        | {math.ceil(x) for x in positions[c].values()}) for c in columns}
     live = [c for c in columns if counts[c] > 0]
     # Distinct estimate has ~5% error; leave headroom under the bound.
-    direct = [c for i, c in enumerate(columns)
-              if c in live and int(stats[f"d{i}"]) * 1.25 <= small]
+    direct = [c for c in live if (distinct[c] if c not in big else distinct[c] * 1.25) <= small]
     at: dict[tuple[str, int], float] = {}
     if direct:
         at.update(_rank_direct(df, direct, ranks))
