@@ -22,20 +22,27 @@ def result_page(df: DataFrame, n: int = 100, order_by: Sequence[str] | None = No
     return df.orderBy(*row_order(df, order_by)).limit(n)
 
 
-def priority_preview(df: DataFrame, n: int = 10, extra: int = 2) -> DataFrame:
-    """For each priority keyword its first containing column, then the
-    first ``extra`` other columns; first ``n`` rows."""
+def priority_columns(columns: Sequence[str], extra: int = 2) -> list[str]:
+    """P13 column choice: per priority keyword its first containing column,
+    then the first ``extra`` other columns."""
     chosen: list[str] = []
     for kw in PREVIEW_PRIORITY:
-        c = first_column(df.columns, (kw,))
+        c = first_column(columns, (kw,))
         if c and c not in chosen:
             chosen.append(c)
-    chosen += [c for c in df.columns if c not in chosen][:extra]
-    return df.select([F.col(f"`{c}`") for c in chosen]).limit(n)
+    return chosen + [c for c in columns if c not in chosen][:extra]
 
 
-def fixed_preview(df: DataFrame, n: int = 10) -> DataFrame:
-    """Fixed named columns (those present) with display formatting (F16)."""
+def priority_preview(df: DataFrame, n: int = 10, extra: int = 2,
+                     order_by: Sequence[str] | None = None) -> DataFrame:
+    """The priority columns of the first ``n`` rows (full-row order)."""
+    chosen = priority_columns(df.columns, extra)
+    return result_page(df, n, order_by).select([F.col(f"`{c}`") for c in chosen])
+
+
+def fixed_preview(df: DataFrame, n: int = 10, order_by: Sequence[str] | None = None) -> DataFrame:
+    """Fixed named columns (those present) of the first ``n`` rows
+    (full-row order) with display formatting (F16)."""
     cols = []
     for c in FIXED_PREVIEW_COLUMNS:
         if c not in df.columns:
@@ -46,4 +53,4 @@ def fixed_preview(df: DataFrame, n: int = 10) -> DataFrame:
         elif c == "margin":
             col = percent_display(col)
         cols.append(col.alias(c))
-    return df.select(*cols).limit(n)
+    return result_page(df, n, order_by).select(*cols)

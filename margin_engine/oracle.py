@@ -406,6 +406,19 @@ def build() -> dict[str, str]:
            f"'total_profit': {dec.format(rnd('total_profit', 4))}, "
            f"'avg_margin': {dec.format(rnd('avg_margin', 4))}}}) AS json FROM ("
            + o["shop_rollup"].split("\n")[-1] + ")")
+    v1_cols = LINE_COLS + [PKEY, ITEM, SKU, COST, "profit", "margin"]
+    v1_page = f"(SELECT * FROM v1_proc ORDER BY {_order(v1_cols)} LIMIT 10)"
+    # 订单号, 店铺名称, 商品编码 (first column containing 商品), 买家实付, 成本,
+    # then the first two other columns (商品名称, 数量).
+    o["priority_preview"] = with_(
+        V1_CTES, f"SELECT {OID}, {SHOP}, {CODE}, {PAID}, {COST}, {NAME}, {QTY} FROM {v1_page}")
+    money = "CASE WHEN {c} IS NULL THEN '' ELSE '¥' || printf('%.2f', {c}) END"
+    o["fixed_preview"] = with_(
+        V1_CTES,
+        f"SELECT {OID}, {SHOP}, {NAME}, {money.format(c=PAID)} AS {PAID}, "
+        f"{money.format(c=COST)} AS {COST}, {money.format(c='profit')} AS profit, "
+        "CASE WHEN margin IS NULL THEN '' ELSE printf('%.1f', margin * 100.0) || '%' END "
+        f"AS margin FROM {v1_page}")
     # The streamed detail must equal the batch detail.
     o["stream_ingest"] = o["business_dedup"]
     return o

@@ -20,6 +20,7 @@ from .operators import clean as C
 from .operators import dedup as D
 from .operators import match as J
 from .operators import profile as P
+from .operators import preview as PV
 from .operators import reports as R
 from .plans import export as X
 from .plans import workflow as W
@@ -34,6 +35,7 @@ SELECTED_SHOPS = ("Supplier#000000001", "Supplier#000000003", "Supplier#00000000
 SHOP_SEARCH_TERM = "IER#00000001"
 PRODUCT_ORDER = ("seq",)
 PAGE_ROWS = 100
+PREVIEW_ROWS = 10
 
 
 def _lines(spark, sf) -> DataFrame:
@@ -239,6 +241,14 @@ def preview_page(spark, sf):
     return processed.orderBy(*D.row_order(processed)).limit(PAGE_ROWS)
 
 
+def priority_preview(spark, sf):
+    return PV.priority_preview(_fixed(spark, sf).processed, PREVIEW_ROWS)
+
+
+def fixed_preview(spark, sf):
+    return PV.fixed_preview(_fixed(spark, sf).processed, PREVIEW_ROWS)
+
+
 def numeric_coercion(spark, sf):
     lines = _lines(spark, sf)
     raw = lines.select(F.explode(F.array(
@@ -322,6 +332,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "numeric_summary": numeric_summary,
     "date_range": date_range,
     "preview_page": preview_page,
+    "priority_preview": priority_preview,
+    "fixed_preview": fixed_preview,
     "numeric_coercion": numeric_coercion,
     "safe_json": safe_json,
     "file_catalogue": file_catalogue,
