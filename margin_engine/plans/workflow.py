@@ -1,18 +1,21 @@
 """Composite runs: the keyword-schema run (clean -> match -> margin -> business
 dedup -> reports) and the fixed-schema run.
 
-Physical shape of the keyword run (see ``tests/test_plans.py``)::
-
-    scan -> partial agg (exact dedup) -> Exchange(all columns) -> row filters
-      -> [line side]  Exchange(order id) --------------------\
-      -> [order sums] partial sum -> Exchange(order id) -> SMJ left_semi
-      -> BroadcastHashJoin(catalogue, size-checked) -> margin (codegen)
-      -> partial WindowGroupLimit -> Exchange(business key) -> first row per key
-
-The business dedup partitions by the *tuple* of its keys, so it gets its own
-exchange with the partial group limit under it (a hot business key sends one
-row per map task) instead of inheriting the order-id partitioning, where a
-hot order would sit in one task.
+Physical shape of the keyword run (asserted in ``tests/test_plans.py``)::
+
+    job 1  scan -> row filters -> partial agg (exact dedup) -> Exchange(all columns)
+           -> [lines]  Exchange(order id) ------------------------\
+           -> [sums]   partial sum -> Exchange(struct(order id)) -> Exchange(order id)
+           -> SortMergeJoin left_semi (AQE splits a hot order) -> write Parquet
+    job 2  read cleaned (key columns only) -> key-pair counts -> best pair (1 row)
+    job 3  catalogue -> first row per key -> count <= bound ? broadcast : shuffle join
+    job 4  read cleaned -> BroadcastHashJoin(catalogue) -> margin (codegen)
+           -> partial WindowGroupLimit -> Exchange(struct(business key)) -> first row
+
+The business dedup partitions by the key *tuple*, so it gets its own exchange
+with the partial group limit under it (a hot business key sends one row per
+map task); the post-join exact dedup is skipped on that path because the
+business dedup subsumes it.
 """
 
 from __future__ import annotations

@@ -35,13 +35,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch folder only
-    when none is configured (local mode)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="margin-engine-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local-mode session without one gets a scratch folder (tests, local
+    runs); on a cluster a machine-local folder would not be shared, so a
+    missing setting is an error there.
+    """
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if d:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
+        return d
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
+    d = tempfile.mkdtemp(prefix="margin-engine-ckpt-")
+    sc.setCheckpointDir(d)
+    try:
         spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    except Exception:  # noqa: BLE001 - some deployments forbid setting core confs
+        pass
+    return sc.getCheckpointDir() or d
