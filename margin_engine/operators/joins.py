@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      known_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Hint ``df`` for broadcast only when it has at most ``max_rows`` rows.
 
-    The bound is checked with ``limit(max_rows + 1).count()``: a job that
-    stops reading once the bound is passed.  Above the bound the frame is
-    returned unhinted and Spark plans a shuffle join (AQE may still convert
-    it at run time from real shuffle sizes).
+    ``known_rows`` is an upper bound on the row count already proven by an
+    earlier job (e.g. a distinct-key count); otherwise the bound is checked
+    with ``limit(max_rows + 1).count()``, a job that stops reading once the
+    bound is passed.  Above the bound the frame is returned unhinted and
+    Spark plans a shuffle join.
     """
     if max_rows <= 0:
         return df, False
-    n = df.limit(max_rows + 1).count()
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False

@@ -52,38 +52,47 @@ def key_search(orders: DataFrame, products: DataFrame,
                product_candidates: Sequence[str], order_candidates: Sequence[str]) -> DataFrame:
     """Matched-line count for every candidate pair, zero pairs included.
 
-    Columns: p_ix, product_column, o_ix, order_column, matched_lines.
+    Columns: p_ix, product_column, o_ix, order_column, matched_lines,
+    product_keys (distinct non-null stripped keys of the product column; the
+    first-row-per-key catalogue has at most ``product_keys + 1`` rows).
     """
     spark = orders.sparkSession
     grid = spark.createDataFrame(
         [(pi, pc, oi, oc) for pi, pc in enumerate(product_candidates)
          for oi, oc in enumerate(order_candidates)], SCORE_SCHEMA)
     if not product_candidates or not order_candidates:
-        return grid.withColumn("matched_lines", F.lit(0).cast("long"))
+        return (grid.withColumn("matched_lines", F.lit(0).cast("long"))
+                .withColumn("product_keys", F.lit(0).cast("long")))
     o_counts = (_unpivot_keys(orders, order_candidates, "o_ix")
                 .groupBy("o_ix", "key").agg(F.count(F.lit(1)).alias("n")))
     p_keys = _unpivot_keys(products, product_candidates, "p_ix").distinct()
     hits = (o_counts.join(p_keys, on="key", how="inner")
             .groupBy("p_ix", "o_ix").agg(F.sum("n").alias("matched_lines")))
+    n_keys = p_keys.groupBy("p_ix").agg(F.count(F.lit(1)).alias("product_keys"))
     return (grid.join(hits, on=["p_ix", "o_ix"], how="left")
+            .join(n_keys, on="p_ix", how="left")
             .select("p_ix", "product_column", "o_ix", "order_column",
-                    F.coalesce(F.col("matched_lines"), F.lit(0)).cast("long").alias("matched_lines")))
+                    F.coalesce(F.col("matched_lines"), F.lit(0)).cast("long").alias("matched_lines"),
+                    F.coalesce(F.col("product_keys"), F.lit(0)).cast("long").alias("product_keys")))
 
 
-def best_pair(scores: DataFrame) -> tuple[str, str, int] | None:
-    """Most matched lines; ties go to the earlier product, then order column."""
+def best_pair(scores: DataFrame) -> tuple[str, str, int, int] | None:
+    """Most matched lines; ties go to the earlier product, then order column.
+
+    Returns (product column, order column, matched lines, product keys)."""
     row = (scores.orderBy(F.desc("matched_lines"), F.asc("p_ix"), F.asc("o_ix"))
            .limit(1).collect())
     if not row:
         return None
     r = row[0]
-    return r["product_column"], r["order_column"], int(r["matched_lines"])
+    return (r["product_column"], r["order_column"], int(r["matched_lines"]),
+            int(r["product_keys"]))
 
 
 @dataclass
 class MatchResult:
     df: DataFrame
-    status: str                      # "matched", "no_candidates" or "no_hits"
+    status: str                      # "matched", "no_candidates", "no_hits", "no_catalogue"
     pair: tuple[str, str] | None = None
     matched_lines: int = 0
     order_names: dict[str, str] = field(default_factory=dict)    # input name -> output name
@@ -112,7 +121,8 @@ def _rename_clashes(orders: DataFrame, products: DataFrame, o_key: str, p_key: s
 
 def join_catalogue(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
                    first_only: bool, product_order_by: Sequence[str] | None,
-                   max_broadcast_rows: int, suffixes: tuple[str, str]):
+                   max_broadcast_rows: int, suffixes: tuple[str, str],
+                   known_rows: int | None = None):
     """Strip both keys, optionally keep the first product per key, left join."""
     o = orders.withColumn(o_key, strip_key(_c(o_key)))
     p = products.withColumn(p_key, strip_key(_c(p_key)))
@@ -120,7 +130,7 @@ def join_catalogue(orders: DataFrame, products: DataFrame, o_key: str, p_key: st
         p = first_per_key(p, [p_key], product_order_by)
     o2, p2, o_names, p_names = _rename_clashes(o, p, o_key, p_key, suffixes)
     p2 = p2.withColumn("__matched", F.lit(True))
-    p2, used_broadcast = bounded_broadcast(p2, max_broadcast_rows)
+    p2, used_broadcast = bounded_broadcast(p2, max_broadcast_rows, known_rows)
     left_key = o_names[o_key]
     joined = o2.alias("o").join(p2.alias("p"),
                                 F.col(f"o.`{left_key}`") == F.col("p.__pkey"), "left")
@@ -133,11 +143,16 @@ def join_catalogue(orders: DataFrame, products: DataFrame, o_key: str, p_key: st
 def match_first(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
                 product_order_by: Sequence[str] | None = None,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                dedup_after: bool = True) -> MatchResult:
-    """J2 (+D2, D3): left join on the first product row per key."""
+                dedup_after: bool = True, product_keys: int | None = None) -> MatchResult:
+    """J2 (+D2, D3): left join on the first product row per key.
+
+    ``product_keys`` (distinct non-null keys, known from the key search)
+    bounds the first-row catalogue at ``product_keys + 1`` rows, so the
+    broadcast decision needs no counting job of its own."""
     joined, o_names, p_names, bc = join_catalogue(
         orders, products, o_key, p_key, True, product_order_by, max_broadcast_rows,
-        ("_order", "_product"))
+        ("_order", "_product"),
+        None if product_keys is None else product_keys + 1)
     out = joined.withColumn(
         "match_status",
         F.when(F.col("__matched"), F.lit(K.MATCH_MATCHED)).otherwise(F.lit(K.MATCH_UNMATCHED))
@@ -191,8 +206,12 @@ def match_keyword(orders: DataFrame, products: DataFrame,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                   dedup_after: bool = True) -> MatchResult:
     """Q2: pick the best key pair, then J2; J4 fallbacks when nothing matches."""
-    p_cands, o_cands = candidates(orders, products)
     names = {c: c for c in orders.columns}
+    if products is None:
+        # No catalogue loaded -> nothing to process.
+        return MatchResult(orders.limit(0).withColumn("match_status", F.lit(None).cast("string")),
+                           "no_catalogue", None, 0, names, {})
+    p_cands, o_cands = candidates(orders, products)
     if not p_cands or not o_cands:
         return MatchResult(orders.withColumn("match_status", F.lit(K.MATCH_NO_CANDIDATES)),
                            "no_candidates", None, 0, names, {})
@@ -201,9 +220,9 @@ def match_keyword(orders: DataFrame, products: DataFrame,
     if best is None or best[2] <= 0:
         return MatchResult(orders.withColumn("match_status", F.lit(K.MATCH_ALL_FAILED)),
                            "no_hits", None, 0, names, {})
-    p_key, o_key, hits = best
+    p_key, o_key, hits, n_keys = best
     res = match_first(orders, products, o_key, p_key, product_order_by,
-                      max_broadcast_rows, dedup_after)
+                      max_broadcast_rows, dedup_after, product_keys=n_keys)
     res.matched_lines = hits
     return res
 

@@ -265,8 +265,10 @@ def build() -> dict[str, str]:
                     "grid AS (SELECT * FROM (VALUES (0, '商家编码', 0, '商品编码'), "
                     "(1, 'SKU', 0, '商品编码')) t(p_ix, product_column, o_ix, order_column))"]),
         "SELECT grid.p_ix, grid.product_column, grid.o_ix, grid.order_column, "
-        "CAST(COALESCE(hits.m, 0) AS BIGINT) AS matched_lines "
-        "FROM grid LEFT JOIN hits USING (p_ix, o_ix)")
+        "CAST(COALESCE(hits.m, 0) AS BIGINT) AS matched_lines, "
+        "CAST(COALESCE(nk.k, 0) AS BIGINT) AS product_keys "
+        "FROM grid LEFT JOIN hits USING (p_ix, o_ix) "
+        "LEFT JOIN (SELECT p_ix, COUNT(*) AS k FROM pk GROUP BY p_ix) nk USING (p_ix)")
     o["unmatched_lines"] = with_(
         ",\n".join([clean_ctes(), PRODUCTS]),
         f"SELECT {_cols(LINE_COLS, {CODE: strip(CODE)})} FROM cleaned WHERE {strip(CODE)} "

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.roles import DedupRoles, MarginRoles, OrderRoles, find_columns
+from ..functions.roles import MarginRoles, OrderRoles, find_columns
 from ..operators import clean as C
 from ..operators import dedup as D
 from ..operators import margin as M
@@ -89,6 +89,18 @@ class KeywordRun:
         return out
 
 
+def _resolve(pairs: list[tuple[str, str]], keywords, override: str | None = None) -> str | None:
+    """Output name of the first input name containing a keyword (or equal to
+    ``override``), scanning ``(input name, output name)`` pairs in order."""
+    for inp, out in pairs:
+        if override is not None:
+            if inp == override:
+                return out
+        elif any(k in str(inp).lower() for k in keywords):
+            return out
+    return None
+
+
 def run_keyword(orders: DataFrame, products: DataFrame,
                 opts: C.CleanOptions | None = None,
                 product_order_by: Sequence[str] | None = None,
@@ -108,21 +120,29 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
     mres = J.match_keyword(cleaned, products, product_order_by, max_broadcast_rows,
                            dedup_after=True)
-    mroles_in = MarginRoles.resolve(orders.columns, list(mres.product_names.keys()),
-                                    r.get("margin"))
-    names = {**mres.order_names, **mres.product_names}
-    mroles = MarginRoles(cost=mres.product_names.get(mroles_in.cost) if mroles_in.cost else None,
-                         quantity=names.get(mroles_in.quantity) if mroles_in.quantity else None,
-                         revenue=names.get(mroles_in.revenue) if mroles_in.revenue else None)
+    # Roles are resolved on input names, order columns first, then mapped to
+    # the output names of their own side (a clashing name is suffixed).
+    merged = ([(c, mres.order_names[c]) for c in orders.columns if c in mres.order_names]
+              + list(mres.product_names.items()))
+    product_side = list(mres.product_names.items())
+    m_over = dict(r.get("margin") or {})
+    mroles = MarginRoles(
+        cost=_resolve(product_side, K.KW_COST, m_over.get("cost")),
+        quantity=_resolve(merged, K.KW_QUANTITY, m_over.get("quantity")),
+        revenue=_resolve(merged, K.KW_REVENUE, m_over.get("revenue")))
     margined = M.margin_keyword(mres.df, mroles, stamp)
-    in_cols = list(orders.columns) + list(mres.product_names.keys())
-    dk = DedupRoles.resolve(in_cols, r.get("dedup")).keys
-    keys = tuple(names[k] for k in dk if k in names)
+    d_over = (r.get("dedup") or {}).get("keys")
+    if d_over is not None:
+        keys = tuple(k for k in (_resolve(merged, (), c) for c in d_over) if k)
+    else:
+        keys = tuple(k for k in (_resolve(merged, kw) for kw in
+                                 (K.KW_ORDER_ID, K.KW_DEDUP_SKU, K.KW_DEDUP_SPEC)) if k)
     if keys:
         # D4 keeps one row per key; exact copies share the key and are equal,
         # so it subsumes the post-join exact dedup: skip that shuffle here.
         pre = M.margin_keyword(J.without_post_join_dedup(mres), mroles, stamp)
-        processed = business_dedup(pre, keys, line_order_by)
+        order_by = [mres.order_names.get(c, c) for c in (line_order_by or [])]
+        processed = business_dedup(pre, keys, order_by)
     else:
         processed = margined
     return KeywordRun(orders, cleaned, cres.roles, mres, margined, processed, keys)

@@ -143,3 +143,24 @@ def test_header_row_dropped_null_key_kept(spark):
     _, products = frames(spark)
     kept = drop_header_rows(products)
     assert sorted(r["pseq"] for r in kept.collect()) == [1, 2, 4, 5, 6]
+
+
+def test_name_clash_suffixes_and_product_cost(spark):
+    orders, products = frames(spark)
+    orders = orders.withColumn("成本", F.lit("999"))          # an order-side cost column
+    products = products.withColumn("规格", F.lit("X"))        # a product-side spec column
+    run = run_keyword(orders, drop_header_rows(products), product_order_by=["pseq"],
+                      line_order_by=["seq"], stamp=None, materialize_cleaned=False)
+    cols = run.processed.columns
+    assert {"成本_order", "成本_product", "规格_order", "规格_product"} <= set(cols)
+    assert run.dedup_keys == ("订单号", "商品编码", "规格_order")
+    rows = {r["seq"]: r for r in run.processed.collect()}
+    assert sorted(rows) == [1, 2, 4, 11, 12]
+    assert rows[1]["unit_cost"] == 10.0 and rows[1]["profit"] == 80.0
+
+
+def test_no_catalogue_gives_empty_result(spark):
+    orders, _ = frames(spark)
+    cleaned = C.clean_keyword(orders, line_order_by=["seq"]).cleaned
+    res = J.match_keyword(cleaned, None)
+    assert res.status == "no_catalogue" and res.df.count() == 0
