@@ -83,10 +83,10 @@ SELECT CAST(p_partkey AS STRING), p_name, p_brand,
        CAST(CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 2 AS DECIMAL(18,2)) AS STRING), 2
 FROM {part} WHERE p_size <= 5
 UNION ALL
-SELECT '商家编码', '商品', 'SKU', '成本', 3 FROM {part} WHERE p_partkey = (SELECT MIN(p_partkey) FROM {part})
+SELECT '商家编码', '商品', 'SKU', '成本', 3 FROM (SELECT MIN(p_partkey) AS k FROM {part}) h
 UNION ALL
 SELECT CAST(NULL AS STRING), '无', CAST(NULL AS STRING), '1', 3
-FROM {part} WHERE p_partkey = (SELECT MIN(p_partkey) FROM {part})
+FROM (SELECT MIN(p_partkey) AS k FROM {part}) z
 """
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
