@@ -3,29 +3,33 @@ gathering a column into one task.
 
 ``percentile()`` keeps every distinct value of a group in one aggregation
 buffer, which for a whole-table quartile means one task holds the column's
-distinct values.  Instead each needed order statistic is found by narrowing
-an interval:
-
-1. approximate split points of the current interval (``percentile_approx``,
-   a bounded sketch per task),
-2. exact counts of values ``< s`` and ``<= s`` for every split point in one
-   aggregation pass,
-3. the order statistic lies in one sub-interval (or *is* a split point, which
-   also settles ties on a hot value); repeat on it.
-
-Once an interval holds at most ``small`` values, the remaining distinct
-values are counted and ranked by a running sum in one task; that task's
-input is bounded by ``small``.  Columns whose (approximate) distinct count
-is already below ``small`` skip the narrowing: all of them are unpivoted,
-counted per distinct value and ranked in one job, one window partition per
-column, each bounded by that column's distinct count.  Only split points,
-counts and the selected values (a few hundred numbers) reach the driver.
+distinct values.  Instead each needed order statistic is found as follows.
+
+* Columns whose row count (or, above the bound, estimated distinct count)
+  is at most ``small`` are ranked directly: all of them are unpivoted,
+  counted per distinct value and ranked by a running sum in one job, one
+  window partition per column, each bounded by ``small``.
+* Larger columns narrow an open interval around every wanted rank, all
+  columns and intervals together, two passes per round:
+
+  1. approximate split points of every open interval (``percentile_approx``,
+     a bounded sketch per task and interval),
+  2. exact counts per (interval, bucket between split points), plus how
+     many values equal each bucket's upper split point; the bucket is found
+     with a balanced CASE tree (log2 comparisons per row, inside codegen).
+
+  A rank either *is* a split point (which also settles ties on a hot value)
+  or falls inside one bucket, the next round's interval.  Intervals holding
+  at most ``small`` values are ranked together in one job.
+
+Only split points, counts and the selected values reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,18 +43,45 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _interval(lo: float | None, hi: float | None) -> Column:
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (F.col("v") > F.lit(lo))
-    if hi is not None:
-        cond = cond & (F.col("v") < F.lit(hi))
-    return cond
+def _normalised(v: Column) -> Column:
+    # -0.0 and 0.0 are one value.
+    d = v.cast("double")
+    return F.when(d == F.lit(0.0), F.lit(0.0)).otherwise(d)
+
+
+@dataclass(frozen=True)
+class _Item:
+    column: str
+    lo: float | None          # open interval (lo, hi); None = unbounded
+    hi: float | None
+    offset: int               # values of the column <= lo
+    count: int                # values inside the interval
+    ranks: tuple[int, ...]    # 0-based ranks over the whole column
+
+    def cond(self) -> Column:
+        c = F.col("column") == F.lit(self.column)
+        if self.lo is not None:
+            c = c & (F.col("v") > F.lit(self.lo))
+        if self.hi is not None:
+            c = c & (F.col("v") < F.lit(self.hi))
+        return c
+
+
+def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), _normalised(_c(c)).alias("v")) for c in columns]))
+    return df.select(pairs.alias("u")).select("u.column", "u.v").filter(F.col("v").isNotNull())
+
+
+def _tag(items: Sequence[_Item]) -> Column:
+    tag = F.lit(None).cast("int")
+    for i in reversed(range(len(items))):
+        tag = F.when(items[i].cond(), F.lit(i)).otherwise(tag)
+    return tag
 
 
 def _bucket(pts: Sequence[float], lo: int = 0, hi: int | None = None) -> Column:
-    """Index of the first split point >= v (len(pts) when none): a balanced
-    CASE tree, log2(len(pts)) comparisons per row inside codegen."""
+    """Index of the first split point >= v (len(pts) when none)."""
     hi = len(pts) if hi is None else hi
     if lo == hi:
         return F.lit(lo)
@@ -59,113 +90,96 @@ def _bucket(pts: Sequence[float], lo: int = 0, hi: int | None = None) -> Column:
         _bucket(pts, mid + 1, hi))
 
 
-def _rank_intervals(vals: DataFrame, items: list) -> dict[int, float]:
-    """Rank inside several bounded intervals in one job (one window partition
-    per interval, each holding at most ``small`` values)."""
-    tag = F.lit(None).cast("int")
-    for i, (lo, hi, _, _, _) in reversed(list(enumerate(items))):
-        tag = F.when(_interval(lo, hi), F.lit(i)).otherwise(tag)
-    vc = (vals.withColumn("item", tag).filter(F.col("item").isNotNull())
-          .groupBy("item", "v").agg(F.count(F.lit(1)).alias("n")))
+def _rank_items(long: DataFrame, items: Sequence[_Item],
+                partition_by_column: bool = False) -> dict[tuple[str, int], float]:
+    """Ranks inside bounded intervals, all in one job: values are counted per
+    (interval, value) and ranked by a running sum, one window partition per
+    interval (or per column for the direct path)."""
+    if partition_by_column:
+        tagged = long.withColumn("item", F.col("column"))
+        key = {it.column: it for it in items}
+    else:
+        tagged = long.withColumn("item", _tag(items)).filter(F.col("item").isNotNull())
+        key = dict(enumerate(items))
+    vc = tagged.groupBy("item", "v").agg(F.count(F.lit(1)).alias("n"))
     w = (Window.partitionBy("item").orderBy("v")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = vc.withColumn("cum", F.sum("n").over(w)).withColumn("prev", F.col("cum") - F.col("n"))
     hit = F.lit(False)
-    for i, (_, _, offset, _, rs) in enumerate(items):
-        for r in rs:
-            rr = r - offset
-            hit = hit | ((F.col("item") == F.lit(i)) & (F.col("prev") <= F.lit(rr))
+    for k, it in key.items():
+        for r in it.ranks:
+            rr = r - it.offset
+            hit = hit | ((F.col("item") == F.lit(k)) & (F.col("prev") <= F.lit(rr))
                          & (F.lit(rr) < F.col("cum")))
-    rows = cum.filter(hit).select("item", "v", "prev", "cum").collect()
-    out: dict[int, float] = {}
-    for row in rows:
-        _, _, offset, _, rs = items[row["item"]]
-        for r in rs:
-            if row["prev"] <= r - offset < row["cum"]:
-                out[r] = row["v"]
+    out: dict[tuple[str, int], float] = {}
+    for row in cum.filter(hit).select("item", "v", "prev", "cum").collect():
+        it = key[row["item"]]
+        for r in it.ranks:
+            if row["prev"] <= r - it.offset < row["cum"]:
+                out[(it.column, r)] = row["v"]
     return out
 
 
-def _select_ranks(vals: DataFrame, ranks: Sequence[int], n: int,
-                  small: int, splits: int) -> dict[int, float]:
-    """Order statistics of ``vals`` (column ``v``, no nulls, ``n`` rows)."""
-    result: dict[int, float] = {}
-    # Work items: (lo, hi, offset, count, ranks); interval (lo, hi) open.
-    work = [(None, None, 0, n, sorted(set(ranks)))]
-    while work:
-        done = [w for w in work if w[3] <= small]
+def _narrow(long: DataFrame, items: list[_Item], small: int,
+            splits: int) -> dict[tuple[str, int], float]:
+    result: dict[tuple[str, int], float] = {}
+    probs = [i / splits for i in range(1, splits)]
+    while items:
+        done = [it for it in items if it.count <= small]
         if done:
-            result.update(_rank_intervals(vals, done))
-        nxt = []
-        for lo, hi, offset, count, rs in (w for w in work if w[3] > small):
-            sub = vals.filter(_interval(lo, hi))
-            probs = [i / splits for i in range(1, splits)]
-            pts = sub.agg(F.percentile_approx("v", probs, ACCURACY).alias("s")).collect()[0]["s"]
-            pts = sorted(set(float(x) for x in pts))
-            counts = (sub.withColumn("b", _bucket(pts))
-                      .groupBy("b").agg(F.count(F.lit(1)).alias("n"),
-                                        F.count_if(F.col("v") == F.element_at(
-                                            F.lit(pts + [None]).cast("array<double>"),
-                                            F.col("b") + 1)).alias("eq"))
-                      .collect())
-            per = {r["b"]: (r["n"], r["eq"]) for r in counts}
+            result.update(_rank_items(long, done))
+        big = [it for it in items if it.count > small]
+        if not big:
+            break
+        # Pass 1: split points of every open interval.
+        row = long.agg(*[F.percentile_approx(F.when(it.cond(), F.col("v")), probs, ACCURACY)
+                         .alias(f"s{i}") for i, it in enumerate(big)]).collect()[0]
+        pts = [sorted({float(x) for x in (row[f"s{i}"] or [])}) for i in range(len(big))]
+        # Pass 2: exact counts per (interval, bucket) and per bucket's upper point.
+        bucket = F.lit(None).cast("int")
+        upper = F.lit(None).cast("double")
+        for i in reversed(range(len(big))):
+            arr = F.array(*[F.lit(p) for p in pts[i]], F.lit(None)).cast("array<double>")
+            b = _bucket(pts[i])
+            bucket = F.when(F.col("item") == F.lit(i), b).otherwise(bucket)
+            upper = F.when(F.col("item") == F.lit(i), F.element_at(arr, b + 1)).otherwise(upper)
+        counts = (long.withColumn("item", _tag(big)).filter(F.col("item").isNotNull())
+                  .withColumn("b", bucket).withColumn("u", upper)
+                  .groupBy("item", "b")
+                  .agg(F.count(F.lit(1)).alias("n"),
+                       F.count_if(F.col("v") == F.col("u")).alias("eq"))
+                  .collect())
+        per = {(r["item"], r["b"]): (r["n"], r["eq"]) for r in counts}
+        nxt: list[_Item] = []
+        for i, it in enumerate(big):
+            p = pts[i]
             le, lt, run = [], [], 0
-            for j in range(len(pts)):
-                nj, eqj = per.get(j, (0, 0))
+            for j in range(len(p)):
+                nj, eqj = per.get((i, j), (0, 0))
                 run += nj
                 le.append(run)
                 lt.append(run - eqj)
             groups: dict[int, list[int]] = {}
-            for r in rs:
-                rr = r - offset
-                j = next((k for k in range(len(pts)) if le[k] > rr), None)
+            for r in it.ranks:
+                rr = r - it.offset
+                j = next((k for k in range(len(p)) if le[k] > rr), None)
                 if j is not None and lt[j] <= rr:
-                    result[r] = pts[j]          # the split point itself holds this rank
+                    result[(it.column, r)] = p[j]      # the split point holds this rank
                     continue
                 groups.setdefault(-1 if j is None else j, []).append(r)
             for j, grp in groups.items():
                 if j == -1:
-                    base = le[-1] if pts else 0
-                    nxt.append((pts[-1] if pts else lo, hi, offset + base, count - base, grp))
+                    base = le[-1] if p else 0
+                    nxt.append(_Item(it.column, p[-1] if p else it.lo, it.hi,
+                                     it.offset + base, it.count - base, tuple(grp)))
                 else:
                     base = le[j - 1] if j > 0 else 0
-                    nxt.append((pts[j - 1] if j > 0 else lo, pts[j], offset + base,
-                                lt[j] - base, grp))
-        work = nxt
+                    nxt.append(_Item(it.column, p[j - 1] if j > 0 else it.lo, p[j],
+                                     it.offset + base, lt[j] - base, tuple(grp)))
+        items = nxt
     return result
 
 
-def _rank_direct(df: DataFrame, columns: Sequence[str],
-                 ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
-    """Order statistics of several low-cardinality columns in one job."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _normalised(_c(c)).alias("v")) for c in columns]))
-    vc = (df.select(pairs.alias("u")).select("u.column", "u.v")
-          .filter(F.col("v").isNotNull())
-          .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
-    w = (Window.partitionBy("column").orderBy("v")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = vc.withColumn("cum", F.sum("n").over(w)).withColumn("prev", F.col("cum") - F.col("n"))
-    hit = F.lit(False)
-    for c in columns:
-        for r in ranks[c]:
-            hit = hit | ((F.col("column") == F.lit(c)) & (F.col("prev") <= F.lit(r))
-                         & (F.lit(r) < F.col("cum")))
-    rows = cum.filter(hit).select("column", "v", "prev", "cum").collect()
-    out = {}
-    for row in rows:
-        for r in ranks[row["column"]]:
-            if row["prev"] <= r < row["cum"]:
-                out[(row["column"], r)] = row["v"]
-    return out
-
-
-def _normalised(v: Column) -> Column:
-    # -0.0 and 0.0 are one value.
-    d = v.cast("double")
-    return F.when(d == F.lit(0.0), F.lit(0.0)).otherwise(d)
-
-
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
                     small: int = SMALL, splits: int = SPLITS) -> DataFrame:
     """Rows ``(column, p, value)``: exact quantiles with linear interpolation
@@ -174,28 +188,29 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     stats = df.agg(*[F.count(_c(c)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
     counts = {c: int(stats[f"n{i}"]) for i, c in enumerate(columns)}
     # A row count within the bound also bounds the distinct values; only
-    # larger columns pay for a distinct-count estimate.
+    # larger columns pay for a distinct-count estimate (which has ~5% error,
+    # hence the headroom).
     big = [c for c in columns if counts[c] > small]
-    distinct = {c: counts[c] for c in columns if c not in big}
+    est = {}
     if big:
-        est = df.agg(*[F.approx_count_distinct(_c(c)).alias(f"d{i}")
+        row = df.agg(*[F.approx_count_distinct(_c(c)).alias(f"d{i}")
                        for i, c in enumerate(big)]).collect()[0]
-        distinct.update({c: int(est[f"d{i}"]) for i, c in enumerate(big)})
+        est = {c: int(row[f"d{i}"]) for i, c in enumerate(big)}
     positions = {c: {p: p * (counts[c] - 1) for p in probabilities} for c in columns}
-    ranks = {c: sorted({math.floor(x) for x in positions[c].values()}
-                       | {math.ceil(x) for x in positions[c].values()}) for c in columns}
+    ranks = {c: tuple(sorted({math.floor(x) for x in positions[c].values()}
+                             | {math.ceil(x) for x in positions[c].values()})) for c in columns}
     live = [c for c in columns if counts[c] > 0]
-    # Distinct estimate has ~5% error; leave headroom under the bound.
-    direct = [c for c in live if (distinct[c] if c not in big else distinct[c] * 1.25) <= small]
+    direct = [c for c in live if c not in big or est[c] * 1.25 <= small]
+    narrow = [c for c in live if c not in direct]
     at: dict[tuple[str, int], float] = {}
     if direct:
-        at.update(_rank_direct(df, direct, ranks))
-    for c in live:
-        if c in direct:
-            continue
-        vals = df.select(_normalised(_c(c)).alias("v")).filter(F.col("v").isNotNull())
-        for r, v in _select_ranks(vals, ranks[c], counts[c], small, splits).items():
-            at[(c, r)] = v
+        at.update(_rank_items(_long(df, direct),
+                              [_Item(c, None, None, 0, counts[c], ranks[c]) for c in direct],
+                              partition_by_column=True))
+    if narrow:
+        at.update(_narrow(_long(df, narrow),
+                          [_Item(c, None, None, 0, counts[c], ranks[c]) for c in narrow],
+                          small, splits))
     out = []
     for c in columns:
         for p in probabilities:

@@ -50,9 +50,16 @@ def main():
             stages.append((si["Submission Time"], si["Number of Tasks"],
                            int(acc.get("internal.metrics.shuffle.write.bytesWritten", 0) or 0),
                            int(acc.get("internal.metrics.shuffle.read.remoteBytesRead", 0) or 0)
-                           + int(acc.get("internal.metrics.shuffle.read.localBytesRead", 0) or 0)))
+                           + int(acc.get("internal.metrics.shuffle.read.localBytesRead", 0) or 0),
+                           si["Completion Time"] - si["Submission Time"], si["Stage ID"],
+                           si.get("Details", "").split("\n")[0][:90]))
+    verbose = os.environ.get("STAGES") == "1"
     for n, (a, b) in spans.items():
         mine = [s for s in stages if a <= s[0] <= b]
+        if verbose:
+            for s in sorted(mine, key=lambda x: -x[4])[:12]:
+                print(json.dumps({"query": n, "stage": s[5], "tasks": s[1], "ms": s[4],
+                                  "name": s[6]}, ensure_ascii=False))
         print(json.dumps({"query": n, "wall_s": round((b - a) / 1000, 2), "stages": len(mine),
                           "tasks": sum(s[1] for s in mine),
                           "shuffle_write_mb": round(sum(s[2] for s in mine) / 2**20, 2),
