@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import is_numeric_type, round_half_even
-from ..functions.roles import find_columns
+from ..functions.roles import find_columns, split_profile_roles
 from .quantiles import exact_quantiles
 
 STAT_DIGITS = 6
@@ -27,9 +27,11 @@ def _c(name: str) -> Column:
 
 
 def _schema_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    rows = [(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(columns)]
+    roles = profile_roles(columns)
+    rows = [(i, c, df.schema[c].dataType.simpleString(), roles.get(c))
+            for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(
-        rows, "position int, column string, dtype string")
+        rows, "position int, column string, dtype string, role string")
 
 
 def _unpivot_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,10 +41,21 @@ def _unpivot_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(pairs.alias("u")).select("u.column", "u.value")
 
 
+def profile_roles(columns: Sequence[str]) -> dict[str, str]:
+    """Exclusive role of each order column (sku, amount, status, shop)."""
+    roles = split_profile_roles(columns)
+    out = {}
+    for role, key in (("sku", "sku_columns"), ("amount", "amount_columns"),
+                      ("status", "status_columns"), ("shop", "shop_columns")):
+        for c in roles[key]:
+            out[c] = role
+    return out
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
                    n_samples: int = 3, limit: int | None = None) -> DataFrame:
-    """Per column dtype, null count, distinct non-null count and the
-    ``n_samples`` smallest non-null values (as text).
+    """Per column dtype, key role (C1b), null count, distinct non-null
+    count and the ``n_samples`` smallest non-null values (as text).
 
     ``limit`` profiles only the first rows when given (the source profiled a
     100-row head); by default the whole table is profiled.
@@ -64,7 +77,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
     meta = _schema_frame(df, columns)
     return (meta.join(F.broadcast(per_col), "column", "left")
             .join(F.broadcast(samples), "column", "left")
-            .select("position", "column", "dtype",
+            .select("position", "column", "dtype", "role",
                     F.coalesce("null_count", F.lit(0).cast("long")).alias("null_count"),
                     F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"),
                     F.coalesce("sample_values", F.array().cast("array<string>"))

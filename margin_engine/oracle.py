@@ -220,8 +220,12 @@ def _table_profile_sql() -> str:
 def _column_profile_sql() -> str:
     types = {c: "string" for c in ORDER_LINE_COLUMNS}
     types["下单时间"] = "date"
-    meta = " UNION ALL ".join(f"SELECT {i} AS position, {lit(c)} AS \"column\", {lit(types[c])} AS dtype"
-                              for i, c in enumerate(ORDER_LINE_COLUMNS))
+    # C1b roles of the export's headers (sku / amount / status / shop).
+    roles = {"店铺名称": "shop", "买家实付": "amount", "线上订单状态": "status", "明细状态": "status"}
+    meta = " UNION ALL ".join(
+        f"SELECT {i} AS position, {lit(c)} AS \"column\", {lit(types[c])} AS dtype, "
+        + (f"{lit(roles[c])}" if c in roles else "CAST(NULL AS VARCHAR)") + " AS role"
+        for i, c in enumerate(ORDER_LINE_COLUMNS))
     return with_(
         LINES + f",\nu AS ({_unpivot(ORDER_LINE_COLUMNS, 'lines')}),\n"
         "g AS (SELECT \"column\", value, COUNT(*) AS n FROM u GROUP BY \"column\", value),\n"
@@ -231,7 +235,8 @@ def _column_profile_sql() -> str:
         "SELECT \"column\", value, row_number() OVER (PARTITION BY \"column\" ORDER BY value) AS rn "
         "FROM g WHERE value IS NOT NULL) WHERE rn <= 3 GROUP BY \"column\"),\n"
         f"meta AS ({meta})",
-        "SELECT meta.position, meta.\"column\", meta.dtype, COALESCE(pc.null_count, 0) AS null_count, "
+        "SELECT meta.position, meta.\"column\", meta.dtype, meta.role, "
+        "COALESCE(pc.null_count, 0) AS null_count, "
         "COALESCE(pc.unique_count, 0) AS unique_count, COALESCE(s.sample_values, '[]') "
         "AS sample_values FROM meta LEFT JOIN pc USING (\"column\") LEFT JOIN s USING (\"column\")")
 
@@ -421,6 +426,11 @@ def build() -> dict[str, str]:
         f"{money.format(c=COST)} AS {COST}, {money.format(c='profit')} AS profit, "
         "CASE WHEN margin IS NULL THEN '' ELSE printf('%.1f', margin * 100.0) || '%' END "
         f"AS margin FROM {v1_page}")
+    o["run_counters_fixed"] = with_(
+        V1_CTES,
+        "SELECT 'original_orders' AS counter, CAST(COUNT(*) AS BIGINT) AS value FROM lines "
+        "UNION ALL SELECT 'cleaned_orders', COUNT(*) FROM v1_clean "
+        f"UNION ALL SELECT 'matched_orders', COUNT({PKEY}) FROM v1_proc")
     # The streamed detail must equal the batch detail.
     o["stream_ingest"] = o["business_dedup"]
     return o

@@ -207,6 +207,10 @@ def run_counters(spark, sf):
     return _run(spark, sf).counters()
 
 
+def run_counters_fixed(spark, sf):
+    return _fixed(spark, sf).counters()
+
+
 def shop_summary(spark, sf):
     return R.shop_summary(_fixed(spark, sf).processed)
 
@@ -325,6 +329,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shop_list": shop_list,
     "shop_search": shop_search,
     "run_counters": run_counters,
+    "run_counters_fixed": run_counters_fixed,
     "shop_summary": shop_summary,
     "product_summary": product_summary,
     "column_profile": column_profile,
