@@ -53,15 +53,21 @@ def profile_roles(columns: Sequence[str]) -> dict[str, str]:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
-                   n_samples: int = 3, limit: int | None = None) -> DataFrame:
+                   n_samples: int = 3, limit: int | None = None,
+                   approximate: bool = False, sample_rows: int = 10_000) -> DataFrame:
     """Per column dtype, key role (C1b), null count, distinct non-null
     count and the ``n_samples`` smallest non-null values (as text).
 
     ``limit`` profiles only the first rows when given (the source profiled a
-    100-row head); by default the whole table is profiled.
+    100-row head); by default the whole table is profiled.  ``approximate``
+    trades the exact distinct count (a shuffle of every (column, value)
+    pair) for one aggregation pass with HyperLogLog counts and exact null
+    counts; its samples come from the first ``sample_rows`` rows.
     """
     columns = list(columns or df.columns)
     src = df.limit(limit) if limit else df
+    if approximate:
+        return _column_profile_approx(src, columns, n_samples, sample_rows)
     counts = (_unpivot_text(src, columns)
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     per_col = counts.groupBy("column").agg(
@@ -84,6 +90,29 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
                     .alias("sample_values")))
 
 
+def _column_profile_approx(df: DataFrame, columns: Sequence[str], n_samples: int,
+                           sample_rows: int) -> DataFrame:
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.count_if(_c(c).isNull()).alias(f"n{i}"),
+                 F.approx_count_distinct(_c(c)).alias(f"d{i}")]
+    one = df.agg(*aggs)
+    stats = one.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("null_count"),
+                 F.col(f"d{i}").cast("long").alias("unique_count"))
+        for i, c in enumerate(columns)])).alias("s")).select("s.*")
+    head = _unpivot_text(df.limit(sample_rows), columns).filter(F.col("value").isNotNull())
+    w = Window.partitionBy("column").orderBy(F.asc("value"))
+    samples = (head.distinct().withColumn("_rn", F.row_number().over(w))
+               .filter(F.col("_rn") <= n_samples).groupBy("column")
+               .agg(F.sort_array(F.collect_list("value")).alias("sample_values")))
+    return (_schema_frame(df, columns).join(F.broadcast(stats), "column", "left")
+            .join(F.broadcast(samples), "column", "left")
+            .select("position", "column", "dtype", "role", "null_count", "unique_count",
+                    F.coalesce("sample_values", F.array().cast("array<string>"))
+                    .alias("sample_values")))
+
+
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, columns, names, types and null count per column (one pass)."""
     cols = df.columns
@@ -112,13 +141,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
-                    probabilities: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+                    probabilities: Sequence[float] = (0.25, 0.5, 0.75),
+                    approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
     """Count, mean, std, min, quartiles (exact, linear interpolation), max
     for every numeric column.
 
     Mean and standard deviation are rounded to ``STAT_DIGITS`` so the report
-    does not depend on summation order.
+    does not depend on summation order.  ``approximate`` computes the
+    quartiles with ``percentile_approx`` inside the same single pass (rank
+    error at most n / ``accuracy``) instead of the exact selection.
     """
+    if approximate:
+        return _numeric_summary_approx(df, list(columns or numeric_columns(df)),
+                                       probabilities, accuracy)
     columns = list(columns or numeric_columns(df))
     spark = df.sparkSession
     if not columns:
@@ -149,6 +184,25 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
                              for p in probabilities], "max"))
 
 
+def _numeric_summary_approx(df: DataFrame, columns: Sequence[str],
+                            probabilities: Sequence[float], accuracy: int) -> DataFrame:
+    qnames = [f"p{int(round(p * 100))}" for p in probabilities]
+    parts = []
+    for c in columns:
+        v = _zero_normalised(_c(c).cast("double"))
+        q = F.percentile_approx(v, list(probabilities), accuracy)
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"),
+                              F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                              F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max")))
+    row = df.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)])
+    long = row.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(parts))]))
+                      .alias("s")).select("s.*")
+    return long.select("column", F.col("count").cast("long").alias("count"),
+                       round_half_even(F.col("mean"), STAT_DIGITS).alias("mean"),
+                       round_half_even(F.col("std"), STAT_DIGITS).alias("std"), "min",
+                       *[F.col("q")[i].alias(n) for i, n in enumerate(qnames)], "max")
+
+
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     counts = (_unpivot_text(df, columns)
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))

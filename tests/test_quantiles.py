@@ -40,3 +40,24 @@ def test_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     got = exact_quantiles(df, ["v"], (0.5,)).collect()
     assert got[0]["value"] is None
+
+
+def test_approximate_profiles(spark, sf001):
+    from margin_engine.operators.profile import column_profile, numeric_summary
+    li = table(spark, sf001, "lineitem")
+    exact = {r["column"]: r for r in numeric_summary(li).collect()}
+    approx = {r["column"]: r for r in numeric_summary(li, approximate=True).collect()}
+    n = li.count()
+    for c, e in exact.items():
+        a = approx[c]
+        assert a["count"] == e["count"] and a["min"] == e["min"] and a["max"] == e["max"]
+        vals = sorted(r[0] for r in li.select(c).collect())
+        # approximate quartile lies within n/accuracy ranks of the exact one
+        lo = vals[max(0, int(0.5 * (n - 1)) - 2)]
+        hi = vals[min(n - 1, int(0.5 * (n - 1)) + 2)]
+        assert lo <= a["p50"] <= hi, c
+    prof = {r["column"]: r for r in column_profile(li, approximate=True).collect()}
+    exact_prof = {r["column"]: r for r in column_profile(li).collect()}
+    for c, e in exact_prof.items():
+        assert prof[c]["null_count"] == e["null_count"]
+        assert abs(prof[c]["unique_count"] - e["unique_count"]) <= 0.1 * e["unique_count"] + 1
