@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +71,15 @@ def start_ingest(spark: SparkSession, paths: StreamPaths, order_schema: T.Struct
         if batch.isEmpty():
             return
         run = run_keyword(batch, products, opts, product_order_by=product_order_by,
-                          stamp="now", materialize_cleaned=False)
-        _write_batch(run.processed, paths.detail, batch_id)
-        _write_batch(run.shop_rollup(), paths.shop_rollup, batch_id)
+                          stamp="now")
+        # Two outputs from one result: persist it so the batch is computed
+        # once, then release it (a lost block is recomputed from lineage).
+        processed = run.processed.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _write_batch(processed, paths.detail, batch_id)
+            _write_batch(R.shop_rollup_keyword(processed), paths.shop_rollup, batch_id)
+        finally:
+            processed.unpersist()
 
     writer = (stream.writeStream.foreachBatch(per_batch)
               .option("checkpointLocation", paths.checkpoint)
