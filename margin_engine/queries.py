@@ -36,6 +36,7 @@ SHOP_SEARCH_TERM = "IER#00000001"
 PRODUCT_ORDER = ("seq",)
 PAGE_ROWS = 100
 PREVIEW_ROWS = 10
+STREAM_TIMEOUT_S = 1800
 
 
 def _lines(spark, sf) -> DataFrame:
@@ -293,7 +294,11 @@ def stream_ingest(spark, sf):
         lines.filter(part == i).write.parquet(f"{paths.landing}/export_{i}")
         q = start_ingest(spark, paths, lines.schema, products,
                          product_order_by=list(PRODUCT_ORDER), available_now=True)
-        q.awaitTermination()
+        if not q.awaitTermination(STREAM_TIMEOUT_S):
+            q.stop()
+            raise TimeoutError(f"stream ingest did not drain within {STREAM_TIMEOUT_S}s")
+        if q.exception() is not None:
+            raise RuntimeError(f"stream ingest failed: {q.exception()}")
     return spark.read.parquet(paths.detail).drop("batch_id", "processed_at")
 
 
