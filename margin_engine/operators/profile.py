@@ -26,8 +26,8 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _schema_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    roles = profile_roles(columns)
+def _schema_frame(df: DataFrame, columns: Sequence[str], kind: str = "order") -> DataFrame:
+    roles = profile_roles(columns, kind)
     rows = [(i, c, df.schema[c].dataType.simpleString(), roles.get(c))
             for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(
@@ -41,8 +41,11 @@ def _unpivot_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(pairs.alias("u")).select("u.column", "u.value")
 
 
-def profile_roles(columns: Sequence[str]) -> dict[str, str]:
-    """Exclusive role of each order column (sku, amount, status, shop)."""
+def profile_roles(columns: Sequence[str], kind: str = "order") -> dict[str, str]:
+    """Key role of each column: C1b for an order table (exclusive sku, amount,
+    status, shop), C1a for a product table (potential SKU columns)."""
+    if kind == "product":
+        return {c: "sku" for c in find_columns(columns, K.KW_PROFILE_SKU)}
     roles = split_profile_roles(columns)
     out = {}
     for role, key in (("sku", "sku_columns"), ("amount", "amount_columns"),
@@ -54,7 +57,8 @@ def profile_roles(columns: Sequence[str]) -> dict[str, str]:
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
                    n_samples: int = 3, limit: int | None = None,
-                   approximate: bool = False, sample_rows: int = 10_000) -> DataFrame:
+                   approximate: bool = False, sample_rows: int = 10_000,
+                   kind: str = "order") -> DataFrame:
     """Per column dtype, key role (C1b), null count, distinct non-null
     count and the ``n_samples`` smallest non-null values (as text).
 
@@ -67,7 +71,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
     columns = list(columns or df.columns)
     src = df.limit(limit) if limit else df
     if approximate:
-        return _column_profile_approx(src, columns, n_samples, sample_rows)
+        return _column_profile_approx(src, columns, n_samples, sample_rows, kind)
     counts = (_unpivot_text(src, columns)
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     per_col = counts.groupBy("column").agg(
@@ -80,7 +84,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
                .filter(F.col("_rn") <= n_samples)
                .groupBy("column")
                .agg(F.sort_array(F.collect_list("value")).alias("sample_values")))
-    meta = _schema_frame(df, columns)
+    meta = _schema_frame(df, columns, kind)
     return (meta.join(F.broadcast(per_col), "column", "left")
             .join(F.broadcast(samples), "column", "left")
             .select("position", "column", "dtype", "role",
@@ -91,7 +95,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def _column_profile_approx(df: DataFrame, columns: Sequence[str], n_samples: int,
-                           sample_rows: int) -> DataFrame:
+                           sample_rows: int, kind: str = "order") -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         aggs += [F.count_if(_c(c).isNull()).alias(f"n{i}"),
@@ -106,7 +110,7 @@ def _column_profile_approx(df: DataFrame, columns: Sequence[str], n_samples: int
     samples = (head.distinct().withColumn("_rn", F.row_number().over(w))
                .filter(F.col("_rn") <= n_samples).groupBy("column")
                .agg(F.sort_array(F.collect_list("value")).alias("sample_values")))
-    return (_schema_frame(df, columns).join(F.broadcast(stats), "column", "left")
+    return (_schema_frame(df, columns, kind).join(F.broadcast(stats), "column", "left")
             .join(F.broadcast(samples), "column", "left")
             .select("position", "column", "dtype", "role", "null_count", "unique_count",
                     F.coalesce("sample_values", F.array().cast("array<string>"))

@@ -217,17 +217,25 @@ def _table_profile_sql() -> str:
         for i, (c, t) in enumerate(DOCUMENT_SCHEMA))
 
 
-def _column_profile_sql() -> str:
-    types = {c: "string" for c in ORDER_LINE_COLUMNS}
-    types["下单时间"] = "date"
-    # C1b roles of the export's headers (sku / amount / status / shop).
-    roles = {"店铺名称": "shop", "买家实付": "amount", "线上订单状态": "status", "明细状态": "status"}
+def _column_profile_sql(source: str = "lines") -> str:
+    if source == "lines":
+        columns, ctes = ORDER_LINE_COLUMNS, LINES
+        types = {c: "string" for c in columns}
+        types["下单时间"] = "date"
+        # C1b roles of the export's headers (sku / amount / status / shop).
+        roles = {"店铺名称": "shop", "买家实付": "amount", "线上订单状态": "status",
+                 "明细状态": "status"}
+    else:
+        columns, ctes = ("商家编码", "商品", "SKU", "成本", "seq"), PRODUCTS
+        types = {"商家编码": "string", "商品": "string", "SKU": "string", "成本": "string",
+                 "seq": "int"}
+        roles = {"SKU": "sku"}          # C1a: potential SKU columns of the catalogue
     meta = " UNION ALL ".join(
         f"SELECT {i} AS position, {lit(c)} AS \"column\", {lit(types[c])} AS dtype, "
         + (f"{lit(roles[c])}" if c in roles else "CAST(NULL AS VARCHAR)") + " AS role"
-        for i, c in enumerate(ORDER_LINE_COLUMNS))
+        for i, c in enumerate(columns))
     return with_(
-        LINES + f",\nu AS ({_unpivot(ORDER_LINE_COLUMNS, 'lines')}),\n"
+        ctes + f",\nu AS ({_unpivot(columns, source)}),\n"
         "g AS (SELECT \"column\", value, COUNT(*) AS n FROM u GROUP BY \"column\", value),\n"
         "pc AS (SELECT \"column\", CAST(COALESCE(SUM(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) "
         "AS null_count, COUNT(value) AS unique_count FROM g GROUP BY \"column\"),\n"
@@ -394,6 +402,7 @@ def build() -> dict[str, str]:
                  f"FROM v1_proc WHERE {NAME} IS NOT NULL AND {CODE} IS NOT NULL "
                  f"GROUP BY {NAME}, {CODE} ORDER BY product_name, product_code")
     o["column_profile"] = _column_profile_sql()
+    o["catalog_profile"] = _column_profile_sql("products")
     o["table_profile"] = _table_profile_sql()
     o["numeric_summary"] = _numeric_summary_sql()
     o["date_range"] = with_(V1_CTES, f"SELECT MIN({TIME}) AS start, MAX({TIME}) AS \"end\" "

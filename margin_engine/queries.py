@@ -231,6 +231,11 @@ def column_profile(spark, sf):
     return prof.withColumn("sample_values", F.to_json("sample_values"))
 
 
+def catalog_profile(spark, sf):
+    prof = P.column_profile(_products(spark, sf), kind="product")
+    return prof.withColumn("sample_values", F.to_json("sample_values"))
+
+
 def table_profile(spark, sf):
     return P.table_profile(FX.table(spark, sf, "documents"))
 
@@ -338,6 +343,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shop_summary": shop_summary,
     "product_summary": product_summary,
     "column_profile": column_profile,
+    "catalog_profile": catalog_profile,
     "table_profile": table_profile,
     "numeric_summary": numeric_summary,
     "date_range": date_range,
