@@ -156,11 +156,13 @@ class FixedRun:
     processed: DataFrame
 
     def counters(self) -> DataFrame:
+        """A11 (fixed schema): input lines, cleaned lines, matched lines."""
         spark = self.orders.sparkSession
         pkey = self.match.product_names.get(K.V1_PRODUCT_KEY, K.V1_PRODUCT_KEY)
         return R.counters_frame(spark, [
             ("original_orders", self.orders.agg(F.count(F.lit(1)))),
             ("cleaned_orders", self.cleaned.agg(F.count(F.lit(1)))),
+            # the catalogue key is non-null exactly on matched rows
             ("matched_orders", self.processed.agg(F.count(F.col(f"`{pkey}`")))),
         ])
 

@@ -115,3 +115,13 @@ def test_key_search_reads_only_key_columns(spark, sf001):
     plan = executed_plan(J.key_search(lines, products, pc, oc))
     scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "lines" in ln]
     assert scan and all("买家实付" not in ln for ln in scan), scan
+
+
+def test_exact_dedup_keeps_first_with_partial_hash_aggregate(spark, sf001):
+    from margin_engine.operators.dedup import exact_dedup
+    lines = FX.order_lines(spark, sf001).withColumn("seq", F.monotonically_increasing_id())
+    dd = exact_dedup(lines, keep_first_by=["seq"])
+    plan = executed_plan(dd)
+    assert "SortAggregate" not in plan
+    assert "partial_min(seq" in plan, plan
+    assert dd.count() == FX.order_lines(spark, sf001).distinct().count()
