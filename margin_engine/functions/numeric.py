@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Decimal type used inside money sums so totals do not depend on task order.
+# Values are converted with try_cast: a non-finite or out-of-range value
+# becomes null (skipped by the sum) instead of failing the job under ANSI mode.
 MONEY = T.DecimalType(18, 4)
 
 # FIXED VALUE: the accepted number shape (surrounding ASCII white space allowed).
@@ -67,13 +69,14 @@ def finite_or_zero(col: Column) -> Column:
 def money_sum(col: Column | str) -> Column:
     """Exact sum of money values (decimal inside, double out)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.cast(MONEY)).cast("double")
+    return F.sum(c.try_cast(MONEY)).cast("double")
 
 
 def exact_mean(col: Column | str) -> Column:
     """Mean computed as exact decimal sum / count; null when no values."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.cast(MONEY)).cast("double") / F.count(c).cast("double")
+    m = c.try_cast(MONEY)
+    return F.sum(m).cast("double") / F.count(m).cast("double")
 
 
 def column_type(df: DataFrame, name: str) -> T.DataType:

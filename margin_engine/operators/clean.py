@@ -83,7 +83,7 @@ def order_sums(base: DataFrame, order_id: str, amount: str) -> DataFrame:
     """Per-order line count and exact amount sum (null order id is its own group)."""
     return base.groupBy(_c(order_id)).agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.sum(_c(amount).cast(MONEY)).alias("_sum"),
+        F.sum(_c(amount).try_cast(MONEY)).alias("_sum"),
     ).select(_c(order_id), "n_lines",
              F.col("_sum").cast("double").alias("order_amount"),
              (F.col(order_id).isNotNull() & F.coalesce(F.col("_sum") > 0, F.lit(False)))
@@ -102,7 +102,7 @@ def keep_positive_orders(lines: DataFrame, base: DataFrame, order_id: str,
     rule needs to split the line side of a hot order into several tasks.
     """
     qualifying = (base.groupBy(F.struct(_c(order_id)).alias("__k"))
-                  .agg(F.sum(_c(amount).cast(MONEY)).alias("_sum"))
+                  .agg(F.sum(_c(amount).try_cast(MONEY)).alias("_sum"))
                   .filter((F.col("_sum") > 0) & F.col(f"__k.`{order_id}`").isNotNull())
                   .select(F.col(f"__k.`{order_id}`").alias("__oid")))
     return lines.join(qualifying, _c(order_id) == F.col("__oid"), "left_semi")
