@@ -23,7 +23,7 @@ def json_safe(df: DataFrame, scale: int = 4) -> DataFrame:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(c.isNull(), F.lit(None)).when(
                 F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(0.0)
-            ).otherwise(round_half_even(c, scale)).cast(T.DecimalType(38, scale))
+            ).otherwise(round_half_even(c, scale)).try_cast(T.DecimalType(38, scale))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
