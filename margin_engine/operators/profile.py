@@ -137,7 +137,8 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 def _zero_normalised(v: Column) -> Column:
     # -0.0 and 0.0 compare equal; report one of them so min/max are stable.
-    return F.when(v == F.lit(0.0), F.lit(0.0)).otherwise(v)
+    # NaN is a missing value for the summary (as in a pandas describe()).
+    return F.when(F.isnan(v), F.lit(None)).when(v == F.lit(0.0), F.lit(0.0)).otherwise(v)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -44,9 +44,9 @@ def _c(name: str) -> Column:
 
 
 def _normalised(v: Column) -> Column:
-    # -0.0 and 0.0 are one value.
+    # -0.0 and 0.0 are one value; NaN counts as missing.
     d = v.cast("double")
-    return F.when(d == F.lit(0.0), F.lit(0.0)).otherwise(d)
+    return F.when(F.isnan(d), F.lit(None)).when(d == F.lit(0.0), F.lit(0.0)).otherwise(d)
 
 
 @dataclass(frozen=True)
@@ -185,7 +185,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     """Rows ``(column, p, value)``: exact quantiles with linear interpolation
     at position ``p * (n - 1)`` over the non-null values; null when empty."""
     spark = df.sparkSession
-    stats = df.agg(*[F.count(_c(c)).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
+    stats = df.agg(*[F.count(_normalised(_c(c))).alias(f"n{i}")
+                     for i, c in enumerate(columns)]).collect()[0]
     counts = {c: int(stats[f"n{i}"]) for i, c in enumerate(columns)}
     # A row count within the bound also bounds the distinct values; only
     # larger columns pay for a distinct-count estimate (which has ~5% error,

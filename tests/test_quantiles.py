@@ -61,3 +61,10 @@ def test_approximate_profiles(spark, sf001):
     for c, e in exact_prof.items():
         assert prof[c]["null_count"] == e["null_count"]
         assert abs(prof[c]["unique_count"] - e["unique_count"]) <= 0.1 * e["unique_count"] + 1
+
+
+def test_nan_is_missing_in_numeric_summary(spark):
+    from margin_engine.operators.profile import numeric_summary
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    r = numeric_summary(df).collect()[0]
+    assert (r["count"], r["mean"], r["min"], r["p50"], r["max"]) == (2, 2.0, 1.0, 2.0, 3.0)
