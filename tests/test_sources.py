@@ -69,3 +69,19 @@ def test_previews(spark):
     prev = fixed_preview(fixed.processed).collect()
     assert len(prev) == 10
     assert all(r["买家实付"].startswith("¥") for r in prev)
+
+
+def test_role_files_pick_latest_per_role(spark):
+    import os
+    import time
+    base = tempfile.mkdtemp(prefix="me-roles-")
+    src = FX.table(spark, SF, "region").toPandas()
+    for name in ("产品信息表-总.parquet", "订单9.14.parquet", "订单9.15.parquet", "账单.parquet",
+                 "notes.parquet"):
+        src.to_parquet(os.path.join(base, name))
+        time.sleep(0.05)
+    later = os.path.join(base, "订单9.14.parquet")
+    os.utime(later, (time.time() + 60, time.time() + 60))     # newest order export
+    picked = {r["role"]: r["name"] for r in S.pick_role_files(S.file_catalogue(spark, base)).collect()}
+    assert picked == {"product": "产品信息表-总.parquet", "order": "订单9.14.parquet",
+                      "bill": "账单.parquet"}
