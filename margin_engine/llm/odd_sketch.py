@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ _TIMES = mix(np.arange(1001, 1001 + _K, dtype=np.uint64)) | np.uint64(1)
 #: Largest XOR count of two sketches that similarity 0.75 gives within six deviations.
 MAX_XOR = 146
 NUM, DEN = 3, 4
+PAIR_BYTES = 2 << 20
 
 SIGNED = "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, bands array<bigint>, sketch array<bigint>"
 
@@ -116,10 +118,12 @@ def _sign(batches):
 
 def _confirm(batches):
     for batch in batches:
-        left = list(blocks(batch, "text_a", 1 << 62))
-        right = list(blocks(batch, "text_b", 1 << 62))
-        for (rows, a), (_, b) in zip(left, right):
-            (va, oa), (vb, ob) = shingle_sets(a), shingle_sets(b)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy().astype(np.int64) for i in (2, 3))
+        part = np.cumsum(sizes) // PAIR_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            rows = batch.slice(lo, hi - lo)
+            (va, oa), (vb, ob) = (shingle_sets(block) for name in ("text_a", "text_b") for _, block in blocks(rows, name, 1 << 62))
             keep = []
             for i in range(len(rows)):
                 x, y = va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, odd_sketch, quality_rules, token_files
+from . import decontaminate, mixing, ngram_lm, odd_sketch, pii, quality_model, quality_rules, suffix_dedup, token_files, tool_calls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op2_ngram_lm": ngram_lm.op2,
+    "op3_quality_model": quality_model.op3,
+    "op4_tool_calls": tool_calls.op4,
+    "op5_pii": pii.op5,
+    "op6_suffix_dedup": suffix_dedup.op6,
     "op7_mixing": mixing.op7,
     "op8_token_files": token_files.op8,
     "op9_odd_sketch": odd_sketch.op9,
