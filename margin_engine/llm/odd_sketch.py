@@ -8,8 +8,9 @@
 3. Representatives that share a band are candidates.  At similarity 0.75 a
    pair shares no band with probability (1 - 0.75^4)^48 = 1e-8.
    Round 1 tests each against its most similar bucket minimum (by sketch).
-   Round 2 tests, in every bucket that still spans several components, all
-   pairs between different components whose sketches allow the threshold.
+   Round 2 compares, in every bucket that still spans several components, the
+   sketches of members of different components and near sizes; only pairs that
+   sizes and sketches allow leave the join and are confirmed.
    The sketch test keeps six standard deviations: it only drops
    pairs whose XOR count shows a similarity under about 0.44.
 4. Every link is confirmed on the full shingle sets, and components follow by
@@ -136,14 +137,20 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sign, SIGNED)
 
 
+def _xor():
+    return sum((F.bit_count(F.col("s_u")[i].bitwiseXOR(F.col("s_v")[i])) for i in range(BITS // 64)), F.lit(0))
+
+
+def _allowed():
+    """What sketches (s_u, s_v) and set sizes (n_u, n_v) of a pair allow."""
+    return (DEN * F.least("n_u", "n_v") >= NUM * F.greatest("n_u", "n_v")) & (_xor() <= MAX_XOR)
+
+
 def _similar(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (u, v) that sketches and set sizes allow, with their XOR count."""
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    xor = sum((F.bit_count(F.col("s_u")[i].bitwiseXOR(F.col("s_v")[i])) for i in range(BITS // 64)), F.lit(0))
-    return (pairs.join(side("u"), "u").join(side("v"), "v").withColumn("xor", xor)
-            .filter((F.col("xor") <= MAX_XOR)
-                    & (DEN * F.least("n_u", "n_v") >= NUM * F.greatest("n_u", "n_v")))
-            .select("u", "v", "xor"))
+    return (pairs.join(side("u"), "u").join(side("v"), "v").filter(_allowed())
+            .withColumn("xor", _xor()).select("u", "v", "xor"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -180,11 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = members.join(found, F.col("rep") == F.col("node"), "left").select(
         "band", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    open_ = materialize(labelled.join(mixed.select("band"), "band"), "open")
-    a, b = (open_.select("band", F.col("rep").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv")
-    cross = a.join(b, "band").filter("u > v and root_u <> root_v").select("u", "v").distinct()
-    tested = best.select(F.col("u"), F.col("v"))
-    more = _verified(_similar(cross, sketches).select("u", "v").join(tested, ["u", "v"], "left_anti"), texts)
+    open_ = materialize(labelled.join(mixed.select("band"), "band").join(sketches, "rep").withColumn(
+        "class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))), "open")
+    # sets of similarity 0.75 differ by one size class at most; pairs leave the join only if sketches allow them
+    u = open_.select(F.col("band"), F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class"),
+                     F.col("rep").alias("u"), F.col("root").alias("root_u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
+    v = open_.select("band", "class", F.col("rep").alias("v"), F.col("root").alias("root_v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v"))
+    pair = (u["band"] == v["band"]) & (u["class"] == v["class"]) & (F.col("u") > F.col("v")) & (F.col("root_u") != F.col("root_v"))
+    cross = u.join(v, pair & _allowed()).select("u", "v").distinct()
+    more = _verified(cross.join(best, ["u", "v"], "left_anti"), texts)
     if more.limit(1).count():
         found = components(links.union(more))
     found = materialize(found, "components")
