@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 from ..plans.materialize import materialize
 from .blocks import _BYTES, blocks, mix, prefix_sums, ranges_hash
 
-LENGTH, GRAM = 400, 200
-_SPAN = LENGTH - GRAM + 1
+LENGTH, GRAM = 400, 128
+_SPAN = LENGTH - GRAM + 1  # at most 512: a place in a block takes nine bits
 HOT = 20_000
-RUN_BYTES = 32 << 20
-BUCKET_BYTES = 24 << 20
+RUN_BYTES = 12 << 20
+BUCKET_BYTES = 12 << 20
+CHUNK_BYTES = 2 << 20
 MAX_BITS = 28
 _SECOND = mix(_BYTES)
 
@@ -60,7 +61,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     grams = ranges_hash(sums, at, at + GRAM)
     blocks_ = -(-n // _SPAN)
     packed = np.full(blocks_ * _SPAN, np.uint64(0xFFFFFFFFFFFFFFFF))
-    packed[:len(grams)] = grams & ~np.uint64(0xFF)
+    packed[:len(grams)] = grams & ~np.uint64(0x1FF)
     packed = packed.reshape(blocks_, _SPAN)
     packed |= np.arange(_SPAN, dtype=np.uint64)
     forward = np.minimum.accumulate(packed, axis=1).ravel()
@@ -68,8 +69,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     doc = np.repeat(np.arange(len(sizes)), per)
     start = np.arange(total) - np.repeat(np.cumsum(per) - per, per) + offsets[:-1][doc]
     left, right = backward[start], forward[start + _SPAN - 1]
-    eight, low = np.uint64(8), np.uint64(0xFF)
-    first = (left >> eight) <= (right >> eight)
+    nine, low = np.uint64(9), np.uint64(0x1FF)
+    first = (left >> nine) <= (right >> nine)
     anchor = np.where(first, start // _SPAN * _SPAN + (left & low).astype(np.int64),
                       (start + _SPAN - 1) // _SPAN * _SPAN + (right & low).astype(np.int64))
     new = np.ones(total, dtype=bool)
@@ -306,7 +307,7 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
                 take(pending)
             pending = None
             group += 1
-            if size > (8 << 20):
+            if size > CHUNK_BYTES:
                 flush()
                 size = 0
             pending = entry
@@ -354,7 +355,7 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     limit = max(HOT, rows // 1_000_000)  # so at most a million grams are hot
     hot = np.array([r["gram"] for r in grams.filter(F.col("n") > int(limit)).select("gram").collect()], dtype=np.int64).view(np.uint64)
     bitmap, hot_set = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(np.sort(hot))
-    buckets = max(1, -(-rows * (LENGTH + GRAM) // BUCKET_BYTES))
+    buckets = max(1, -(-rows * (LENGTH + _SPAN // 2) // BUCKET_BYTES))
     removed = keyed.mapInArrow(_runs(bitmap, bits, hot_set, buckets), "bucket int, run binary").groupBy(
         "bucket").applyInArrow(_merge_bucket, _REMOVED)
     if len(hot):
