@@ -43,8 +43,8 @@ from .quality_model import held_out
 
 MU = 500.0
 HEAD = 65_000
-SHARD_TOKENS = 3_000_000
-MAP_BYTES = 8 << 20
+SHARD_TOKENS = 1_500_000
+MAP_BYTES = 4 << 20
 END = np.uint64(0xE17D0F7E47)
 BEGIN_CODE, TAIL_CODE = 65_534, 65_535
 BINS = 65_535
