@@ -44,6 +44,7 @@ from .quality_model import held_out
 MU = 500.0
 HEAD = 65_000
 SHARD_TOKENS = 1_500_000
+MIN_SHARDS = 64  # keeps every core of a cluster busy on small inputs
 MAP_BYTES = 4 << 20
 END = np.uint64(0xE17D0F7E47)
 BEGIN_CODE, TAIL_CODE = 65_534, 65_535
@@ -293,7 +294,7 @@ def score(docs: DataFrame) -> DataFrame:
         hashes, freq = np.append(hashes, END), np.append(freq, 0)
     head = spark.sparkContext.broadcast(Head(hashes, freq, n, v))
     tokens = n * 10 // 9
-    shards = max(1, -(-tokens // SHARD_TOKENS))
+    shards = max(MIN_SHARDS, -(-tokens // SHARD_TOKENS))
     posted = docs.mapInArrow(_posting(head, shards), _POSTED)
     sums = posted.groupBy("shard").applyInArrow(_score(head), _DOC)
     return sums.groupBy("row_key").agg(
