@@ -42,8 +42,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def id_width(tokenizer: str) -> int:
+    """Bytes that hold every id of the vocabulary."""
+    from .tokens import _tokenizer
+
+    return 2 if _tokenizer(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
 def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): packed little-endian unsigned 32-bit ids with the end id."""
+    """(doc_id, ids): packed ids with the end id, of ``id_width`` bytes each, little-endian."""
+    width = id_width(tokenizer)
 
     def run(batches):
         from .tokens import Encoder
@@ -52,29 +60,32 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for rows, block in blocks(batch, "text", 1 << 20):
                 ids, offsets = encoder.encode(block)
-                ends = np.insert(ids, offsets[1:], END_ID).astype("<u4")
+                ends = np.insert(ids, offsets[1:], END_ID).astype(f"<u{width}")
                 cuts = offsets + np.arange(len(offsets))
-                packed = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(ends)])
+                packed = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(ends)])
                 yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), packed], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def _count(batches):
-    total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for _, block in blocks(batch, "ids", 8 << 20):
-            own = np.bincount(np.frombuffer(block.data.tobytes(), "<u4"))
-            if len(own) > len(total):
-                own[:len(total)] += total
-                total = own
-            else:
-                total[:len(own)] += own
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+def _counter(width: int):
+    def run(batches):
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for _, block in blocks(batch, "ids", 4 << 20):
+                own = np.bincount(np.frombuffer(block.data.tobytes(), f"<u{width}"))
+                if len(own) > len(total):
+                    own[:len(total)] += total
+                    total = own
+                else:
+                    total[:len(own)] += own
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+
+    return run
 
 
-def _packer(table):
+def _packer(table, width: int):
     def run(batches):
         context = TaskContext.get()
         part, seq, before = context.partitionId() if context else 0, 0, 0
@@ -102,11 +113,11 @@ def _packer(table):
         held = 0
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
                 if held and held + len(ids) > BLOCK_TOKENS:
                     flush()
                     held = 0
-                held_ids.append(ids.copy())
+                held_ids.append(ids.astype("<u4"))
                 held_docs.append(doc)
                 held += len(ids)
                 if len(columns[0]) >= 8:
@@ -122,12 +133,15 @@ def _packer(table):
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` as token files under ``path`` (a folder that all executors share)."""
     spark = docs.sparkSession
-    tokenise(docs, tokenizer or default_tokenizer(), id_col, text_col).write.parquet(f"{path}/ids")
+    tokenizer = tokenizer or default_tokenizer()
+    width = id_width(tokenizer)
+    tokenise(docs, tokenizer, id_col, text_col).write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
-    counts = ids.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("ids").mapInArrow(_counter(width), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts.coalesce(1).write.parquet(f"{path}/table")
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_packer(_table(spark, path)), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(_packer(_table(spark, path), width), BLOCK_SCHEMA).write.option(
+        "compression", "none").parquet(f"{path}/blocks")
 
 
 def _table(spark, path: str):
