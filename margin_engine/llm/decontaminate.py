@@ -150,6 +150,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     if mode != "spans":
         raise ValueError("mode is 'documents' or 'spans'")
 
+    names = docs.columns
+
     def cut(batches):
         for batch in batches:
             for rows, block in blocks(batch, text_col):
@@ -163,8 +165,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                             kept.append(raw[at:block.starts[block.first[r] + s["start"]] - base])
                             at = block.ends[block.first[r] + s["end"] - 1] - base
                         texts[r] = b"".join([*kept, raw[at:]]).decode()
-                cols = [pa.array(texts, rows.column(i).type) if k == i else rows.column(k) for k in range(len(docs.columns))]
-                yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+                cols = [pa.array(texts, rows.column(i).type) if k == i else rows.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return scanned.mapInArrow(cut, docs.schema)
 
