@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Decimal type used inside money sums so totals do not depend on task order.
-# Values are converted with try_cast: a non-finite or out-of-range value
-# becomes null (skipped by the sum) instead of failing the job under ANSI mode.
-MONEY = T.DecimalType(18, 4)
+# 22 integer and 6 fraction digits; sums have 38 digits.  Values are converted
+# with try_cast: a non-finite value, or one of 1e22 or more, becomes null
+# (skipped by the sum); ``money_misfits`` counts them.
+MONEY = T.DecimalType(28, 6)
 
 # FIXED VALUE: the accepted number shape (surrounding ASCII white space allowed).
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -79,5 +80,11 @@ def exact_mean(col: Column | str) -> Column:
     return F.sum(m).cast("double") / F.count(m).cast("double")
 
 
+def money_misfits(col: Column | str) -> Column:
+    """Number of values that the money type cannot hold (non-finite or 1e22 and more)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.count(F.when(c.isNotNull() & c.try_cast(MONEY).isNull(), F.lit(1)))
+
+
 def column_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType

@@ -8,7 +8,7 @@ either the first hit or all hits.  An explicit override map always wins.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from .. import constants as K
 
@@ -28,22 +28,14 @@ def first_column(columns: Iterable[str], keywords: Sequence[str]) -> str | None:
     return hits[0] if hits else None
 
 
-def split_profile_roles(columns: Iterable[str]) -> dict[str, list[str]]:
-    """Exclusive if/elif classification used by the order-column profile:
-    sku, else amount, else status, else shop."""
-    roles: dict[str, list[str]] = {"sku_columns": [], "amount_columns": [],
-                                   "status_columns": [], "shop_columns": []}
-    for c in columns:
-        low = str(c).lower()
-        if any(k in low for k in K.KW_ORDER_SKU):
-            roles["sku_columns"].append(c)
-        elif any(k in low for k in K.KW_ORDER_AMOUNT_PROFILE):
-            roles["amount_columns"].append(c)
-        elif any(k in low for k in K.KW_ORDER_STATUS_PROFILE):
-            roles["status_columns"].append(c)
-        elif any(k in low for k in K.KW_SHOP_PROFILE):
-            roles["shop_columns"].append(c)
-    return roles
+#: Roles of the order-table profile, most specific first.
+PROFILE_ROLES = (("sku", K.KW_ORDER_SKU), ("amount", K.KW_ORDER_AMOUNT_PROFILE),
+                 ("status", K.KW_ORDER_STATUS_PROFILE), ("shop", K.KW_SHOP_PROFILE))
+
+
+def profile_role(column: str) -> str | None:
+    """The first profile role one of whose words the column's name contains."""
+    return next((role for role, words in PROFILE_ROLES if find_columns([column], words)), None)
 
 
 @dataclass(frozen=True)
@@ -82,31 +74,3 @@ class MarginRoles:
     cost: str | None
     quantity: str | None
     revenue: str | None
-
-    @classmethod
-    def resolve(cls, order_columns: Sequence[str], product_columns: Sequence[str],
-                overrides: Mapping[str, object] | None = None) -> "MarginRoles":
-        o = dict(overrides or {})
-        merged = list(order_columns) + list(product_columns)
-        return cls(
-            cost=o.get("cost", first_column(product_columns, K.KW_COST)),
-            quantity=o.get("quantity", first_column(merged, K.KW_QUANTITY)),
-            revenue=o.get("revenue", first_column(merged, K.KW_REVENUE)),
-        )
-
-
-@dataclass(frozen=True)
-class DedupRoles:
-    """Business-dedup key: first order-id, first SKU and first spec column."""
-
-    keys: tuple[str, ...] = field(default_factory=tuple)
-
-    @classmethod
-    def resolve(cls, columns: Sequence[str],
-                overrides: Mapping[str, object] | None = None) -> "DedupRoles":
-        o = dict(overrides or {})
-        if "keys" in o:
-            return cls(tuple(o["keys"]))
-        keys = [first_column(columns, kw)
-                for kw in (K.KW_ORDER_ID, K.KW_DEDUP_SKU, K.KW_DEDUP_SPEC)]
-        return cls(tuple(k for k in keys if k is not None))

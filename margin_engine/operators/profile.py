@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import is_numeric_type, round_half_even
-from ..functions.roles import find_columns, split_profile_roles
+from ..functions.roles import find_columns, profile_role
 from .quantiles import exact_quantiles
 
 STAT_DIGITS = 6
@@ -46,13 +46,7 @@ def profile_roles(columns: Sequence[str], kind: str = "order") -> dict[str, str]
     status, shop), C1a for a product table (potential SKU columns)."""
     if kind == "product":
         return {c: "sku" for c in find_columns(columns, K.KW_PROFILE_SKU)}
-    roles = split_profile_roles(columns)
-    out = {}
-    for role, key in (("sku", "sku_columns"), ("amount", "amount_columns"),
-                      ("status", "status_columns"), ("shop", "shop_columns")):
-        for c in roles[key]:
-            out[c] = role
-    return out
+    return {c: role for c in columns if (role := profile_role(c))}
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,

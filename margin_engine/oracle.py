@@ -6,7 +6,7 @@ DuckDB SQL.  Expressions that must agree bit for bit:
 
 * coercion: the same number regex, then ``TRY_CAST(trim(x) AS DOUBLE)``;
 * rounding: ``round_even(x * 10^d, 0) / 10^d`` (= ``rint`` on the Spark side);
-* money sums: ``SUM(CAST(x AS DECIMAL(18,4)))`` cast back to DOUBLE;
+* money sums: ``SUM(CAST(x AS DECIMAL(28,6)))`` cast back to DOUBLE;
 * means: exact decimal sum / count, both as DOUBLE;
 * "first" rows: row_number over the same ordering, ``ASC NULLS FIRST``.
 """
@@ -44,11 +44,11 @@ def strip(x: str) -> str:
 
 
 def money_sum(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({x} AS DECIMAL(28,6))) AS DOUBLE)"
 
 
 def exact_mean(x: str) -> str:
-    return f"(CAST(SUM(CAST({x} AS DECIMAL(18,4))) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE))"
+    return f"(CAST(SUM(CAST({x} AS DECIMAL(28,6))) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE))"
 
 
 def not_eq(c: str, v: str) -> str:
@@ -100,7 +100,7 @@ def clean_ctes(include_closed=False, include_offline=False, shops=None,
              f"base AS (SELECT * FROM typed WHERE {keyword_preds(include_closed, include_offline)})"]
     if with_order_id:
         parts.append(f"qual AS (SELECT {OID} FROM base WHERE {OID} IS NOT NULL GROUP BY {OID} "
-                     f"HAVING SUM(CAST({PAID} AS DECIMAL(18,4))) > 0)")
+                     f"HAVING SUM(CAST({PAID} AS DECIMAL(28,6))) > 0)")
         cond = f"{OID} IN (SELECT {OID} FROM qual)"
     else:
         cond = f"{PAID} > 0"
@@ -257,7 +257,7 @@ def build() -> dict[str, str]:
     o["order_level_filter"] = with_(
         clean_ctes(),
         f"SELECT {OID}, COUNT(*) AS n_lines, {money_sum(PAID)} AS order_amount, "
-        f"({OID} IS NOT NULL AND COALESCE(SUM(CAST({PAID} AS DECIMAL(18,4))) > 0, false)) AS kept "
+        f"({OID} IS NOT NULL AND COALESCE(SUM(CAST({PAID} AS DECIMAL(28,6))) > 0, false)) AS kept "
         f"FROM base GROUP BY {OID}")
     o["row_level_filter"] = with_(clean_ctes(with_order_id=False), "SELECT * FROM cleaned")
     o["shop_filter"] = with_(clean_ctes(shops=SELECTED_SHOPS), "SELECT * FROM cleaned")
@@ -424,17 +424,28 @@ def build() -> dict[str, str]:
            + o["shop_rollup"].split("\n")[-1] + ")")
     v1_cols = LINE_COLS + [PKEY, ITEM, SKU, COST, "profit", "margin"]
     v1_page = f"(SELECT * FROM v1_proc ORDER BY {_order(v1_cols)} LIMIT 10)"
-    # 订单号, 店铺名称, 商品编码 (first column containing 商品), 买家实付, 成本,
-    # then the first two other columns (商品名称, 数量).
+    # Per priority word the first column that contains it, then two columns that contain none.
+    plain = (f"CASE WHEN COALESCE({PAID}, 0) = 0 THEN '' ELSE "
+             f"regexp_replace(CAST(CAST({PAID} AS DECIMAL(28,6)) AS VARCHAR), '\\.?0+$', '') END AS {PAID}")
+    text_cells = ", ".join(f"COALESCE({c}, '') AS {c}" for c in (SHOP, CODE, PKEY, COST, MARK, OID, NAME))
     o["priority_preview"] = with_(
-        V1_CTES, f"SELECT {OID}, {SHOP}, {CODE}, {PAID}, {COST}, {NAME}, {QTY} FROM {v1_page}")
-    money = "CASE WHEN {c} IS NULL THEN '' ELSE '¥' || printf('%.2f', {c}) END"
+        K, f"SELECT {text_cells}, {plain} FROM (SELECT * FROM final ORDER BY {_order(MARGINED_COLS)} LIMIT 10)")
+
+    def fixed(x: str, digits: int) -> str:  # exact binary value, exact ties away from zero
+        return (f"printf('%.{digits}f', CASE WHEN (abs({x}) * {2 ** (digits + 1)}) % 2 = 1 "
+                f"THEN {x} + sign({x}) * {10.0 ** -(digits + 1)!r}::DOUBLE ELSE {x} END)")
+
     o["fixed_preview"] = with_(
         V1_CTES,
-        f"SELECT {OID}, {SHOP}, {NAME}, {money.format(c=PAID)} AS {PAID}, "
-        f"{money.format(c=COST)} AS {COST}, {money.format(c='profit')} AS profit, "
-        "CASE WHEN margin IS NULL THEN '' ELSE printf('%.1f', margin * 100.0) || '%' END "
-        f"AS margin FROM {v1_page}")
+        f"SELECT COALESCE({SHOP}, '') AS {SHOP}, COALESCE({NAME}, '') AS {NAME}, COALESCE({CODE}, '') AS {CODE}, "
+        + ", ".join(f"'¥' || {fixed(f'COALESCE({c}, 0.0)::DOUBLE', 2)} AS {n}"
+                    for c, n in ((PAID, PAID), (COST, COST), ("profit", '"利润"')))
+        + f", {fixed('(COALESCE(margin, 0.0) * 100.0)::DOUBLE', 1)} || '%' AS \"毛利率\" FROM {v1_page}")
+    o["safe_json_nulls"] = (
+        "SELECT to_json({'k': l_orderkey || '-' || l_linenumber, 't': CASE WHEN l_linenumber > 1 THEN l_linestatus END, "
+        "'x': CASE WHEN l_linenumber = 1 THEN 0.0::DOUBLE ELSE l_quantity::DOUBLE END, "
+        "'arr': [0.0::DOUBLE, NULL, 1.0::DOUBLE]}) AS json FROM lineitem")
+    o["export_roundtrip"] = o["margin_fixed"]
     o["run_counters_fixed"] = with_(
         V1_CTES,
         "SELECT 'original_orders' AS counter, CAST(COUNT(*) AS BIGINT) AS value FROM lines "

@@ -34,6 +34,8 @@ def export_run(processed: DataFrame, target: str, fmt: str = "parquet",
                date_format: str | None = None) -> ExportResult:
     """Write the detail (refusing to publish an empty result) and,
     for the fixed-schema table, the shop and product summaries."""
+    if processed.isEmpty():  # refused before anything is written
+        return ExportResult(False, 0, {})
     obs = Observation("export")
     observed = processed.observe(obs, F.count(F.lit(1)).alias("rows"))
     detail = f"{target.rstrip('/')}/detail"
@@ -45,12 +47,14 @@ def export_run(processed: DataFrame, target: str, fmt: str = "parquet",
     writer.save(detail)
     rows = int(obs.get.get("rows", 0))
     paths = {"detail": detail}
-    if rows == 0:
-        return ExportResult(False, 0, paths)
     if summaries:
         spark = processed.sparkSession
-        back = spark.read.format(fmt).option("header", header).load(detail) if fmt == "csv" \
-            else spark.read.format(fmt).load(detail)
+        reader = spark.read.format(fmt).schema(processed.schema)  # same names and types as written
+        if fmt == "csv":
+            reader = reader.option("header", header)
+            if date_format:
+                reader = reader.option("dateFormat", date_format)
+        back = reader.load(detail)
         for name, df in (("shop_summary", R.shop_summary(back)),
                          ("product_summary", R.product_summary(back))):
             p = f"{target.rstrip('/')}/{name}"

@@ -124,7 +124,8 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     # the output names of their own side (a clashing name is suffixed).
     merged = ([(c, mres.order_names[c]) for c in orders.columns if c in mres.order_names]
               + list(mres.product_names.items()))
-    product_side = list(mres.product_names.items())
+    # a product column whose name clashes (and is suffixed) wins for the cost
+    product_side = sorted(mres.product_names.items(), key=lambda pair: pair[0] == pair[1])
     m_over = dict(r.get("margin") or {})
     mroles = MarginRoles(
         cost=_resolve(product_side, K.KW_COST, m_over.get("cost")),

@@ -252,7 +252,7 @@ def preview_page(spark, sf):
 
 
 def priority_preview(spark, sf):
-    return PV.priority_preview(_fixed(spark, sf).processed, PREVIEW_ROWS)
+    return PV.priority_preview(_run(spark, sf).processed, PREVIEW_ROWS)
 
 
 def fixed_preview(spark, sf):
@@ -273,6 +273,16 @@ def safe_json(spark, sf):
     return to_json_rows(_run(spark, sf).shop_rollup(), scale=4)
 
 
+def safe_json_nulls(spark, sf):
+    """Null keys, a non-finite number and a nested array over every line item."""
+    rows = FX.table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_linestatus")).alias("t"),
+        F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity").cast("double")).alias("x"),
+        F.array(F.lit(float("nan")), F.lit(None).cast("double"), F.lit(1.0)).alias("arr"))
+    return to_json_rows(rows)
+
+
 def file_catalogue(spark, sf):
     return S.file_catalogue(spark, sf)
 
@@ -352,6 +362,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fixed_preview": fixed_preview,
     "numeric_coercion": numeric_coercion,
     "safe_json": safe_json,
+    "safe_json_nulls": safe_json_nulls,
     "file_catalogue": file_catalogue,
     "export_roundtrip": export_roundtrip,
     "stream_ingest": stream_ingest,

@@ -75,9 +75,10 @@ UNION ALL
 FROM src WHERE repeat_key % 10 = 0"""
 
 CATALOG_SQL = """
-SELECT CAST(p_partkey AS STRING) AS {q}商家编码{q}, p_name AS {q}商品{q}, p_brand AS {q}SKU{q},
+SELECT CASE WHEN p_size <= 40 THEN CAST(p_partkey AS STRING) ELSE 'X' || CAST(p_partkey AS STRING) END AS {q}商家编码{q},
+       p_name AS {q}商品{q}, p_brand AS {q}SKU{q},
        CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS STRING) AS {q}成本{q}, 1 AS seq
-FROM {part} WHERE p_size <= 40
+FROM {part}
 UNION ALL
 SELECT CAST(p_partkey AS STRING), p_name, p_brand,
        CAST(CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 2 AS DECIMAL(18,2)) AS STRING), 2

@@ -23,13 +23,20 @@ def _text_schema_from_header(spark: SparkSession, path: str, sep: str) -> T.Stru
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               schema: T.StructType | None = None, sep: str = ",") -> DataFrame:
-    """Full scan of one tabular file or directory with a header row."""
+               schema: T.StructType | None = None, sep: str = ",",
+               multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """Full scan of one tabular file or directory with a header row.
+
+    ``multi_line`` allows line breaks inside quoted cells; such a file is one task, so
+    turn it off for large files without them."""
     fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
     if fmt == "csv":
         sch = schema or _text_schema_from_header(spark, path, sep)
+        # RFC quoting; a file whose header differs from the schema fails the read
         return (spark.read.schema(sch).option("header", True).option("sep", sep)
-                .option("mode", "PERMISSIVE").csv(path))
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+                .option("encoding", encoding).option("enforceSchema", False)
+                .option("mode", "FAILFAST").csv(path))
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from margin_engine.functions.jsonsafe import to_json_rows
 from margin_engine.functions.numeric import round_half_even, to_number
-from margin_engine.functions.roles import (DedupRoles, MarginRoles, OrderRoles, find_columns,
-                                           split_profile_roles)
+from margin_engine.functions.roles import OrderRoles, find_columns, profile_role
 from margin_engine.functions.text import (contains_ignore_case, money_display,
                                           not_contains_keep_null, not_equal_keep_null,
                                           percent_display, strip_key)
@@ -63,17 +62,22 @@ def test_contains_ignore_case_is_literal(spark):
 
 
 def test_display_format(spark):
-    df = spark.createDataFrame([(12.345, 0.1234), (None, None)], "m double, r double")
-    got = df.select(money_display("m"), percent_display("r")).collect()
-    assert tuple(got[0]) == ("¥12.35", "12.3%")
-    assert tuple(got[1]) == ("", "")
+    # by the exact binary value (1.005 and 2.675 lie below the tie), exact ties away from zero
+    rows = [(12.346, 0.1234), (None, None), (1.005, 0.0025), (2.675, -0.0025), (0.125, 1.0), (-0.125, 0.0), (1234567.891, 12.5)]
+    df = spark.createDataFrame(rows, "m double, r double")
+    got = [tuple(r) for r in df.select(money_display("m"), percent_display("r")).collect()]
+    assert got == [("¥12.35", "12.3%"), ("¥0.00", "0.0%"), ("¥1.00", "0.3%"), ("¥2.67", "-0.3%"), ("¥0.13", "100.0%"),
+                   ("¥-0.13", "0.0%"), ("¥1234567.89", "1250.0%")]
 
 
 def test_json_safe(spark):
     df = spark.createDataFrame([("a", 1.23456, float("inf")), ("b", None, float("nan"))],
                                "k string, x double, y double")
     got = sorted(r[0] for r in to_json_rows(df, 2).collect())
-    assert got == ['{"k":"a","x":1.23,"y":0.00}', '{"k":"b","y":0.00}']
+    assert got == ['{"k":"a","x":1.23,"y":0.00}', '{"k":"b","x":null,"y":0.00}']
+    nested = spark.sql("SELECT 0.00004D x, array(double('NaN'), 1.0D) a, named_struct('q', double('Infinity')) s, "
+                       "map('m', double('-Infinity')) m, CAST(NULL AS STRING) t")
+    assert to_json_rows(nested).first()[0] == '{"x":4.0E-5,"a":[0.0,1.0],"s":{"q":0.0},"m":{"m":0.0},"t":null}'
 
 
 def test_role_resolution_keyword_lists():
@@ -82,20 +86,14 @@ def test_role_resolution_keyword_lists():
     r = OrderRoles.resolve(cols)
     assert r.order_id == "订单号" and r.amount == "买家实付" and r.mark == "订单标记"
     assert r.statuses == ("线上订单状态", "明细状态") and r.shop == "店铺名称"
-    m = MarginRoles.resolve(cols, ["商家编码", "成本"])
-    assert (m.cost, m.quantity, m.revenue) == ("成本", "数量", "买家实付")
-    assert DedupRoles.resolve(cols + ["商家编码"]).keys == ("订单号", "商品编码", "规格")
     assert find_columns(["SKU", "商家编码", "x"], ("sku", "商家编码")) == ["SKU", "商家编码"]
     # overrides win
     assert OrderRoles.resolve(cols, {"amount": "付款时间"}).amount == "付款时间"
 
 
 def test_profile_roles_are_exclusive():
-    roles = split_profile_roles(["商品编号", "买家实付", "订单状态", "店铺", "价格状态"])
-    assert roles["sku_columns"] == ["商品编号"]
-    assert roles["amount_columns"] == ["买家实付", "价格状态"]
-    assert roles["status_columns"] == ["订单状态"]
-    assert roles["shop_columns"] == ["店铺"]
+    names = ["商品编号", "买家实付", "订单状态", "店铺", "价格状态", "备注"]
+    assert [profile_role(c) for c in names] == ["sku", "amount", "status", "shop", "amount", None]
 
 
 @pytest.mark.parametrize("term,expected", [("店", 2), ("zz", 0)])

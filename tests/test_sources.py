@@ -3,6 +3,8 @@ catalogue; export round trip."""
 
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from margin_engine.operators.preview import fixed_preview, priority_columns
@@ -58,14 +60,36 @@ def test_export_writes_detail_and_summaries(spark):
     assert set(res.paths) == {"detail", "shop_summary", "product_summary"}
     assert spark.read.parquet(res.paths["shop_summary"]).count() > 0
     empty = export_run(fixed.processed.limit(0), target + "_empty")
-    assert not empty.written and empty.rows == 0
+    assert not empty.written and empty.rows == 0 and empty.paths == {}
+    assert export_run(fixed.processed, target + "_empty").written  # the refusal left nothing behind
+    bare = export_run(fixed.processed, target + "_bare", fmt="csv", summaries=True, header=False)
+    assert set(bare.paths) == {"detail", "shop_summary", "product_summary"}
+
+
+def test_csv_quotes_line_breaks_and_headers(spark):
+    from margin_engine.sources.readers import read_table
+    base = tempfile.mkdtemp(prefix="me-csv-")
+    with open(f"{base}/a.csv", "w", encoding="utf-8") as f:
+        f.write('订单号,备注\nO1,"say ""hi"", ok"\nO2,"two\nlines"\n')
+    rows = [tuple(r) for r in read_table(spark, base, "csv").orderBy("订单号").collect()]
+    assert rows == [("O1", 'say "hi", ok'), ("O2", "two\nlines")]
+    with open(f"{base}/b.csv", "w", encoding="utf-8") as f:
+        f.write("备注,订单号\n7,O3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, base, "csv").collect()
+
+
+def test_large_and_small_amounts_stay(spark):
+    from margin_engine.operators.clean import clean_keyword
+    df = spark.createDataFrame([("O1", "200000000000000"), ("O2", "0.00004")], "`订单号` string, `买家实付` string")
+    assert clean_keyword(df).cleaned.count() == 2
 
 
 def test_previews(spark):
     fixed = run_fixed(FX.order_lines(spark, SF), drop_header_rows(FX.catalog(spark, SF)),
                       stamp=None)
-    assert priority_columns(fixed.processed.columns)[:5] == [
-        "订单号", "店铺名称", "商品编码", "买家实付", "成本"]
+    assert priority_columns(fixed.processed.columns) == [
+        "店铺名称", "商品编码", "商家编码", "成本", "买家实付", "订单标记", "订单号", "商品名称"]
     prev = fixed_preview(fixed.processed).collect()
     assert len(prev) == 10
     assert all(r["买家实付"].startswith("¥") for r in prev)
