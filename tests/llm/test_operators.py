@@ -315,3 +315,15 @@ def test_quality_rules(spark, docs, rows, empty):
         "doc_id", *[m + c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed").collect())
     assert got.filter("base_failed and kept").count() == 0
     assert quality_rules.apply_rules(empty.drop("kept")).count() == 0
+
+
+def test_set_sketch_bound():
+    """The XOR count of two set sketches is at most the size of the sets' difference."""
+    r = np.random.default_rng(3)
+    for n, changed in ((50, 3), (400, 60), (3000, 900)):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[changed:], r.integers(0, 1 << 63, changed, dtype=np.uint64)])
+        x, y = odd_sketch.set_sketches(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        count = int(np.bitwise_count(x ^ y).sum())
+        assert changed // 8 < count <= 2 * changed
+    assert odd_sketch.set_sketches(np.zeros(0, np.uint64), np.array([0, 0])).sum() == 0
