@@ -17,7 +17,8 @@ was predicted; so one shuffle of the token stream both trains and scores:
    values are log probabilities quantised to 16 bits.  The levels are one
    memory-mapped file without a name.  Tokens are looked up by successor search
    inside their word's range; unseen bigrams take the word's back-off value.
-4. Per document, partial sums are added.
+4. A shard answers each map block with one row of lists: the block's documents that
+   have tokens there and their partial sums.  A second grouping, by block, adds them up.
 
 Nothing is sampled or pruned: counts cover all training texts, whole.  A
 shard holds about ``SHARD_TOKENS`` tokens.  Words are told apart by 64-bit hashes.
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +121,7 @@ def _posting(shared, shards: int):
         log_p1 = np.log10(head.p1(head.counts))
         log_c = np.log10(head.counts + MU)
         context = TaskContext.get()
-        row_key = (context.partitionId() if context else 0) << 36
+        key = (context.partitionId() if context else 0) << 36
         turn = 0
         for batch in batches:
             for rows, block in blocks(batch, "text", MAP_BYTES):
@@ -144,7 +146,7 @@ def _posting(shared, shards: int):
                 shard = np.where(tail, hashes, mix(hashes * np.uint64(3) + before)) % np.uint64(shards)
                 order = np.argsort(shard.astype(np.uint32), kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-                ids, keys, payloads = [], [], []
+                ids, payloads = [], []
                 for s in np.flatnonzero(np.diff(cuts)):
                     pick = order[cuts[s]:cuts[s + 1]]
                     r = row[pick]
@@ -156,22 +158,25 @@ def _posting(shared, shards: int):
                 none = [None] * len(ids)
                 # the rows' own sums ride with one shard's tokens
                 docs = pa.StructArray.from_arrays(
-                    [pa.array(row_key + np.arange(n)), rows.column(0).cast(pa.int64()), pa.array(np.bincount(row, minlength=n)),
-                     pa.array(have), pa.array(base), pa.array(score), pa.array(out)],
-                    names=["row_key", "doc_id", "n_tokens", "n_known", "base", "score", "held_out"])
+                    [rows.column(0).cast(pa.int64()), pa.array(out), pa.array(np.bincount(row, minlength=n)),
+                     pa.array(have), pa.array(base), pa.array(score)], names=_OWN)
                 docs = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), docs)
                 own = pa.concat_arrays([pa.array(none, docs.type), docs])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*ids, turn % shards], pa.int32()), pa.array([row_key] * (len(ids) + 1), pa.int64()),
-                     pa.array([*payloads, None], pa.binary()), own], names=["shard", "row_key", "payload", "docs"])
-                row_key += n
+                    [pa.array([*ids, turn % shards], pa.int32()), pa.array([key] * (len(ids) + 1), pa.int64()),
+                     pa.array([*payloads, None], pa.binary()), own], names=["shard", "block", "payload", "docs"])
+                key += 1
                 turn += 1
 
     return run
 
 
-_DOC = "row_key bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, held_out boolean"
-_POSTED = f"shard int, row_key bigint, payload binary, docs array<struct<{', '.join(c.replace(' ', ':') for c in _DOC.split(', '))}>>"
+_OWN = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+_DOCS = "docs array<struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>>"
+_POSTED = f"shard int, block bigint, payload binary, {_DOCS}"
+_PARTIAL = f"block bigint, ordinals array<bigint>, n_known array<bigint>, base array<double>, score array<double>, {_DOCS}"
+_SCORED = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+           "base_score double, score double")
 
 
 class Trie:
@@ -224,29 +229,27 @@ class Trie:
 
 
 def _score(shared):
-    """Reduce side: one shard's tokens to partial sums per row."""
+    """Reduce side: one shard's tokens to partial sums, a row of lists for each map block."""
 
     def run(table: pa.Table) -> pa.Table:
         head = shared.value
-        keys, words, befores, trained, known_code = [], [], [], [], []
-        docs = []
-        for key, payload, own in zip(table["row_key"].to_pylist(), table["payload"], table["docs"]):
-            if own.is_valid:
-                docs.append(own.values)
+        blocks_, ordinals, runs, words, befores, trained, codes = [], [], [], [], [], [], []
+        own = table.filter(pc.is_valid(table["docs"]))
+        for key, payload in zip(table["block"].to_pylist(), table["payload"]):
             if not payload.is_valid:
                 continue
-            ordinals, runs, train, code1, code2, tail1, tail2 = _unpack(payload.as_buffer().to_pybytes())
+            rows, lengths, train, code1, code2, tail1, tail2 = _unpack(payload.as_buffer().to_pybytes())
             w1 = head.hashes[np.minimum(code1, len(head.hashes) - 1)]
             w1[code1 == BEGIN_CODE] = 0
             w1[code1 == TAIL_CODE] = tail1
             w2 = head.hashes[np.minimum(code2, len(head.hashes) - 1)]
             w2[code2 == TAIL_CODE] = tail2
-            keys.append(np.repeat(key + ordinals.astype(np.int64), runs))
-            trained.append(np.repeat(train.astype(bool), runs))
-            words.append(w2), befores.append(w1), known_code.append(code2)
-        parts = []
+            blocks_.append(key), ordinals.append(rows), runs.append(lengths)
+            trained.append(np.repeat(train.astype(bool), lengths))
+            words.append(w2), befores.append(w1), codes.append(code2)
+        out = [pa.table([own["block"], *[pa.nulls(len(own), pa.list_(t)) for t in _LISTS], own["docs"]], names=_PARTS)]
         if words:
-            keys, word, before, train, code = (np.concatenate(x) for x in (keys, words, befores, trained, known_code))
+            word, before, train, code, length = (np.concatenate(x) for x in (words, befores, trained, codes, runs))
             is_tail = code == TAIL_CODE
             tails, tail_counts = np.unique(word[is_tail & train], return_counts=True)
             trie = Trie(word[train], before[train], head, (tails, tail_counts))
@@ -259,18 +262,35 @@ def _score(shared):
             p1 = head.p1(count)
             score = trie.log_numerators(word, before, MU * p1)
             score[is_tail] -= np.log10(count[is_tail] + MU)
-            base = np.where(is_tail, np.log10(p1), 0.0)
-            rows, inverse = np.unique(keys, return_inverse=True)
-            n = len(rows)
-            empty = pa.nulls(n, pa.int64())
-            parts.append(pa.table([pa.array(rows), empty, empty,
-                                   pa.array(np.bincount(inverse, weights=is_tail & (count > 0), minlength=n).astype(np.int64)),
-                                   pa.array(np.bincount(inverse, weights=base, minlength=n)),
-                                   pa.array(np.bincount(inverse, weights=score, minlength=n)), pa.nulls(n, pa.bool_())],
-                                  names=["row_key", "doc_id", "n_tokens", "n_known", "base", "score", "held_out"]))
-        for d in docs:
-            parts.append(pa.table(d.flatten(), names=[d.type.field(i).name for i in range(d.type.num_fields)]))
-        return pa.concat_tables(parts)
+            starts = np.cumsum(length.astype(np.int64)) - length
+            sums = [np.add.reduceat(x, starts) for x in (
+                (is_tail & (count > 0)).astype(np.int64), np.where(is_tail, np.log10(p1), 0.0), score)]
+            cuts = np.cumsum([0, *(len(o) for o in ordinals)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, t)) for x, t in zip(
+                [np.concatenate(ordinals).astype(np.int64), *sums], _LISTS)]
+            out.append(pa.table([pa.array(blocks_, pa.int64()), *lists, pa.nulls(len(blocks_), own.schema.field("docs").type)],
+                                names=_PARTS))
+        return pa.concat_tables(out)
+
+    return run
+
+
+_PARTS = ["block", "ordinals", "n_known", "base", "score", "docs"]
+_LISTS = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+
+def _total(train_tokens: int):
+    """One map block: its documents' own sums and all shards' partial sums of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = pc.list_flatten(table["docs"]).combine_chunks()
+        own = dict(zip(_OWN, docs.flatten()))
+        at, *parts = (pc.list_flatten(table[c]).to_numpy() for c in _PARTS[1:-1])
+        known, base, score = (own[c].to_numpy() + np.bincount(at, weights=x, minlength=len(docs))
+                              for c, x in zip(("n_known", "base", "score"), parts))
+        return pa.table([own["doc_id"], own["held_out"], own["n_tokens"], pa.array(known.astype(np.int64)),
+                         pa.array(np.full(len(docs), train_tokens)), pa.array(base), pa.array(score)],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -296,11 +316,8 @@ def score(docs: DataFrame) -> DataFrame:
     tokens = n * 10 // 9
     shards = max(MIN_SHARDS, -(-tokens // SHARD_TOKENS))
     posted = docs.mapInArrow(_posting(head, shards), _POSTED)
-    sums = posted.groupBy("shard").applyInArrow(_score(head), _DOC)
-    return sums.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row_key")
+    partial = posted.groupBy("shard").applyInArrow(_score(head), _PARTIAL)
+    return partial.groupBy("block").applyInArrow(_total(n), _SCORED)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
