@@ -15,8 +15,9 @@ was predicted; so one shuffle of the token stream both trains and scores:
    level 1 the sorted words, monotone pointers to their ranges, level 2 the
    ranks of the words before, relative to their word's range, all Elias-Fano;
    values are log probabilities quantised to 16 bits.  The levels are one
-   memory-mapped file without a name.  Tokens are looked up by successor search
-   inside their word's range; unseen bigrams take the word's back-off value.
+   memory-mapped file without a name.  Tokens are sorted once, so each distinct
+   pair is looked up once, by successor search inside its word's range; unseen
+   bigrams take the word's back-off value.
 4. A shard answers each map block with one row of lists: the block's documents that
    have tokens there and their partial sums.  A second grouping, by block, adds them up.
 
@@ -179,20 +180,24 @@ _SCORED = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tr
            "base_score double, score double")
 
 
+def _changes(*columns):
+    """Where a row of sorted columns differs from the row before it."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 class Trie:
     """Words and the words before them with quantised log values (see the module's text)."""
 
     def __init__(self, word, before, head: Head, tail_only):
-        """Training tokens of a shard; ``tail_only``: (sorted tail words, their counts)."""
-        order = np.lexsort((before, word))
-        word, before = word[order], before[order]
-        change = np.ones(len(word), dtype=bool)
-        change[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1])
-        at = np.flatnonzero(change)
+        """Training tokens of a shard, sorted by word and word before; ``tail_only``: (sorted tail words, their counts)."""
+        at = np.flatnonzero(_changes(word, before))
         count = np.diff(np.append(at, len(word)))
         word, before = word[at], before[at]
-        new = np.ones(len(word), dtype=bool)
-        new[1:] = word[1:] != word[:-1]
+        new = _changes(word)
         words, contexts = word[new], np.unique(before)
         pointers = np.append(np.flatnonzero(new), len(word))
         rank = np.searchsorted(contexts, before)
@@ -217,15 +222,18 @@ class Trie:
         self.values, self.step, self.bytes = next(mapped), step, levels.bytes
 
     def log_numerators(self, word, before, prior):
-        """log10(c(v w) + MU p1(w)) per token; ``prior`` is MU p1(w)."""
-        w = self.words.find(word >> np.uint64(1))
-        v = self.contexts.find(before >> np.uint64(1))
-        out = np.log10(prior)
+        """log10(c(v w) + MU p1(w)) per token, tokens sorted as in the trie; ``prior`` is MU p1(w)."""
+        new_word, new_pair = _changes(word), _changes(word, before)
+        pair = np.flatnonzero(new_pair)
+        w = self.words.find(word[new_word] >> np.uint64(1))[np.cumsum(new_word)[pair] - 1]
+        contexts, place = np.unique(before[pair], return_inverse=True)
+        v = self.contexts.find(contexts >> np.uint64(1))[place]
         both = np.flatnonzero((w >= 0) & (v >= 0))
         at = self.pairs.find(w[both].astype(np.uint64) * np.uint64(self.span) + v[both].astype(np.uint64))
         hit = at >= 0
-        out[both[hit]] = self.lo + self.values[at[hit]].astype(np.float64) / BINS * self.step
-        return out
+        value = np.log10(prior[pair])
+        value[both[hit]] = self.lo + self.values[at[hit]].astype(np.float64) / BINS * self.step
+        return value[np.cumsum(new_pair) - 1]
 
 
 def _score(shared):
@@ -250,6 +258,8 @@ def _score(shared):
         out = [pa.table([own["block"], *[pa.nulls(len(own), pa.list_(t)) for t in _LISTS], own["docs"]], names=_PARTS)]
         if words:
             word, before, train, code, length = (np.concatenate(x) for x in (words, befores, trained, codes, runs))
+            order = np.lexsort((before, word))
+            word, before, train, code = (x[order] for x in (word, before, train, code))
             is_tail = code == TAIL_CODE
             tails, tail_counts = np.unique(word[is_tail & train], return_counts=True)
             trie = Trie(word[train], before[train], head, (tails, tail_counts))
@@ -263,7 +273,9 @@ def _score(shared):
             score = trie.log_numerators(word, before, MU * p1)
             score[is_tail] -= np.log10(count[is_tail] + MU)
             starts = np.cumsum(length.astype(np.int64)) - length
-            sums = [np.add.reduceat(x, starts) for x in (
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            sums = [np.add.reduceat(x[place], starts) for x in (
                 (is_tail & (count > 0)).astype(np.int64), np.where(is_tail, np.log10(p1), 0.0), score)]
             cuts = np.cumsum([0, *(len(o) for o in ordinals)]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(cuts, pa.array(x, t)) for x, t in zip(
