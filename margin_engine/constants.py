@@ -72,3 +72,9 @@ MATCH_UNMATCHED = "unmatched"
 
 # Timestamp format of the processing stamp.
 STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+# ---------------------------------------------------------------------------
+# The engine's own names: a row's place in its file (path, block start, row)
+# ---------------------------------------------------------------------------
+LINE_POSITION = "__line_position"
+PRODUCT_POSITION = "__product_position"

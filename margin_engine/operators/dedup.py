@@ -89,16 +89,20 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
             .filter(F.col("__rn") == 1).drop("__rn"))
 
 
-def duplicate_report(df: DataFrame, description: str = "") -> DataFrame:
+def duplicate_report(df: DataFrame, description: str = "", distinct: bool = False) -> DataFrame:
     """Total rows, unique rows, duplicate rows and rate (%, 2 dp).
 
     One shuffle: group by all columns (partial counts), then a global sum.
-    Empty input gives zeros.
+    Empty input gives zeros.  ``distinct`` states that no two rows are equal (one
+    row per key): a plain count then serves both numbers, without that shuffle.
     """
-    cols = [_c(c) for c in df.columns]
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    agg = grouped.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("total_rows"),
-                      F.count(F.lit(1)).cast("long").alias("unique_rows"))
+    if distinct:
+        agg = df.agg(F.count(F.lit(1)).cast("long").alias("total_rows")).withColumn(
+            "unique_rows", F.col("total_rows"))
+    else:
+        grouped = df.groupBy(*[_c(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+        agg = grouped.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("total_rows"),
+                          F.count(F.lit(1)).cast("long").alias("unique_rows"))
     return agg.select(
         F.lit(description).alias("description"),
         "total_rows", "unique_rows",
@@ -135,10 +139,13 @@ def field_duplicates(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def dedup_stats(before: DataFrame, after: DataFrame, key_columns: Sequence[str]) -> DataFrame:
-    """before/after duplicate reports plus the key columns used."""
+    """before/after duplicate reports plus the key columns used.
+
+    ``after`` is the result of the keep-first dedup by ``key_columns``: with keys it holds
+    one row per key, so its rows are only counted."""
     keys = ",".join(key_columns)
     b = duplicate_report(before, "before_final_dedup").withColumn("stage", F.lit("before_final_dedup"))
-    a = duplicate_report(after, "after_final_dedup").withColumn("stage", F.lit("after_final_dedup"))
+    a = duplicate_report(after, "after_final_dedup", distinct=bool(key_columns)).withColumn("stage", F.lit("after_final_dedup"))
     return (b.unionByName(a)
             .withColumn("key_columns", F.lit(keys))
             .select("stage", "total_rows", "unique_rows", "duplicate_rows",

@@ -128,6 +128,7 @@ def join_catalogue(orders: DataFrame, products: DataFrame, o_key: str, p_key: st
     p = products.withColumn(p_key, strip_key(_c(p_key)))
     if first_only:
         p = first_per_key(p, [p_key], product_order_by)
+    p = p.drop(K.PRODUCT_POSITION)
     o2, p2, o_names, p_names = _rename_clashes(o, p, o_key, p_key, suffixes)
     p2 = p2.withColumn("__matched", F.lit(True))
     p2, used_broadcast = bounded_broadcast(p2, max_broadcast_rows, known_rows)
@@ -159,7 +160,7 @@ def match_first(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
     ).drop("__matched")
     pre = out
     if dedup_after:
-        out = exact_dedup(out)
+        out = exact_dedup(out, [K.LINE_POSITION])
     return MatchResult(out, "matched", (p_key, o_key), 0, o_names, p_names, bc, pre)
 
 
@@ -195,23 +196,24 @@ def unmatched_lines(orders: DataFrame, products: DataFrame, o_key: str, p_key: s
     return o.join(p_keys, _c(o_key) == F.col("__pkey"), "left_anti")
 
 
-def candidates(orders: DataFrame, products: DataFrame) -> tuple[list[str], list[str]]:
-    """C1j / C1k: product and order key candidates, schema order."""
-    return (find_columns(products.columns, K.KW_PRODUCT_KEY),
-            find_columns(orders.columns, K.KW_ORDER_KEY))
+def candidates(orders: DataFrame, products: DataFrame, product_order_by: Sequence[str] | None = None,
+               line_order_by: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
+    """C1j / C1k: product and order key candidates, schema order, without ordering columns."""
+    return (find_columns([c for c in products.columns if c not in (product_order_by or ())], K.KW_PRODUCT_KEY),
+            find_columns([c for c in orders.columns if c not in (line_order_by or ())], K.KW_ORDER_KEY))
 
 
 def match_keyword(orders: DataFrame, products: DataFrame,
                   product_order_by: Sequence[str] | None = None,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                  dedup_after: bool = True) -> MatchResult:
+                  dedup_after: bool = True, line_order_by: Sequence[str] | None = None) -> MatchResult:
     """Q2: pick the best key pair, then J2; J4 fallbacks when nothing matches."""
     names = {c: c for c in orders.columns}
     if products is None:
         # No catalogue loaded -> nothing to process.
         return MatchResult(orders.limit(0).withColumn("match_status", F.lit(None).cast("string")),
                            "no_catalogue", None, 0, names, {})
-    p_cands, o_cands = candidates(orders, products)
+    p_cands, o_cands = candidates(orders, products, product_order_by, line_order_by)
     if not p_cands or not o_cands:
         return MatchResult(orders.withColumn("match_status", F.lit(K.MATCH_NO_CANDIDATES)),
                            "no_candidates", None, 0, names, {})

@@ -451,6 +451,28 @@ def build() -> dict[str, str]:
         "SELECT 'original_orders' AS counter, CAST(COUNT(*) AS BIGINT) AS value FROM lines "
         "UNION ALL SELECT 'cleaned_orders', COUNT(*) FROM v1_clean "
         f"UNION ALL SELECT 'matched_orders', COUNT({PKEY}) FROM v1_proc")
+    # The files hold the catalogue by seq and the lines by all columns, descending; seq itself is not written.
+    products = [PKEY, ITEM, SKU, COST]
+    in_file = ", ".join(f"{c} DESC NULLS LAST" for c in (SHOP, NAME, "paid_raw", QTY, ONLINE, DETAIL, MARK, TIME))
+    typed = _cols(LINE_COLS, {PAID: f"COALESCE({coerce(PAID)}, 0.0)", TIME: f"CAST({TIME} AS VARCHAR)"})
+    o["load_pair_csv"] = with_(
+        ",\n".join([
+            LINES, PRODUCTS, f"d1 AS (SELECT DISTINCT {', '.join(LINE_COLS)} FROM lines)",
+            f"base AS (SELECT {typed}, {PAID} AS paid_raw FROM d1 WHERE {keyword_preds()})",
+            f"cleaned AS (SELECT * FROM base WHERE {OID} IN (SELECT {OID} FROM base GROUP BY {OID} "
+            f"HAVING SUM(CAST({PAID} AS DECIMAL(28,6))) > 0))",
+            f"first_rows AS (SELECT {_cols(products, {PKEY: strip(PKEY)})}, row_number() OVER (PARTITION BY {strip(PKEY)} "
+            f"ORDER BY seq DESC) AS rn FROM products)",
+            f"one AS (SELECT {_cols(LINE_COLS, {CODE: strip('o.' + CODE)}, 'o.')}, {_cols(products, prefix='p.')}, paid_raw, "
+            f"CASE WHEN p.{PKEY} IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS match_status, "
+            f"row_number() OVER (PARTITION BY {OID}, {strip('o.' + CODE)}, {SPEC} ORDER BY {in_file}) AS line_no "
+            f"FROM cleaned o LEFT JOIN first_rows p ON {strip('o.' + CODE)} = p.{PKEY} AND p.rn = 1)",
+            f"m1 AS (SELECT *, COALESCE({coerce(COST)}, 0.0) AS unit_cost, COALESCE({coerce(QTY)}, 1.0) AS quantity, "
+            f"{rnd(f'COALESCE({PAID}, 0.0)', 2)} AS revenue FROM one WHERE line_no = 1)",
+            f"m2 AS (SELECT *, {rnd('unit_cost * quantity', 2)} AS total_cost FROM m1)",
+            f"m3 AS (SELECT *, {rnd('revenue - total_cost', 2)} AS profit FROM m2)"]),
+        f"SELECT {', '.join(LINE_COLS + products)}, match_status, unit_cost, quantity, revenue, total_cost, profit, "
+        f"CASE WHEN revenue > 0 THEN {rnd('profit / revenue', 4)} ELSE 0.0 END AS margin FROM m3")
     # The streamed detail must equal the batch detail.
     o["stream_ingest"] = o["business_dedup"]
     return o

@@ -34,6 +34,7 @@ from ..operators import margin as M
 from ..operators import match as J
 from ..operators import reports as R
 from ..operators.joins import DEFAULT_MAX_BROADCAST_ROWS
+from ..sources.readers import LoadedPair
 from .materialize import materialize
 
 
@@ -115,17 +116,19 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     by default they are written once to the shared checkpoint folder and
     read back (see ``plans.materialize``)."""
     r = dict(roles or {})
-    cres = C.clean_keyword(orders, opts, OrderRoles.resolve(orders.columns, r.get("orders")),
+    # ordering columns (a row's place in its file, say) play no role
+    line_columns = [c for c in orders.columns if c not in (line_order_by or ())]
+    cres = C.clean_keyword(orders, opts, OrderRoles.resolve(line_columns, r.get("orders")),
                            line_order_by=line_order_by)
     cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
     mres = J.match_keyword(cleaned, products, product_order_by, max_broadcast_rows,
-                           dedup_after=True)
+                           dedup_after=True, line_order_by=line_order_by)
     # Roles are resolved on input names, order columns first, then mapped to
     # the output names of their own side (a clashing name is suffixed).
-    merged = ([(c, mres.order_names[c]) for c in orders.columns if c in mres.order_names]
-              + list(mres.product_names.items()))
+    product_names = [(c, n) for c, n in mres.product_names.items() if c not in (product_order_by or ())]
+    merged = [(c, mres.order_names[c]) for c in line_columns if c in mres.order_names] + product_names
     # a product column whose name clashes (and is suffixed) wins for the cost
-    product_side = sorted(mres.product_names.items(), key=lambda pair: pair[0] == pair[1])
+    product_side = sorted(product_names, key=lambda pair: pair[0] == pair[1])
     m_over = dict(r.get("margin") or {})
     mroles = MarginRoles(
         cost=_resolve(product_side, K.KW_COST, m_over.get("cost")),
@@ -146,7 +149,16 @@ def run_keyword(orders: DataFrame, products: DataFrame,
         processed = business_dedup(pre, keys, order_by)
     else:
         processed = margined
-    return KeywordRun(orders, cleaned, cres.roles, mres, margined, processed, keys)
+    bare = lambda df: df.drop(K.LINE_POSITION)  # noqa: E731 - the place in a file is no result column
+    return KeywordRun(bare(orders), bare(cleaned), cres.roles, mres, bare(margined), bare(processed), keys)
+
+
+def run_pair(pair: LoadedPair, opts: C.CleanOptions | None = None, **params) -> KeywordRun:
+    """Q4 over loaded files: "first" rows follow the order of the files (by path) and of
+    their rows.  The exact dedup's keep-first value is then a struct, which Spark
+    aggregates by sorting instead of hashing."""
+    return run_keyword(pair.positioned_orders, pair.positioned_products, opts,
+                       product_order_by=[K.PRODUCT_POSITION], line_order_by=[K.LINE_POSITION], **params)
 
 
 @dataclass

@@ -28,7 +28,7 @@ from .plans.materialize import materialize
 from .session import ensure_checkpoint_dir
 from .sources import files as S
 from .sources import fixtures as FX
-from .sources.readers import drop_header_rows
+from .sources.readers import drop_header_rows, load_pair
 
 # Parameters of the registered queries (a user's choices, not data subsets).
 SELECTED_SHOPS = ("Supplier#000000001", "Supplier#000000003", "Supplier#000000007")
@@ -283,6 +283,21 @@ def safe_json_nulls(spark, sf):
     return to_json_rows(rows)
 
 
+def load_pair_csv(spark, sf):
+    """Both tables written as CSV files (largest rows first), loaded as a pair and run: "first"
+    rows are the files' first."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/pair-{uuid.uuid4().hex}"
+
+    def save(df, order, name):
+        (df.orderBy(*[F.col(f"`{c}`").desc_nulls_last() for c in order]).drop("seq").write.option("header", True)
+         .option("ignoreLeadingWhiteSpace", False).csv(f"{base}/{name}"))
+
+    save(FX.catalog(spark, sf), ("seq", K.V1_PRODUCT_KEY), "products")
+    save(_lines(spark, sf), FX.ORDER_LINE_COLUMNS, "orders")
+    pair = load_pair(spark, f"{base}/products", f"{base}/orders", "csv", "csv")
+    return W.run_pair(pair, stamp=None).processed
+
+
 def file_catalogue(spark, sf):
     return S.file_catalogue(spark, sf)
 
@@ -363,6 +378,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "numeric_coercion": numeric_coercion,
     "safe_json": safe_json,
     "safe_json_nulls": safe_json_nulls,
+    "load_pair_csv": load_pair_csv,
     "file_catalogue": file_catalogue,
     "export_roundtrip": export_roundtrip,
     "stream_ingest": stream_ingest,

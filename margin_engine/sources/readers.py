@@ -60,10 +60,27 @@ def drop_header_rows(df: DataFrame, key: str = K.V1_PRODUCT_KEY) -> DataFrame:
     return df.filter(~F.col(f"`{key}`").cast("string").eqNullSafe(F.lit(key)))
 
 
+def with_position(df: DataFrame, name: str, fmt: str) -> DataFrame:
+    """Add a row's place in the files just read: (path, block start, row).
+
+    Parquet knows a row's index in its file.  Other formats number the rows of a task in
+    reading order; inside one file block, which one task reads, that is the file's order."""
+    parquet = fmt == "parquet"
+    start = F.lit(0).cast("bigint") if parquet else F.col("_metadata.file_block_start")
+    row = F.col("_metadata.row_index") if parquet else F.monotonically_increasing_id()
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("path"), start.alias("start"),
+                                   row.alias("row")).alias(name))
+
+
 @dataclass(frozen=True)
 class LoadedPair:
+    """The two tables; the ``positioned`` frames also hold each row's place in its file,
+    which ``plans.workflow.run_pair`` takes as the order of "first" rows."""
+
     products: DataFrame
     orders: DataFrame
+    positioned_products: DataFrame
+    positioned_orders: DataFrame
 
 
 def load_pair(spark: SparkSession, product_path: str, order_path: str,
@@ -71,6 +88,10 @@ def load_pair(spark: SparkSession, product_path: str, order_path: str,
     """Read a catalogue and an order-line export together; both required."""
     if not product_path or not order_path:
         raise ValueError("both a product file and an order file are required")
-    products = drop_header_rows(read_table(spark, product_path, product_format))
-    orders = read_table(spark, order_path, order_format)
-    return LoadedPair(products=products, orders=orders)
+    def load(path, fmt, name):
+        fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
+        return with_position(read_table(spark, path, fmt), name, fmt)
+
+    products = drop_header_rows(load(product_path, product_format, K.PRODUCT_POSITION))
+    orders = load(order_path, order_format, K.LINE_POSITION)
+    return LoadedPair(products.drop(K.PRODUCT_POSITION), orders.drop(K.LINE_POSITION), products, orders)

@@ -109,3 +109,30 @@ def test_role_files_pick_latest_per_role(spark):
     picked = {r["role"]: r["name"] for r in S.pick_role_files(S.file_catalogue(spark, base)).collect()}
     assert picked == {"product": "产品信息表-总.parquet", "order": "订单9.14.parquet",
                       "bill": "账单.parquet"}
+
+
+def test_first_rows_follow_the_files(spark):
+    from margin_engine.plans.workflow import run_pair
+    base = tempfile.mkdtemp(prefix="me-pos-")
+    with open(f"{base}/p.csv", "w", encoding="utf-8") as f:
+        f.write("商家编码,成本,row_num\nA,9,1\nA,10,0\n")
+    with open(f"{base}/o.csv", "w", encoding="utf-8") as f:
+        f.write("订单号,商品编码,买家实付,数量,规格\nO1,A,30,2,红\nO1,A,20,1,红\nO1,A,30,2,红\n")
+    pair = load_pair(spark, f"{base}/p.csv", f"{base}/o.csv")
+    run = run_pair(pair, stamp=None)
+    rows = run.processed.collect()
+    assert [(r["unit_cost"], r["quantity"], r["revenue"]) for r in rows] == [(9.0, 2.0, 30.0)]
+    assert not any(c.startswith("__") for c in run.processed.columns + run.margined.columns + run.cleaned.columns)
+    # parquet files know their rows' order
+    pair.orders.coalesce(1).write.parquet(f"{base}/o.parquet")
+    pair.products.coalesce(1).write.parquet(f"{base}/p.parquet")
+    again = run_pair(load_pair(spark, f"{base}/p.parquet", f"{base}/o.parquet"), stamp=None)
+    assert _rows(again.processed) == _rows(run.processed)
+
+
+def test_ordering_columns_play_no_role(spark):
+    orders = spark.createDataFrame([("O1", "A", "30", "2", 7)], "`订单号` string, `商品编码` string, `买家实付` string, `数量` string, row_num int")
+    orders = orders.select("row_num", "订单号", "商品编码", "买家实付", "数量")
+    products = spark.createDataFrame([("A", "9")], "`商家编码` string, `成本` string")
+    run = run_keyword(orders, products, line_order_by=["row_num"], stamp=None)
+    assert [r["quantity"] for r in run.processed.collect()] == [2.0]
