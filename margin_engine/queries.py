@@ -312,16 +312,16 @@ def export_roundtrip(spark, sf):
 
 
 def stream_ingest(spark, sf):
-    """The order lines arrive as two exports (whole orders each) in a landing
-    folder under the shared checkpoint folder; the streaming ingest processes
-    each arrival; the result is the accumulated detail sink."""
-    from .streaming.ingest import StreamPaths, start_ingest
+    """The order lines arrive as two exports, which orders span, and the first arrives twice,
+    in a landing folder under the shared checkpoint folder; the streaming ingest processes
+    each arrival; the result is the current detail."""
+    from .streaming.ingest import StreamPaths, current_detail, start_ingest
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     paths = StreamPaths(f"{base}/landing", f"{base}/sink", f"{base}/checkpoint")
     lines, products = _lines(spark, sf), _products(spark, sf)
-    part = F.pmod(F.xxhash64(F.col("`订单号`")), F.lit(2))
-    for i in (0, 1):
-        lines.filter(part == i).write.parquet(f"{paths.landing}/export_{i}")
+    part = F.pmod(F.xxhash64(F.col("`订单号`"), F.col("`商品编码`")), F.lit(2))
+    for n, i in enumerate((0, 1, 0)):
+        lines.filter(part == i).write.parquet(f"{paths.landing}/export_{n}")
         q = start_ingest(spark, paths, lines.schema, products,
                          product_order_by=list(PRODUCT_ORDER), available_now=True)
         if not q.awaitTermination(STREAM_TIMEOUT_S):
@@ -329,7 +329,7 @@ def stream_ingest(spark, sf):
             raise TimeoutError(f"stream ingest did not drain within {STREAM_TIMEOUT_S}s")
         if q.exception() is not None:
             raise RuntimeError(f"stream ingest failed: {q.exception()}")
-    return spark.read.parquet(paths.detail).drop("batch_id", "processed_at")
+    return current_detail(spark, paths)
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,19 +3,24 @@
 The source application processes each uploaded export as a whole: clean,
 match against the catalogue, compute margins, dedup, report.  Here a landing
 folder is watched with a file source; every micro-batch (the files that
-arrived since the last one) runs the same keyword run and writes
+arrived since the last one) adds its raw lines to a store, then runs the same
+keyword run over all stored lines of the orders it touched, so the exact dedup,
+the order-level amount test and the business dedup see whole orders however their
+lines are spread over files and batches.  It writes, partitioned by ``batch_id``,
 
-* the processed detail, partitioned by ``batch_id``, and
-* the batch's shop rollup, partitioned by ``batch_id``,
+* the raw lines and the order ids it touched,
+* the processed detail of these orders, and their shop rollup,
 
 with dynamic partition overwrite, so a batch that is re-run after a failure
 replaces its own output instead of appending twice (the checkpoint records
-which files each batch covered).  As in the source application an export is
-assumed to hold whole orders: the order-level amount test runs per batch.
+which files each batch covered).  ``current_detail`` takes each order from the
+last batch that touched it.  Without an order id column every batch runs
+over the whole store.  The key pair is searched in the lines of the run.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.roles import OrderRoles
 from ..operators import reports as R
 from ..operators.clean import CleanOptions
 from ..plans.workflow import run_keyword
@@ -39,11 +45,26 @@ class StreamPaths:
     def detail(self) -> str:
         return f"{self.sink.rstrip('/')}/detail"
 
+    @property
+    def lines(self) -> str:
+        return f"{self.sink.rstrip('/')}/lines"
+
+    @property
+    def touched(self) -> str:
+        return f"{self.sink.rstrip('/')}/touched"
+
     @property
     def shop_rollup(self) -> str:
         return f"{self.sink.rstrip('/')}/shop_rollup"
 
 
+ORDER = "__order"
+
+
+def _key(column: str | None):
+    return (F.col(f"`{column}`") if column else F.lit(None)).cast("string")
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -70,26 +91,42 @@ def start_ingest(spark: SparkSession, paths: StreamPaths, order_schema: T.Struct
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        run = run_keyword(batch, products, opts, product_order_by=product_order_by,
+        order = OrderRoles.resolve(batch.columns).order_id
+        _write_batch(batch, paths.lines, batch_id)
+        _write_batch(batch.select(_key(order).alias(ORDER)).distinct(), paths.touched, batch_id)
+        stored = lambda path: batch.sparkSession.read.parquet(path)
+        lines = stored(paths.lines).filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        if order:
+            ids = stored(paths.touched).filter(F.col("batch_id") == batch_id)
+            lines = lines.join(ids, _key(order).eqNullSafe(F.col(ORDER)), "left_semi")
+        run = run_keyword(lines, products, opts, product_order_by=product_order_by,
                           stamp="now")
         # Two outputs from one result: persist it so the batch is computed
         # once, then release it (a lost block is recomputed from lineage).
         processed = run.processed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            _write_batch(processed, paths.detail, batch_id)
+            _write_batch(processed.withColumn(ORDER, _key(run.match.order_names.get(order, order))),
+                         paths.detail, batch_id)
             _write_batch(R.shop_rollup_keyword(processed), paths.shop_rollup, batch_id)
         finally:
             processed.unpersist()
 
     writer = (stream.writeStream.foreachBatch(per_batch)
               .option("checkpointLocation", paths.checkpoint)
-              .queryName(f"order-ingest-{abs(hash(paths.landing)) % 10**8}"))
+              .queryName(f"order-ingest-{zlib.crc32(paths.landing.encode())}"))
     writer = (writer.trigger(availableNow=True) if available_now
               else writer.trigger(processingTime=processing_time))
     return writer.start()
 
 
+def current_detail(spark: SparkSession, paths: StreamPaths) -> DataFrame:
+    """The detail over everything that arrived: each order as the last batch left it."""
+    last = spark.read.parquet(paths.touched).groupBy(F.col(ORDER).alias("id")).agg(F.max("batch_id").alias("last"))
+    return (spark.read.parquet(paths.detail)
+            .join(last, F.col(ORDER).eqNullSafe(F.col("id")) & (F.col("batch_id") == F.col("last")), "left_semi")
+            .drop(ORDER, "batch_id", "processed_at"))
+
+
 def cumulative_shop_rollup(spark: SparkSession, paths: StreamPaths) -> DataFrame:
-    """Shop rollup over every batch written so far (a batch read of the sink)."""
-    detail = spark.read.parquet(paths.detail).drop("batch_id", "processed_at")
-    return R.shop_rollup_keyword(detail)
+    """Shop rollup over everything that arrived so far (a batch read of the sink)."""
+    return R.shop_rollup_keyword(current_detail(spark, paths))

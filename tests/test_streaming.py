@@ -40,3 +40,19 @@ def test_two_exports_streamed_equal_batch_run(spark):
 
     total = run_keyword(lines, products, product_order_by=["seq"], stamp=None).shop_rollup()
     assert _rows(cumulative_shop_rollup(spark, paths)) == _rows(total)
+
+
+def test_an_order_spread_over_batches_is_judged_whole(spark):
+    from margin_engine.streaming.ingest import current_detail
+    base = tempfile.mkdtemp(prefix="me-stream-")
+    paths = StreamPaths(f"{base}/landing", f"{base}/sink", f"{base}/ckpt")
+    schema = "`订单号` string, `商品编码` string, `买家实付` string, `规格` string"
+    products = spark.createDataFrame([("A", "3")], "`商家编码` string, `成本` string")
+    for i, rows in enumerate(([("O1", "A", "10", "x"), ("O2", "A", "7", "x")], [("O1", "A", "-10", "y")],
+                              [("O2", "A", "7", "x")])):
+        lines = spark.createDataFrame(rows, schema)
+        lines.coalesce(1).write.parquet(f"{paths.landing}/e{i}")
+        q = start_ingest(spark, paths, lines.schema, products, available_now=True)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert [(r["订单号"], r["revenue"]) for r in current_detail(spark, paths).collect()] == [("O2", 7.0)]
