@@ -4,7 +4,8 @@ A text that holds only characters below U+0250 or of General Punctuation is
 cut into the tokenizer's pre-tokens with numpy, every distinct pre-token of a
 task is encoded once by the library's own model, and ids are gathered from
 that dictionary (two generations of at most ``CACHE`` entries; entries in use move
-to the younger one).  Any other text goes
+to the younger one).  Any other text, and any text that holds the content of an
+added token (``<|endoftext|>``, one id), goes
 through the library's ``encode`` whole.  Both ways give the same ids: merges
 never cross pre-tokens; tests compare them.
 """
@@ -27,9 +28,7 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @functools.lru_cache(maxsize=1)
@@ -85,6 +84,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer, self.model = _tokenizer(path), _tokenizer(path).model
         self.classes, self.alphabet = _classes(), _alphabet()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[int, int] = {}
         self._clear()
 
@@ -117,7 +117,8 @@ class Encoder:
         data = block.data
         lead = (data & 0xC0) != 0x80
         at = np.flatnonzero(lead)
-        cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        raw = data.tobytes()
+        cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
         kind = self.classes[cp]
         doc = np.zeros(len(cp), dtype=bool)
         begins = np.searchsorted(at, block.offsets)
@@ -130,6 +131,11 @@ class Encoder:
         slow = np.zeros(len(block), dtype=bool)
         odd = np.flatnonzero(kind == 255)
         slow[np.searchsorted(begins, odd, side="right") - 1] = True
+        for content in self.added:
+            k = raw.find(content)
+            while k >= 0:
+                slow[np.searchsorted(block.offsets, k, side="right") - 1] = True
+                k = raw.find(content, k + 1)
         fast = ~slow[row]
         starts, ends, row = starts[fast], ends[fast], row[fast]
         keys, first, inverse = np.unique(ranges_hash(prefix_sums(_BYTES[data]), starts, ends),

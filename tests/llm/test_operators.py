@@ -261,6 +261,22 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.write_and_read(empty).count() == 0
 
 
+def test_token_files_added_token(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "é 中文 <|endoftext|>x", "<|endoftext", "|> plain", None, "  <|endoftext|>  \n",
+             "<|<|endoftext|>|>", "it's <|ENDOFTEXT|> here", "a b c " * 400 + "<|endoftext|>"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = token_files.write_and_read(docs).orderBy("start").collect()
+    start = 0
+    for g, text in zip(got, texts, strict=True):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        assert (g.start, g.n_tokens, g.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += g.n_tokens
+
+
 def brute_components(rows):
     sets = {}
     for r in rows:
