@@ -8,21 +8,25 @@ was predicted; so one shuffle of the token stream both trains and scores:
 
 1. Word counts over all training texts (map-side combined) give N, V and the
    ``HEAD`` most frequent words, broadcast with their counts (bounded).
-2. Every token goes to a shard: a tail word's by the word, a head word's by
-   (word before, word), so a word of a third of all tokens spreads over all shards.
-   Tokens travel packed: two-byte codes for head words, 64-bit hashes for the rest.
-3. A shard counts its bigrams and builds its trie, path word -> word before:
+2. A map block (``MAP_BYTES`` of text, or one longer text) ships each distinct pair once with
+   its training count: a tail word's to a shard by the word, a head word's by (word before,
+   word), so a word of a third of all tokens spreads over all shards and a pair, however
+   often it occurs, costs its shard one entry a block.  Pairs travel packed: two-byte codes
+   for head words, 64-bit hashes for the rest, zstd.
+3. A shard sums its pairs' counts and builds its trie, path word -> word before:
    level 1 the sorted words, monotone pointers to their ranges, level 2 the
    ranks of the words before, relative to their word's range, all Elias-Fano;
    values are log probabilities quantised to 16 bits.  The levels are one
-   memory-mapped file without a name.  Tokens are sorted once, so each distinct
+   memory-mapped file without a name.  Each distinct
    pair is looked up once, by successor search inside its word's range; unseen
    bigrams take the word's back-off value.
-4. A shard answers each map block with one row of lists: the block's documents that
-   have tokens there and their partial sums.  A second grouping, by block, adds them up.
+4. A shard answers each map block with one row: the values of the block's pairs.  A second
+   grouping, by block, adds them up over the block's tokens (four bytes each, the pair's
+   place among the block's pairs), so per-document work never meets in a shard.
 
 Nothing is sampled or pruned: counts cover all training texts, whole.  A
-shard holds about ``SHARD_TOKENS`` tokens.  Words are told apart by 64-bit hashes.
+shard holds the pairs of about ``SHARD_TOKENS`` tokens, or one entry a map block where a pair is
+in every block.  Words, and pairs within a map block, are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is
 held in (trained on) and scored; repeated rows are trained on and scored each; an empty table
@@ -100,22 +104,33 @@ class Head:
         return (counts + 0.1) / (self.n + 0.1 * (self.v + 1))
 
 
-def _pack(ordinals, runs, trained, code1, code2, tail1, tail2) -> bytes:
-    parts = [ordinals.astype("<u4"), runs.astype("<u4"), trained.astype("u1"), code1.astype("<u2"), code2.astype("<u2"),
-             tail1.astype("<u8"), tail2.astype("<u8")]
-    return b"".join([np.array([len(p) for p in parts], "<u4").tobytes(), *(p.tobytes() for p in parts)])
+_PAIRS = ("<u4", "<u2", "<u2", "<u8", "<u8")  # training counts, codes, hashes of tail words
+_ANSWER = ("<f4", "<u4", "<i8")  # values, places of tail words' pairs, their training counts
 
 
-def _unpack(data: bytes):
-    sizes, at, out = np.frombuffer(data, "<u4", 7), 28, []
-    for n, kind in zip(sizes, ("<u4", "<u4", "u1", "<u2", "<u2", "<u8", "<u8")):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * out[-1].itemsize
+_TOKENS = ("<u4",)
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _pack(kinds, *parts) -> bytes:
+    """Arrays as byte planes (all first bytes, all second bytes, ...), which zstd makes small."""
+    parts = [np.ascontiguousarray(p, k) for p, k in zip(parts, kinds)]
+    planes = b"".join(p.view("u1").reshape(len(p), -1).T.tobytes() for p in parts if len(p))
+    return np.array([len(p) for p in parts], "<u4").tobytes() + _ZSTD.compress(planes, asbytes=True)
+
+
+def _unpack(kinds, data: bytes):
+    sizes, at, out = np.frombuffer(data, "<u4", len(kinds)).tolist(), 0, []
+    each = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(_ZSTD.decompress(data[4 * len(kinds):], sum(n * e for n, e in zip(sizes, each)), asbytes=True), "u1")
+    for n, e, kind in zip(sizes, each, kinds):
+        out.append(np.ascontiguousarray(planes[at:at + n * e].reshape(e, n).T).reshape(-1).view(kind))
+        at += n * e
     return out
 
 
 def _posting(shared, shards: int):
-    """Map side: head words' sums per row, and packed tokens per shard."""
+    """Map side: head words' sums per row, each token's pair, and packed distinct pairs per shard."""
 
     def run(batches):
         head = shared.value
@@ -123,7 +138,6 @@ def _posting(shared, shards: int):
         log_c = np.log10(head.counts + MU)
         context = TaskContext.get()
         key = (context.partitionId() if context else 0) << 36
-        turn = 0
         for batch in batches:
             for rows, block in blocks(batch, "text", MAP_BYTES):
                 row, hashes = _tokens(block)
@@ -144,38 +158,39 @@ def _posting(shared, shards: int):
                 score = -np.bincount(row[known], weights=np.where(is_end[known], 0.0, log_c[at]), minlength=n)
                 score -= np.log10(head.counts[head.end] + MU)  # the begin mark
                 have = np.bincount(row[known], weights=head.counts[at] > 0, minlength=n).astype(np.int64)
-                shard = np.where(tail, hashes, mix(hashes * np.uint64(3) + before)) % np.uint64(shards)
-                order = np.argsort(shard.astype(np.uint32), kind="stable")
+                _, one, pair = np.unique(mix(hashes * np.uint64(3) + before), return_index=True, return_inverse=True)
+                trained = np.bincount(pair, weights=~out[row], minlength=len(one)).astype(np.int64)
+                shard = np.where(tail, hashes, mix(hashes * np.uint64(3) + before))[one] % np.uint64(shards)
+                order = np.argsort(shard << np.uint64(32) | code[one].astype(np.uint64) << np.uint64(16) | code1[one])
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-                ids, payloads = [], []
-                for s in np.flatnonzero(np.diff(cuts)):
+                place = np.empty(len(order), dtype="<u4")
+                place[order] = np.arange(len(order))
+                ids, payloads = np.flatnonzero(np.diff(cuts)), []
+                for s in ids:
                     pick = order[cuts[s]:cuts[s + 1]]
-                    r = row[pick]
-                    starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    c1, c2 = code1[pick], code[pick]
-                    payloads.append(_pack(r[starts], np.diff(np.append(starts, len(r))), ~out[r[starts]], c1, c2,
-                                          before[pick][c1 == TAIL_CODE], hashes[pick][c2 == TAIL_CODE]))
-                    ids.append(s)
+                    at = one[pick]
+                    c1, c2 = code1[at], code[at]
+                    payloads.append(_pack(_PAIRS, trained[pick], c1, c2, before[at][c1 == TAIL_CODE], hashes[at][c2 == TAIL_CODE]))
                 none = [None] * len(ids)
-                # the rows' own sums ride with one shard's tokens
+                # the rows' own sums and tokens ride with one shard's pairs, a random one
                 docs = pa.StructArray.from_arrays(
                     [rows.column(0).cast(pa.int64()), pa.array(out), pa.array(np.bincount(row, minlength=n)),
                      pa.array(have), pa.array(base), pa.array(score)], names=_OWN)
                 docs = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), docs)
                 own = pa.concat_arrays([pa.array(none, docs.type), docs])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*ids, turn % shards], pa.int32()), pa.array([key] * (len(ids) + 1), pa.int64()),
-                     pa.array([*payloads, None], pa.binary()), own], names=["shard", "block", "payload", "docs"])
+                    [pa.array([*ids, int(mix(np.array([key], np.uint64))[0]) % shards], pa.int32()), pa.array([key] * (len(ids) + 1), pa.int64()),
+                     pa.array([*cuts[ids], None], pa.int64()), pa.array([*payloads, _pack(_TOKENS, place[pair])], pa.binary()), own],
+                    names=["shard", "block", "first", "payload", "docs"])
                 key += 1
-                turn += 1
 
     return run
 
 
 _OWN = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 _DOCS = "docs array<struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>>"
-_POSTED = f"shard int, block bigint, payload binary, {_DOCS}"
-_PARTIAL = f"block bigint, ordinals array<bigint>, n_known array<bigint>, base array<double>, score array<double>, {_DOCS}"
+_POSTED = f"shard int, block bigint, first bigint, payload binary, {_DOCS}"
+_PARTIAL = f"block bigint, first bigint, payload binary, {_DOCS}"
 _SCORED = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
            "base_score double, score double")
 
@@ -192,11 +207,9 @@ def _changes(*columns):
 class Trie:
     """Words and the words before them with quantised log values (see the module's text)."""
 
-    def __init__(self, word, before, head: Head, tail_only):
-        """Training tokens of a shard, sorted by word and word before; ``tail_only``: (sorted tail words, their counts)."""
-        at = np.flatnonzero(_changes(word, before))
-        count = np.diff(np.append(at, len(word)))
-        word, before = word[at], before[at]
+    def __init__(self, word, before, count, head: Head, tail_only):
+        """A shard's distinct pairs, sorted by word and word before, with training counts; ``tail_only``: (sorted tail
+        words, their counts)."""
         new = _changes(word)
         words, contexts = word[new], np.unique(before)
         pointers = np.append(np.flatnonzero(new), len(word))
@@ -222,86 +235,89 @@ class Trie:
         self.values, self.step, self.bytes = next(mapped), step, levels.bytes
 
     def log_numerators(self, word, before, prior):
-        """log10(c(v w) + MU p1(w)) per token, tokens sorted as in the trie; ``prior`` is MU p1(w)."""
-        new_word, new_pair = _changes(word), _changes(word, before)
-        pair = np.flatnonzero(new_pair)
-        w = self.words.find(word[new_word] >> np.uint64(1))[np.cumsum(new_word)[pair] - 1]
-        contexts, place = np.unique(before[pair], return_inverse=True)
+        """log10(c(v w) + MU p1(w)) per distinct pair, sorted as in the trie; ``prior`` is MU p1(w)."""
+        new_word = _changes(word)
+        w = self.words.find(word[new_word] >> np.uint64(1))[np.cumsum(new_word) - 1]
+        contexts, place = np.unique(before, return_inverse=True)
         v = self.contexts.find(contexts >> np.uint64(1))[place]
         both = np.flatnonzero((w >= 0) & (v >= 0))
         at = self.pairs.find(w[both].astype(np.uint64) * np.uint64(self.span) + v[both].astype(np.uint64))
         hit = at >= 0
-        value = np.log10(prior[pair])
+        value = np.log10(prior)
         value[both[hit]] = self.lo + self.values[at[hit]].astype(np.float64) / BINS * self.step
-        return value[np.cumsum(new_pair) - 1]
+        return value
 
 
 def _score(shared):
-    """Reduce side: one shard's tokens to partial sums, a row of lists for each map block."""
+    """Reduce side: one shard's pairs to their values, a row for each map block."""
 
     def run(table: pa.Table) -> pa.Table:
         head = shared.value
-        blocks_, ordinals, runs, words, befores, trained, codes = [], [], [], [], [], [], []
+        answered, words, befores, trained, codes = [], [], [], [], []
         own = table.filter(pc.is_valid(table["docs"]))
-        for key, payload in zip(table["block"].to_pylist(), table["payload"]):
-            if not payload.is_valid:
-                continue
-            rows, lengths, train, code1, code2, tail1, tail2 = _unpack(payload.as_buffer().to_pybytes())
+        table = table.filter(pc.is_null(table["docs"]))
+        for payload in table["payload"]:
+            counts, code1, code2, tail1, tail2 = _unpack(_PAIRS, payload.as_buffer().to_pybytes())
             w1 = head.hashes[np.minimum(code1, len(head.hashes) - 1)]
             w1[code1 == BEGIN_CODE] = 0
             w1[code1 == TAIL_CODE] = tail1
             w2 = head.hashes[np.minimum(code2, len(head.hashes) - 1)]
             w2[code2 == TAIL_CODE] = tail2
-            blocks_.append(key), ordinals.append(rows), runs.append(lengths)
-            trained.append(np.repeat(train.astype(bool), lengths))
-            words.append(w2), befores.append(w1), codes.append(code2)
-        out = [pa.table([own["block"], *[pa.nulls(len(own), pa.list_(t)) for t in _LISTS], own["docs"]], names=_PARTS)]
+            trained.append(counts), words.append(w2), befores.append(w1), codes.append(code2)
         if words:
-            word, before, train, code, length = (np.concatenate(x) for x in (words, befores, trained, codes, runs))
+            word, before, train, code = (np.concatenate(x) for x in (words, befores, trained, codes))
             order = np.lexsort((before, word))
-            word, before, train, code = (x[order] for x in (word, before, train, code))
+            new = _changes(word[order], before[order])
+            at = np.flatnonzero(new)
+            train = np.add.reduceat(train[order].astype(np.int64), at)
+            word, before, code = (x[order[at]] for x in (word, before, code))
+            seen = train > 0
             is_tail = code == TAIL_CODE
-            tails, tail_counts = np.unique(word[is_tail & train], return_counts=True)
-            trie = Trie(word[train], before[train], head, (tails, tail_counts))
+            tails, inverse = np.unique(word[is_tail & seen], return_inverse=True)
+            tail_counts = np.bincount(inverse, weights=train[is_tail & seen], minlength=len(tails)).astype(np.int64)
+            trie = Trie(word[seen], before[seen], train[seen], head, (tails, tail_counts))
             count = head.counts[np.minimum(code, len(head.counts) - 1)].copy()
             if len(tails):
                 at = np.minimum(np.searchsorted(tails, word[is_tail]), len(tails) - 1)
                 count[is_tail] = np.where(tails[at] == word[is_tail], tail_counts[at], 0)
             else:
                 count[is_tail] = 0
-            p1 = head.p1(count)
-            score = trie.log_numerators(word, before, MU * p1)
+            score = trie.log_numerators(word, before, MU * head.p1(count))
             score[is_tail] -= np.log10(count[is_tail] + MU)
-            starts = np.cumsum(length.astype(np.int64)) - length
-            place = np.empty(len(order), dtype=np.int64)
-            place[order] = np.arange(len(order))
-            sums = [np.add.reduceat(x[place], starts) for x in (
-                (is_tail & (count > 0)).astype(np.int64), np.where(is_tail, np.log10(p1), 0.0), score)]
-            cuts = np.cumsum([0, *(len(o) for o in ordinals)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, t)) for x, t in zip(
-                [np.concatenate(ordinals).astype(np.int64), *sums], _LISTS)]
-            out.append(pa.table([pa.array(blocks_, pa.int64()), *lists, pa.nulls(len(blocks_), own.schema.field("docs").type)],
-                                names=_PARTS))
-        return pa.concat_tables(out)
+            pair = np.empty(len(order), dtype=np.int64)
+            pair[order] = np.cumsum(new) - 1
+            for pairs in np.split(pair, np.cumsum([len(x) for x in words])[:-1]):
+                tail = np.flatnonzero(is_tail[pairs])
+                answered.append(_pack(_ANSWER, score[pairs], tail, count[pairs[tail]]))
+        answers = pa.table([table["block"], table["first"], pa.array(answered, pa.binary()), table["docs"]], names=_PARTS)
+        return pa.concat_tables([own.select(_PARTS), answers])
 
     return run
 
 
-_PARTS = ["block", "ordinals", "n_known", "base", "score", "docs"]
-_LISTS = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+_PARTS = ["block", "first", "payload", "docs"]
 
 
-def _total(train_tokens: int):
-    """One map block: its documents' own sums and all shards' partial sums of them."""
+def _total(shared):
+    """One map block: its documents' own sums and the values of their tokens' pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs = pc.list_flatten(table["docs"]).combine_chunks()
+        head = shared.value
+        mine = table.filter(pc.is_valid(table["docs"]))
+        docs = pc.list_flatten(mine["docs"]).combine_chunks()
         own = dict(zip(_OWN, docs.flatten()))
-        at, *parts = (pc.list_flatten(table[c]).to_numpy() for c in _PARTS[1:-1])
-        known, base, score = (own[c].to_numpy() + np.bincount(at, weights=x, minlength=len(docs))
-                              for c, x in zip(("n_known", "base", "score"), parts))
+        pair, = _unpack(_TOKENS, mine["payload"][0].as_buffer().to_pybytes())
+        values, base, known = (np.zeros(int(pair.max()) + 1) for _ in range(3))
+        answers = table.filter(pc.is_null(table["docs"]))
+        for first, payload in zip(answers["first"].to_pylist(), answers["payload"]):
+            value, tail, count = _unpack(_ANSWER, payload.as_buffer().to_pybytes())
+            values[first:first + len(value)] = value
+            base[first + tail.astype(np.int64)], known[first + tail.astype(np.int64)] = np.log10(head.p1(count)), count > 0
+        starts = np.cumsum(own["n_tokens"].to_numpy()) - own["n_tokens"].to_numpy()  # each text has its end token
+        known, base, score = (own[c].to_numpy() + np.add.reduceat(x[pair], starts)
+                              for c, x in zip(("n_known", "base", "score"), (known, base, values)))
         return pa.table([own["doc_id"], own["held_out"], own["n_tokens"], pa.array(known.astype(np.int64)),
-                         pa.array(np.full(len(docs), train_tokens)), pa.array(base), pa.array(score)],
+                         pa.array(np.full(len(docs), head.n)), pa.array(base), pa.array(score)],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -329,7 +345,7 @@ def score(docs: DataFrame) -> DataFrame:
     shards = max(MIN_SHARDS, -(-tokens // SHARD_TOKENS))
     posted = docs.mapInArrow(_posting(head, shards), _POSTED)
     partial = posted.groupBy("shard").applyInArrow(_score(head), _PARTIAL)
-    return partial.groupBy("block").applyInArrow(_total(n), _SCORED)
+    return partial.groupBy("block").applyInArrow(_total(head), _SCORED)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ import hashlib
 import json
 import math
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,27 @@ def test_ngram_lm(spark, docs, rows, empty, monkeypatch):
     assert ngram_lm.score(empty.select("doc_id", "text", F.lit(False).alias("held_out"))).count() == 0
 
 
+def test_ngram_lm_hot_pair(spark):
+    # a pair of most tokens costs its shard an entry a map block, not one an occurrence
+    text, n_docs = "again " * 20_000 + "end", 30
+    batch = pa.record_batch([pa.array(range(n_docs)), pa.array([text] * n_docs), pa.array([False] * n_docs)], ["doc_id", "text", "held_out"])
+    head = ngram_lm.Head(np.array([ngram_lm.END], np.uint64), np.array([n_docs]), 20_002 * n_docs, 3)
+    posted = [p for b in ngram_lm._posting(types.SimpleNamespace(value=head), 8)([batch]) for p in b.to_pylist()]
+    assert posted and all(len(p["payload"]) < 1000 for p in posted if p["docs"] is None)
+    docs = spark.createDataFrame([(i, text, i == 0) for i in range(n_docs)], "doc_id bigint, text string, held_out boolean")
+    got = ngram_lm.score(docs).collect()
+    m, n, mu = n_docs - 1, 20_002 * (n_docs - 1), ngram_lm.MU
+    p1 = lambda c: (c + 0.1) / (n + 0.1 * 4)
+    again = 20_000 * m
+    want = (math.log10((m + mu * p1(again)) / (m + mu)) + 19_999 * math.log10((19_999 * m + mu * p1(again)) / (again + mu))
+            + math.log10((m + mu * p1(m)) / (again + mu)) + math.log10((m + mu * p1(m)) / (m + mu)))
+    base = 20_000 * math.log10(p1(again)) + 2 * math.log10(p1(m))
+    assert len(got) == n_docs
+    for g in got:
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (20_002, 20_002, n)
+        assert g.base_score == pytest.approx(base) and g.score == pytest.approx(want, rel=1e-3)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, universe in ((0, 10), (1, 1), (1000, 5000), (500, 1 << 60)):
