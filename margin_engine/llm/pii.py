@@ -3,12 +3,15 @@
 Base spans come from four linear-time matchers.  Units (number phrases and words
 with a digit or @) are the nodes of a random field with labels none, email,
 ip, card, phone.  Potentials are trained piecewise over all documents, with
-the base spans as labels: unit features (hashed to ``SLOTS``), label pairs of
-neighbouring units, and label pairs of skip links, each a bounded table of
-counts summed by Spark.  Skip links join consecutive units that share a key (their
+the base spans as labels and the labels of all other units hidden: a hidden label
+says nothing (every label alike), so pairs count where both ends are base units,
+each of which is predicted from the other as if masked.  Unit features (hashed to ``SLOTS``),
+label pairs of neighbouring units, and label pairs of skip links are each a bounded table of
+counts summed by Spark; only their shares are used, smoothed by a share of ``EPS``, so a
+corpus and its copies give the same potentials.  Skip links join a unit to the one before and to the first base unit that share a key (their
 last seven digits, their letters and digits, the part before @), so repeated and
 similar tokens share potentials at linear cost.  Loopy sum-product messages
-run per document with base units clamped; a free unit that ends with a
+run per document, with base units clamped, until they settle; a free unit that ends with a
 label at ``SURE`` or more and a skip path to a base unit of that kind becomes a
 span.  Base spans always stay.
 
@@ -33,7 +36,8 @@ from .blocks import blocks
 KINDS = ("email", "ip", "card", "phone")
 SLOTS = 1 << 14
 SURE = 0.8
-ROUNDS = 12
+ROUNDS = 100  # and eight a unit, if messages have not settled by then
+EPS = 0.1
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -101,7 +105,7 @@ def _shape(s: str) -> str:
         c = "0" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != c:
             out.append(c)
-    return "".join(out[:24])
+    return "".join(out)
 
 
 def units(t: str, spans):
@@ -137,12 +141,16 @@ def units(t: str, spans):
 
 
 def graph(rows):
-    """(chain edges, skip edges): neighbours, and consecutive units that share a key."""
-    last, skip = {}, set()
+    """(chain edges, skip edges): neighbours, and units that share a key with the unit before or the key's first base unit."""
+    first, last, skip = {}, {}, set()
+    for i, row in enumerate(rows):
+        for key in row[4] if row[2] else ():
+            first.setdefault(key, i)
     for i, row in enumerate(rows):
         for key in row[4]:
-            if key in last and last[key] != i:
-                skip.add((last[key], i))
+            for j in (last.get(key, i), first.get(key, i)):
+                if j != i:
+                    skip.add((min(i, j), max(i, j)))
             last[key] = i
     return [(i, i + 1) for i in range(len(rows) - 1)], sorted(skip)
 
@@ -164,7 +172,7 @@ def infer(rows, unary, chain, skip):
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     log_local = np.log(local)
     messages = np.zeros((len(src), local.shape[1]))
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS + 8 * len(rows)):
         belief = log_local.copy()
         np.add.at(belief, dst, messages)
         out = belief[src] - messages[back]
@@ -222,7 +230,8 @@ def _count(batches):
                 unary[r[3], r[2]] += 1
             for kind, edges in enumerate(graph(rows)):
                 for a, b in edges:
-                    pair[kind, rows[a][2], rows[b][2]] += 1
+                    if rows[a][2] and rows[b][2]:
+                        pair[kind, rows[a][2], rows[b][2]] += 1
     flat = np.concatenate([unary.ravel(), pair.ravel()])
     at = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.int64())], names=["cell", "n"])
@@ -234,14 +243,25 @@ def fit(docs: DataFrame):
     got = docs.select("text").mapInArrow(_count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     flat = np.zeros(SLOTS * n + 2 * n * n)
     flat[got["cell"].to_numpy()] = got["n"].to_numpy()
-    unary = flat[:SLOTS * n].reshape(SLOTS, n) + 0.1
-    unary /= unary.sum(1, keepdims=True)
-    tables = []
-    for pair in flat[SLOTS * n:].reshape(2, n, n):
-        joint = pair + pair.T + 0.5
-        joint /= joint.sum()
-        tables.append(joint / np.outer(joint.sum(1), joint.sum(0)))  # association beyond the labels' own frequency
-    return unary, tables[0], tables[1]
+    unary = flat[:SLOTS * n].reshape(SLOTS, n)
+    unary = np.concatenate([np.zeros((SLOTS, 1)), unary[:, 1:]], 1) + unary[:, :1] / n  # hidden labels: any alike
+    unary = _shares(unary, n)
+    near, linked = (pair + pair.T for pair in flat[SLOTS * n:].reshape(2, n, n))
+    chain = np.ones((n, n))
+    if near.any():
+        joint = near[1:, 1:] / near.sum()
+        own = joint.sum(1)
+        alone = np.outer(own, own)
+        # association beyond the labels' own frequency; kinds without a pair have none
+        chain[1:, 1:] = np.where(alone > 0, (1 - EPS) * joint / np.maximum(alone, EPS / n ** 2) + EPS, 1.0)
+    skip = _shares(linked, n)
+    return unary, chain, np.sqrt(skip * skip.T)
+
+
+def _shares(counts, n: int):
+    """Each row's shares, ``EPS`` of them spread evenly; even for rows without counts."""
+    total = counts.sum(1, keepdims=True)
+    return np.where(total > 0, (1 - EPS) * counts / np.maximum(total, 1e-9) + EPS / n, 1 / n)
 
 
 def _join(spans) -> str:

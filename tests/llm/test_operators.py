@@ -183,6 +183,29 @@ def test_pii_skip_chain(spark, docs, rows, empty):
     assert pii.tag(empty, pii.fit(empty)).count() == 0
 
 
+def test_pii_fitted(spark):
+    """The fitted field finds repeats among many free numbers of their shape, whatever the corpus' size."""
+    planted = "call +1 (375) 555-4393 or 375 555-4393 now"
+    texts = [planted, "+44 20 7946 0958 again +44 20 7946 0958", "a1b2c3@mail.example.com and a1b2c3@mail.example.com"]
+    free = [f"number {200 + i % 700} {100 + i % 900}-{1000 + i} is free" for i in range(60)]
+    models = []
+    for copies in (1, 40):
+        docs = spark.createDataFrame(list(enumerate((texts + free) * copies)), "doc_id bigint, text string")
+        model = pii.fit(docs)
+        models.append(model)
+        got = {r.doc_id: r for r in pii.tag(docs, model).collect()}
+        for i, t in enumerate((texts + free) * copies):
+            extra = sorted(set(got[i].spans.split(",")) - set(got[i].base.split(",")))
+            at = t.find("375 555-4393")
+            assert extra == ([f"phone:{at}:{at + 12}"] if t == planted else [])
+    for a, b in zip(*models):
+        assert np.allclose(a, b)
+    far = "+1 (375) 555-4393 and " + "375 555-4393 x9 " * 60
+    rows = pii.units(far, pii.base_spans(far))
+    found = pii.added(rows, pii.infer(rows, *models[0]))
+    assert [far[a:b] for _, a, b in found] == ["375 555-4393"] * 60
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_suffix_dedup(spark, docs, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
