@@ -84,14 +84,18 @@ class LoadedPair:
 
 
 def load_pair(spark: SparkSession, product_path: str, order_path: str,
-              product_format: str | None = None, order_format: str | None = None) -> LoadedPair:
-    """Read a catalogue and an order-line export together; both required."""
+              product_format: str | None = None, order_format: str | None = None,
+              product_options: dict | None = None, order_options: dict | None = None) -> LoadedPair:
+    """Read a catalogue and an order-line export together; both required.
+
+    The options go to ``read_table``; ``{"multi_line": False}`` splits a large CSV file
+    without line breaks in its cells over tasks."""
     if not product_path or not order_path:
         raise ValueError("both a product file and an order file are required")
-    def load(path, fmt, name):
+    def load(path, fmt, name, options):
         fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
-        return with_position(read_table(spark, path, fmt), name, fmt)
+        return with_position(read_table(spark, path, fmt, **(options or {})), name, fmt)
 
-    products = drop_header_rows(load(product_path, product_format, K.PRODUCT_POSITION))
-    orders = load(order_path, order_format, K.LINE_POSITION)
+    products = drop_header_rows(load(product_path, product_format, K.PRODUCT_POSITION, product_options))
+    orders = load(order_path, order_format, K.LINE_POSITION, order_options)
     return LoadedPair(products.drop(K.PRODUCT_POSITION), orders.drop(K.LINE_POSITION), products, orders)

@@ -130,6 +130,25 @@ def test_first_rows_follow_the_files(spark):
     assert _rows(again.processed) == _rows(run.processed)
 
 
+def test_load_pair_splits_large_files(spark):
+    from margin_engine.plans.workflow import run_pair
+    base = tempfile.mkdtemp(prefix="me-split-")
+    with open(f"{base}/p.csv", "w", encoding="utf-8") as f:
+        f.write("商家编码,成本\n" + "".join(f"P{i},{i % 7 + 1}\n" for i in range(50)))
+    with open(f"{base}/o.csv", "w", encoding="utf-8") as f:
+        f.write("订单号,商品编码,买家实付,数量,规格\n" + "".join(f"O{i % 1500},P{i % 50},{30 + i % 9},{i % 3 + 1},红\n" for i in range(3000)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        whole = load_pair(spark, f"{base}/p.csv", f"{base}/o.csv")
+        split = load_pair(spark, f"{base}/p.csv", f"{base}/o.csv", order_options={"multi_line": False})
+        assert whole.orders.rdd.getNumPartitions() == 1 < split.orders.rdd.getNumPartitions()
+        assert _rows(split.orders) == _rows(whole.orders)
+        assert _rows(run_pair(split, stamp=None).processed) == _rows(run_pair(whole, stamp=None).processed)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
 def test_ordering_columns_play_no_role(spark):
     orders = spark.createDataFrame([("O1", "A", "30", "2", 7)], "`订单号` string, `商品编码` string, `买家实付` string, `数量` string, row_num int")
     orders = orders.select("row_num", "订单号", "商品编码", "买家实付", "数量")
