@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_lm, odd_sketch, pii, quality_model, quality_rules, suffix_dedup, token_files, tool_calls
+from . import decontaminate, merkle, mixing, ngram_lm, odd_sketch, pii, quality_model, quality_rules, suffix_dedup, token_files, tool_calls, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_token_files": token_files.op8,
     "op9_odd_sketch": odd_sketch.op9,
     "op10_quality_rules": quality_rules.op10,
+    "op11_url_filter": url_filter.op11,
+    "op12_merkle_manifest": merkle.op12,
 }
 
 ORACLE = {
@@ -22,4 +24,6 @@ ORACLE = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_odd_sketch": odd_sketch.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
+    "op11_url_filter": url_filter.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
