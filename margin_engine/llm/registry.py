@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, merkle, mixing, ngram_lm, odd_sketch, pii, quality_model, quality_rules, suffix_dedup, token_files, tool_calls, url_filter
+from . import conversation_repair, decontaminate, merkle, mixing, ngram_lm, odd_sketch, pii, quality_model, quality_rules, suffix_dedup, token_files, tool_calls, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10,
     "op11_url_filter": url_filter.op11,
     "op12_merkle_manifest": merkle.op12,
+    "op13_conversation_repair": conversation_repair.op13,
 }
 
 ORACLE = {
@@ -26,4 +27,5 @@ ORACLE = {
     "op10_quality_rules": quality_rules.OP10_SQL,
     "op11_url_filter": url_filter.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_conversation_repair": conversation_repair.OP13_SQL,
 }
