@@ -458,8 +458,8 @@ d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
     CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE hit <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS i FROM d),
-s AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
-    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open_end, left(role, 1) AS a,
+s AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open_end, left(role, 1) AS a,
     lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM o),
 r AS (SELECT *, NOT blank AND seen AS dup, NOT blank AND NOT seen AND open_end AS cut, coalesce(CAST(conv_id AS VARCHAR), '') AS c FROM s),
 f(c, i, q, best) AS (SELECT DISTINCT c, CAST(0 AS BIGINT), 0, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])}} FROM r

@@ -12,7 +12,8 @@ path, then the longer host) decides, and of two rules of one text ``block``.
 3. Expressions equi-join with the rules on the first ``PREFIX`` hex digits of their SHA-256; the full
    digest confirms.  The rules are broadcast only if measured small; otherwise the adaptive skew join
    splits an expression that most urls share (the rules' side has one row for it).
-4. The longest confirmed rule of a (host, path cut) goes back to its pages.
+4. The longest confirmed rule of a (host, path cut) goes back to its pages, by a broadcast if measured small, else by a
+   join with salted keys.
 
 The shapes are collected: at most (labels of a host) x (distinct lengths of rule paths), whatever the number of
 pages or rules.
@@ -29,8 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
+from ..plans.materialize import materialize
 
 PREFIX = 8
+SALT = 16
 DEFAULT = "allow"
 #: The rules of the registered query: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -78,6 +81,17 @@ def expressions(urls: DataFrame, shapes: list) -> DataFrame:
                   .select("host", "cut", F.explode(texts).alias("expression")), "expression").drop("expression")
 
 
+def _attach(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """The verdict of each row's (host, cut): broadcast if measured small; otherwise the rows of a host that many
+    share are dealt over ``SALT`` keys and the verdicts are repeated for each."""
+    best, small = bounded_broadcast(best)
+    if small:
+        return rows.join(best, ["host", "cut"], "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALT)))
+    spread = best.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    return salted.join(spread, ["host", "cut", "salt"], "left")
+
+
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """``pages`` with url_host, url_path, url_rule (null if none fits) and url_verdict."""
     own = ("url_host", "url_path", "url_rule", "url_verdict")
@@ -96,7 +110,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         met = expressions(urls, shapes).join(known.withColumnRenamed("digest", "rule_digest"), "prefix").filter("digest = rule_digest")
         best = met.groupBy("host", "cut").agg(F.max(F.struct(
             F.length("rule").alias("len"), F.length("rule_host").alias("host_len"), "rule", "verdict")).alias("best"))
-        judged = rows.join(best, ["host", "cut"], "left").select(
+        judged = _attach(rows, materialize(best, "url-verdicts")).select(
             "page", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     return judged.select(*[F.col("page").getField(c).alias(c) for c in carried], *[F.col(c[4:]).alias(c) for c in own])
 
