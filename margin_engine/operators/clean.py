@@ -13,12 +13,15 @@ Scale notes
   sort-merge join whose line side AQE splits when one order is hot
   (``SortMergeJoin(skew=true)``, see ``tests/test_plans.py``).
 * The shop filter is applied *after* the order sum (an order can span
-  several shops); Catalyst still pushes it below the semi join on the line
-  side, which is legal because the sums branch is separate.
+  several shops).  The shop list, of any length, is a frame: a left semi join, broadcast
+  behind a check of its size.  Unlike an IN list it stays above the order test, so the
+  line branch and the sums branch keep one plan below and share one scan and one full-width
+  dedup exchange (``ReusedExchange``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -31,20 +34,24 @@ from ..functions.numeric import MONEY, to_number_filled
 from ..functions.roles import OrderRoles
 from ..functions.text import not_contains_keep_null, not_equal_keep_null
 from .dedup import exact_dedup
+from .joins import bounded_broadcast
 
 
 @dataclass(frozen=True)
 class CleanOptions:
-    """Filter request: shop IN-list and the two include switches."""
+    """Filter request: shop list (names, or a frame whose first column holds them) and the two
+    include switches (P7, P9)."""
 
-    selected_shops: tuple[str, ...] | None = None
+    selected_shops: tuple[str, ...] | DataFrame | None = None
     include_closed_orders: bool = False
     include_offline_orders: bool = False
 
     @classmethod
     def of(cls, selected_shops=None, include_closed_orders=False,
            include_offline_orders=False) -> "CleanOptions":
-        shops = tuple(selected_shops) if selected_shops else None
+        if not isinstance(selected_shops, DataFrame):
+            selected_shops = tuple(selected_shops) if selected_shops else None
+        shops = selected_shops
         return cls(shops, bool(include_closed_orders), bool(include_offline_orders))
 
 
@@ -108,11 +115,21 @@ def keep_positive_orders(lines: DataFrame, base: DataFrame, order_id: str,
     return lines.join(qualifying, _c(order_id) == F.col("__oid"), "left_semi")
 
 
-def shop_filter(df: DataFrame, shop: str | None, selected: tuple[str, ...] | None) -> DataFrame:
-    """Shop IN-list; no list or no shop column means no filter."""
-    if not selected or not shop:
+def shop_filter(df: DataFrame, shop: str | None,
+                selected: Sequence[str] | DataFrame | None) -> DataFrame:
+    """Lines of the listed shops; no list or no shop column means no filter.
+
+    Null shops and null list entries match nothing.  A list that is measured too large to
+    broadcast is joined by a shuffle."""
+    if selected is None or not shop or (not isinstance(selected, DataFrame) and not selected):
         return df
-    return df.filter(_c(shop).isin(list(selected)))
+    if not isinstance(selected, DataFrame):
+        selected = df.sparkSession.createDataFrame([(str(s),) for s in selected if s is not None], "shop string")
+    kind = df.schema[shop].dataType
+    wanted, _ = bounded_broadcast(selected.select(
+        F.col(f"`{selected.columns[0]}`").try_cast(kind).alias("__shop")).filter("__shop is not null").distinct())
+    # null-safe, so that no "shop is not null" filter is inferred into one of the two branches below
+    return df.join(wanted, _c(shop).eqNullSafe(F.col("__shop")), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -168,6 +185,6 @@ def clean_fixed(orders: DataFrame, opts: CleanOptions | None = None) -> DataFram
         preds.append(not_equal_keep_null(_c(K.V1_ONLINE_STATUS), K.STATUS_OFFLINE))
     preds.append(not_contains_keep_null(_c(K.V1_DETAIL_STATUS), K.STATUS_REFUND_FRAGMENT))
     cleaned = orders.filter(all_of(preds))
-    if opts.selected_shops and K.V1_SHOP in orders.columns:
-        cleaned = cleaned.filter(_c(K.V1_SHOP).isin(list(opts.selected_shops)))
+    if K.V1_SHOP in orders.columns:
+        cleaned = shop_filter(cleaned, K.V1_SHOP, opts.selected_shops)
     return cleaned

@@ -15,6 +15,9 @@ Scale notes
   plans it with a partial ``WindowGroupLimit`` under the shuffle, which keeps
   one row per key per map task before anything is exchanged, so a hot key
   does not land whole in one task.
+* Reports only count, so they group by a row's fingerprint (MD5 of an injective text of the
+  row, 16 bytes) and an independent 64-bit hash that tells rows of one MD5 apart: 24 bytes a
+  row travel, whatever the row's width, and copies collapse before that.
 """
 
 from __future__ import annotations
@@ -89,10 +92,29 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
             .filter(F.col("__rn") == 1).drop("__rn"))
 
 
+def row_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:
+    """(MD5, 64-bit hash) of a row: equal exactly for rows that a grouping by ``columns`` puts together.
+
+    Every cell is written with its length, so no two rows share a text; -0.0 counts as 0.0 and nulls
+    are equal, as in a grouping; nested cells are written as JSON with their nulls."""
+    cells = []
+    for f in df.select(*[_c(c) for c in columns or df.columns]).schema.fields:
+        c = _c(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = c + F.lit(0.0).cast(f.dataType)
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            text = F.to_json(F.struct(c.alias("c")), {"ignoreNullFields": "false"})
+        else:
+            text = c.cast("string")
+        cells.append(F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)))
+    whole = F.concat(*cells) if cells else F.lit("")
+    return [F.unhex(F.md5(whole.cast("binary"))).alias("__md5"), F.xxhash64(whole).alias("__check")]
+
+
 def duplicate_report(df: DataFrame, description: str = "", distinct: bool = False) -> DataFrame:
     """Total rows, unique rows, duplicate rows and rate (%, 2 dp).
 
-    One shuffle: group by all columns (partial counts), then a global sum.
+    One narrow shuffle: partial counts per row fingerprint, then a global sum.
     Empty input gives zeros.  ``distinct`` states that no two rows are equal (one
     row per key): a plain count then serves both numbers, without that shuffle.
     """
@@ -100,7 +122,7 @@ def duplicate_report(df: DataFrame, description: str = "", distinct: bool = Fals
         agg = df.agg(F.count(F.lit(1)).cast("long").alias("total_rows")).withColumn(
             "unique_rows", F.col("total_rows"))
     else:
-        grouped = df.groupBy(*[_c(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+        grouped = df.select(*row_fingerprint(df)).groupBy("__md5", "__check").agg(F.count(F.lit(1)).alias("__n"))
         agg = grouped.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("total_rows"),
                           F.count(F.lit(1)).cast("long").alias("unique_rows"))
     return agg.select(
@@ -114,6 +136,15 @@ def duplicate_report(df: DataFrame, description: str = "", distinct: bool = Fals
     )
 
 
+def duplicate_details(df: DataFrame, fields: Sequence[str], description: str = "", distinct: bool = False) -> DataFrame:
+    """D5 with D6: the report of whole rows (field null) and one row per key field."""
+    names = ["description", "field", "total", "unique", "duplicates", "duplicate_rate"]
+    rows = duplicate_report(df, description, distinct).select(
+        "description", F.lit(None).cast("string").alias("field"), F.col("total_rows").alias("total"),
+        F.col("unique_rows").alias("unique"), F.col("duplicate_rows").alias("duplicates"), "duplicate_rate")
+    return rows.unionByName(field_duplicates(df, fields).withColumn("description", F.lit(description)).select(*names))
+
+
 def field_duplicates(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Per key field: total, unique (non-null), duplicates, rate (%, 2 dp)."""
     if not fields:
@@ -139,7 +170,7 @@ def field_duplicates(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def dedup_stats(before: DataFrame, after: DataFrame, key_columns: Sequence[str]) -> DataFrame:
-    """before/after duplicate reports plus the key columns used.
+    """before/after duplicate reports plus the key columns used (per field: ``dedup_details``).
 
     ``after`` is the result of the keep-first dedup by ``key_columns``: with keys it holds
     one row per key, so its rows are only counted."""
@@ -150,3 +181,10 @@ def dedup_stats(before: DataFrame, after: DataFrame, key_columns: Sequence[str])
             .withColumn("key_columns", F.lit(keys))
             .select("stage", "total_rows", "unique_rows", "duplicate_rows",
                     "duplicate_rate", "key_columns"))
+
+
+def dedup_details(before: DataFrame, after: DataFrame, key_columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """D7 with D6: before/after reports of whole rows and of every key field."""
+    b = duplicate_details(before, fields, "before_final_dedup")
+    a = duplicate_details(after, [f for f in fields if f in after.columns], "after_final_dedup", distinct=bool(key_columns))
+    return b.unionByName(a).withColumnRenamed("description", "stage").withColumn("key_columns", F.lit(",".join(key_columns)))

@@ -28,6 +28,13 @@ def result_page(df: DataFrame, n: int = 100, order_by: Sequence[str] | None = No
     return df.orderBy(*row_order(df, order_by)).limit(n)
 
 
+def page_info(df: DataFrame, n: int = 100) -> DataFrame:
+    """What stands beside a page: total rows, rows on the page, the column names (one count, no sort)."""
+    return df.agg(F.count(F.lit(1)).cast("long").alias("total_rows")).select(
+        "total_rows", F.least(F.col("total_rows"), F.lit(n)).alias("page_rows"),
+        F.to_json(F.array(*[F.lit(c) for c in df.columns])).alias("columns"))
+
+
 def priority_columns(columns: Sequence[str], extra: int = 2) -> list[str]:
     """P13 column choice: per priority keyword its first containing column,
     then the first ``extra`` columns that contain no priority keyword."""

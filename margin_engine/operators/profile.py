@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numeric import is_numeric_type, round_half_even
 from ..functions.roles import find_columns, profile_role
-from .quantiles import exact_quantiles
+from .quantiles import normalised, quantile_stats
 
 STAT_DIGITS = 6
+#: Distinct values that the sample of an approximate profile lets through, about.
+SAMPLE_VALUES = 64
+SAMPLE_SEED = 11
 
 
 def _c(name: str) -> Column:
@@ -51,7 +54,7 @@ def profile_roles(columns: Sequence[str], kind: str = "order") -> dict[str, str]
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
                    n_samples: int = 3, limit: int | None = None,
-                   approximate: bool = False, sample_rows: int = 10_000,
+                   approximate: bool = False,
                    kind: str = "order") -> DataFrame:
     """Per column dtype, key role (C1b), null count, distinct non-null
     count and the ``n_samples`` smallest non-null values (as text).
@@ -59,13 +62,13 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
     ``limit`` profiles only the first rows when given (the source profiled a
     100-row head); by default the whole table is profiled.  ``approximate``
     trades the exact distinct count (a shuffle of every (column, value)
-    pair) for one aggregation pass with HyperLogLog counts and exact null
-    counts; its samples come from the first ``sample_rows`` rows.
+    pair) for scans with HyperLogLog counts, exact null counts and values
+    sampled by hash over all rows.
     """
     columns = list(columns or df.columns)
     src = df.limit(limit) if limit else df
     if approximate:
-        return _column_profile_approx(src, columns, n_samples, sample_rows, kind)
+        return _column_profile_approx(src, columns, n_samples, kind)
     counts = (_unpivot_text(src, columns)
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     per_col = counts.groupBy("column").agg(
@@ -88,27 +91,36 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None,
                     .alias("sample_values")))
 
 
-def _column_profile_approx(df: DataFrame, columns: Sequence[str], n_samples: int,
-                           sample_rows: int, kind: str = "order") -> DataFrame:
+def _hash_of(c: str) -> Column:
+    """A value's place in [0, 1) by hash: the same for its every occurrence."""
+    return (F.xxhash64(F.lit(SAMPLE_SEED), _c(c).cast("string")).cast("double") / F.lit(float(1 << 64))) + F.lit(0.5)
+
+
+def _column_profile_approx(df: DataFrame, columns: Sequence[str], n_samples: int, kind: str = "order") -> DataFrame:
+    """Two scans without a shuffle of values: mergeable distinct sketches and exact null counts; then the values
+    whose hash is below a threshold that some ``SAMPLE_VALUES`` distinct values of the column meet.
+
+    A column whose threshold lets fewer than the wanted values through though it has more is looked at again with
+    a four times higher one, so samples are distinct values drawn evenly from all rows."""
     aggs = []
     for i, c in enumerate(columns):
-        aggs += [F.count_if(_c(c).isNull()).alias(f"n{i}"),
-                 F.approx_count_distinct(_c(c)).alias(f"d{i}")]
-    one = df.agg(*aggs)
-    stats = one.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("null_count"),
-                 F.col(f"d{i}").cast("long").alias("unique_count"))
-        for i, c in enumerate(columns)])).alias("s")).select("s.*")
-    head = _unpivot_text(df.limit(sample_rows), columns).filter(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(F.asc("value"))
-    samples = (head.distinct().withColumn("_rn", F.row_number().over(w))
-               .filter(F.col("_rn") <= n_samples).groupBy("column")
-               .agg(F.sort_array(F.collect_list("value")).alias("sample_values")))
-    return (_schema_frame(df, columns, kind).join(F.broadcast(stats), "column", "left")
-            .join(F.broadcast(samples), "column", "left")
-            .select("position", "column", "dtype", "role", "null_count", "unique_count",
-                    F.coalesce("sample_values", F.array().cast("array<string>"))
-                    .alias("sample_values")))
+        aggs += [F.count_if(_c(c).isNull()).alias(f"n{i}"), F.approx_count_distinct(_c(c).cast("string")).alias(f"d{i}")]
+    one = df.agg(*aggs).first()
+    share = {c: min(1.0, SAMPLE_VALUES / max(1, one[f"d{i}"])) for i, c in enumerate(columns)}
+    samples = {}
+    while share:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.when(_hash_of(c) < share[c], _c(c).cast("string")).alias("value"))
+                                    for c in share]))
+        met = df.select(cells.alias("u")).select("u.*").filter("value is not null").groupBy("column", "value").agg(F.lit(1).alias("one"))
+        w = Window.partitionBy("column").orderBy("value")
+        rows = (met.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n_samples)
+                .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect())  # a few values a column
+        samples.update({r["column"]: r["v"] for r in rows})
+        share = {c: min(1.0, 4 * t) for c, t in share.items() if t < 1.0 and len(samples.get(c, [])) < n_samples}
+    stats = [(c, one[f"n{i}"], one[f"d{i}"], samples.get(c, [])) for i, c in enumerate(columns)]
+    found = df.sparkSession.createDataFrame(stats, "column string, null_count long, unique_count long, sample_values array<string>")
+    return (_schema_frame(df, columns, kind).join(F.broadcast(found), "column", "left")
+            .select("position", "column", "dtype", "role", "null_count", "unique_count", "sample_values"))
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -129,12 +141,6 @@ def table_profile(df: DataFrame) -> DataFrame:
         F.lit(len(cols)).alias("total_columns"))
 
 
-def _zero_normalised(v: Column) -> Column:
-    # -0.0 and 0.0 compare equal; report one of them so min/max are stable.
-    # NaN is a missing value for the summary (as in a pandas describe()).
-    return F.when(F.isnan(v), F.lit(None)).when(v == F.lit(0.0), F.lit(0.0)).otherwise(v)
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
@@ -148,39 +154,26 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
     Mean and standard deviation are rounded to ``STAT_DIGITS`` so the report
     does not depend on summation order.  ``approximate`` computes the
     quartiles with ``percentile_approx`` inside the same single pass (rank
-    error at most n / ``accuracy``) instead of the exact selection.
+    error at most n / ``accuracy``) instead of the exact selection, which takes two scans.
     """
     if approximate:
         return _numeric_summary_approx(df, list(columns or numeric_columns(df)),
                                        probabilities, accuracy)
     columns = list(columns or numeric_columns(df))
     spark = df.sparkSession
+    qnames = [f"p{int(round(p * 100))}" for p in probabilities]
+    schema = ", ".join(["column string, count long, mean double, std double, min double", *[f"{q} double" for q in qnames], "max double"])
     if not columns:
-        return spark.createDataFrame([], "column string, count long, mean double, std double, "
-                                         "min double, p25 double, p50 double, p75 double, max double")
+        return spark.createDataFrame([], schema)
     aggs = []
     for i, c in enumerate(columns):
-        v = _zero_normalised(_c(c).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"),
-                 F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"lo{i}"),
-                 F.max(v).alias(f"hi{i}")]
-    base = df.agg(*aggs)
-    q = exact_quantiles(df, columns, probabilities)       # (column, p, value) rows
-    qw = (q.groupBy("column").pivot("p", list(probabilities)).agg(F.first("value")))
-    qnames = {p: f"p{int(round(p * 100))}" for p in probabilities}
-    qw = qw.select("column", *[F.col(f"`{p}`").alias(qnames[p]) for p in probabilities])
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-                 F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-        for i, c in enumerate(columns)]))
-    stats = base.select(stacked.alias("s")).select("s.*")
-    return (stats.join(F.broadcast(qw), "column", "left")
-            .select("column", F.col("count").cast("long").alias("count"),
-                    round_half_even(F.col("mean"), STAT_DIGITS).alias("mean"),
-                    round_half_even(F.col("std"), STAT_DIGITS).alias("std"),
-                    "min", *[round_half_even(F.col(qnames[p]), STAT_DIGITS).alias(qnames[p])
-                             for p in probabilities], "max"))
+        v = normalised(_c(c))
+        aggs += [round_half_even(F.avg(v), STAT_DIGITS).alias(f"a{i}"), round_half_even(F.stddev_samp(v), STAT_DIGITS).alias(f"s{i}")]
+    row, values = quantile_stats(df, columns, probabilities, aggs)
+    out = [(c, row[f"n{i}"], row[f"a{i}"], row[f"s{i}"], row[f"lo{i}"], *[values[(c, p)] for p in probabilities], row[f"hi{i}"])
+           for i, c in enumerate(columns)]  # one row per profiled column
+    rounded = [round_half_even(F.col(q), STAT_DIGITS).alias(q) for q in qnames]
+    return spark.createDataFrame(out, schema).select("column", "count", "mean", "std", "min", *rounded, "max")
 
 
 def _numeric_summary_approx(df: DataFrame, columns: Sequence[str],
@@ -188,7 +181,7 @@ def _numeric_summary_approx(df: DataFrame, columns: Sequence[str],
     qnames = [f"p{int(round(p * 100))}" for p in probabilities]
     parts = []
     for c in columns:
-        v = _zero_normalised(_c(c).cast("double"))
+        v = normalised(_c(c))
         q = F.percentile_approx(v, list(probabilities), accuracy)
         parts.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"),
                               F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),

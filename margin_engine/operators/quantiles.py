@@ -1,224 +1,141 @@
-"""Exact quantiles (linear interpolation between order statistics) without
-gathering a column into one task.
-
-``percentile()`` keeps every distinct value of a group in one aggregation
-buffer, which for a whole-table quartile means one task holds the column's
-distinct values.  Instead each needed order statistic is found as follows.
-
-* Columns whose row count (or, above the bound, estimated distinct count)
-  is at most ``small`` are ranked directly: all of them are unpivoted,
-  counted per distinct value and ranked by a running sum in one job, one
-  window partition per column, each bounded by ``small``.
-* Larger columns narrow an open interval around every wanted rank, all
-  columns and intervals together, two passes per round:
-
-  1. approximate split points of every open interval (``percentile_approx``,
-     a bounded sketch per task and interval),
-  2. exact counts per (interval, bucket between split points), plus how
-     many values equal each bucket's upper split point; the bucket is found
-     with a balanced CASE tree (log2 comparisons per row, inside codegen).
-
-  A rank either *is* a split point (which also settles ties on a hot value)
-  or falls inside one bucket, the next round's interval.  Intervals holding
-  at most ``small`` values are ranked together in one job.
-
-Only split points, counts and the selected values reach the driver.
+"""Exact quantiles (linear interpolation between order statistics) in two scans.
+
+1. One aggregation gives every column's count, minimum and maximum, and two values around each wanted
+   rank from a mergeable quantile sketch (``percentile_approx``), whose rank error is at most n / ``accuracy``: the
+   wanted order statistics lie between them.  A caller's own statistics ride along in the same pass.
+2. One filtered scan counts, per column, the values below, between and inside these intervals; only
+   values inside travel one by one (a group per distinct value, partial counts first), about
+   12 n / ``accuracy`` a rank.  They are saved, and running sums over one interval find the ranks exactly.
+
+The counts prove that a rank lies in its interval.  Should a sketch break its bound, the columns concerned are
+done again with intervals four times as wide, until they span the column: no result rests on the
+sketch.  The driver sees sketch points, counts per interval and the selected values only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 64
-SMALL = 4_000_000
+from ..plans.materialize import materialize
+
 ACCURACY = 10_000
+#: Width of an interval in units of the sketch's rank error, to each side of the wanted rank.
+MARGIN = 3
 
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _normalised(v: Column) -> Column:
-    # -0.0 and 0.0 are one value; NaN counts as missing.
+def normalised(v: Column) -> Column:
+    """-0.0 and 0.0 are one value; NaN counts as missing."""
     d = v.cast("double")
     return F.when(F.isnan(d), F.lit(None)).when(d == F.lit(0.0), F.lit(0.0)).otherwise(d)
 
 
-@dataclass(frozen=True)
-class _Item:
-    column: str
-    lo: float | None          # open interval (lo, hi); None = unbounded
-    hi: float | None
-    offset: int               # values of the column <= lo
-    count: int                # values inside the interval
-    ranks: tuple[int, ...]    # 0-based ranks over the whole column
-
-    def cond(self) -> Column:
-        c = F.col("column") == F.lit(self.column)
-        if self.lo is not None:
-            c = c & (F.col("v") > F.lit(self.lo))
-        if self.hi is not None:
-            c = c & (F.col("v") < F.lit(self.hi))
-        return c
-
-
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _normalised(_c(c)).alias("v")) for c in columns]))
-    return df.select(pairs.alias("u")).select("u.column", "u.v").filter(F.col("v").isNotNull())
-
-
-def _tag(items: Sequence[_Item]) -> Column:
-    tag = F.lit(None).cast("int")
-    for i in reversed(range(len(items))):
-        tag = F.when(items[i].cond(), F.lit(i)).otherwise(tag)
-    return tag
-
-
-def _bucket(pts: Sequence[float], lo: int = 0, hi: int | None = None) -> Column:
-    """Index of the first split point >= v (len(pts) when none)."""
-    hi = len(pts) if hi is None else hi
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.col("v") <= F.lit(pts[mid]), _bucket(pts, lo, mid)).otherwise(
-        _bucket(pts, mid + 1, hi))
-
-
-def _rank_items(long: DataFrame, items: Sequence[_Item],
-                partition_by_column: bool = False) -> dict[tuple[str, int], float]:
-    """Ranks inside bounded intervals, all in one job: values are counted per
-    (interval, value) and ranked by a running sum, one window partition per
-    interval (or per column for the direct path)."""
-    if partition_by_column:
-        tagged = long.withColumn("item", F.col("column"))
-        key = {it.column: it for it in items}
-    else:
-        tagged = long.withColumn("item", _tag(items)).filter(F.col("item").isNotNull())
-        key = dict(enumerate(items))
-    vc = tagged.groupBy("item", "v").agg(F.count(F.lit(1)).alias("n"))
-    w = (Window.partitionBy("item").orderBy("v")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = vc.withColumn("cum", F.sum("n").over(w)).withColumn("prev", F.col("cum") - F.col("n"))
-    hit = F.lit(False)
-    for k, it in key.items():
-        for r in it.ranks:
-            rr = r - it.offset
-            hit = hit | ((F.col("item") == F.lit(k)) & (F.col("prev") <= F.lit(rr))
-                         & (F.lit(rr) < F.col("cum")))
-    out: dict[tuple[str, int], float] = {}
-    for row in cum.filter(hit).select("item", "v", "prev", "cum").collect():
-        it = key[row["item"]]
-        for r in it.ranks:
-            if row["prev"] <= r - it.offset < row["cum"]:
-                out[(it.column, r)] = row["v"]
+def _sketch(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], margin: float, accuracy: int, more: Sequence[Column]):
+    """Pass 1: (row, per column: count and the disjoint intervals that hold its wanted ranks)."""
+    points = sorted({min(max(p + side * margin / accuracy, 0.0), 1.0) for p in probabilities for side in (-1, 1)})
+    aggs = list(more)
+    for i, c in enumerate(columns):
+        v = normalised(_c(c))
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 F.percentile_approx(v, points, accuracy).alias(f"q{i}")]
+    row = df.agg(*aggs).first()
+    found = {}
+    for i, c in enumerate(columns):
+        if not row[f"n{i}"]:
+            continue
+        at = dict(zip(points, row[f"q{i}"]))
+        ends = []
+        for p in probabilities:
+            a, b = p - margin / accuracy, p + margin / accuracy
+            ends.append((row[f"lo{i}"] if a <= 0 else at[a], row[f"hi{i}"] if b >= 1 else at[b]))
+        merged = []
+        for a, b in sorted(ends):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        found[c] = (row[f"n{i}"], merged)
+    return row, found
+
+
+def _region(column: str, v: Column, intervals) -> Column:
+    """2j: below interval j (above the one before); 2j + 1: inside it; the last even number: above all."""
+    out = F.lit(2 * len(intervals))
+    for j, (a, b) in reversed(list(enumerate(intervals))):
+        out = F.when(v < F.lit(a), F.lit(2 * j)).when(v <= F.lit(b), F.lit(2 * j + 1)).otherwise(out)
     return out
 
 
-def _narrow(long: DataFrame, items: list[_Item], small: int,
-            splits: int) -> dict[tuple[str, int], float]:
-    result: dict[tuple[str, int], float] = {}
-    probs = [i / splits for i in range(1, splits)]
-    while items:
-        done = [it for it in items if it.count <= small]
-        if done:
-            result.update(_rank_items(long, done))
-        big = [it for it in items if it.count > small]
-        if not big:
-            break
-        # Pass 1: split points of every open interval.
-        row = long.agg(*[F.percentile_approx(F.when(it.cond(), F.col("v")), probs, ACCURACY)
-                         .alias(f"s{i}") for i, it in enumerate(big)]).collect()[0]
-        pts = [sorted({float(x) for x in (row[f"s{i}"] or [])}) for i in range(len(big))]
-        # Pass 2: exact counts per (interval, bucket) and per bucket's upper point.
-        bucket = F.lit(None).cast("int")
-        upper = F.lit(None).cast("double")
-        for i in reversed(range(len(big))):
-            arr = F.array(*[F.lit(p) for p in pts[i]], F.lit(None)).cast("array<double>")
-            b = _bucket(pts[i])
-            bucket = F.when(F.col("item") == F.lit(i), b).otherwise(bucket)
-            upper = F.when(F.col("item") == F.lit(i), F.element_at(arr, b + 1)).otherwise(upper)
-        counts = (long.withColumn("item", _tag(big)).filter(F.col("item").isNotNull())
-                  .withColumn("b", bucket).withColumn("u", upper)
-                  .groupBy("item", "b")
-                  .agg(F.count(F.lit(1)).alias("n"),
-                       F.count_if(F.col("v") == F.col("u")).alias("eq"))
-                  .collect())
-        per = {(r["item"], r["b"]): (r["n"], r["eq"]) for r in counts}
-        nxt: list[_Item] = []
-        for i, it in enumerate(big):
-            p = pts[i]
-            le, lt, run = [], [], 0
-            for j in range(len(p)):
-                nj, eqj = per.get((i, j), (0, 0))
-                run += nj
-                le.append(run)
-                lt.append(run - eqj)
-            groups: dict[int, list[int]] = {}
-            for r in it.ranks:
-                rr = r - it.offset
-                j = next((k for k in range(len(p)) if le[k] > rr), None)
-                if j is not None and lt[j] <= rr:
-                    result[(it.column, r)] = p[j]      # the split point holds this rank
-                    continue
-                groups.setdefault(-1 if j is None else j, []).append(r)
-            for j, grp in groups.items():
-                if j == -1:
-                    base = le[-1] if p else 0
-                    nxt.append(_Item(it.column, p[-1] if p else it.lo, it.hi,
-                                     it.offset + base, it.count - base, tuple(grp)))
+def _select(df: DataFrame, found: dict, ranks: dict) -> tuple[dict, list[str]]:
+    """Pass 2: {(column, rank): value} and the columns with a rank outside its interval."""
+    parts = []
+    for c, (_, intervals) in found.items():
+        v = normalised(_c(c))
+        parts.append(F.struct(F.lit(c).alias("column"), v.alias("v"), _region(c, v, intervals).alias("region")))
+    long = df.select(F.explode(F.array(*parts)).alias("u")).select("u.*").filter("v is not null")
+    inside = F.col("region") % 2 == 1
+    counted = materialize(long.groupBy("column", "region", F.when(inside, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n")), "quantiles")
+    totals = {(r["column"], r["region"]): r["n"] for r in counted.groupBy("column", "region").agg(F.sum("n").alias("n")).collect()}
+    hit, wrong = F.lit(False), []
+    for c, wanted in ranks.items():
+        below = 0
+        left = set(wanted)
+        for region in range(2 * len(found[c][1]) + 1):
+            n = totals.get((c, region), 0)
+            for r in [r for r in left if r < below + n]:
+                left.discard(r)
+                if region % 2 == 0:
+                    wrong.append(c)
                 else:
-                    base = le[j - 1] if j > 0 else 0
-                    nxt.append(_Item(it.column, p[j - 1] if j > 0 else it.lo, p[j],
-                                     it.offset + base, lt[j] - base, tuple(grp)))
-        items = nxt
-    return result
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-                    small: int = SMALL, splits: int = SPLITS) -> DataFrame:
-    """Rows ``(column, p, value)``: exact quantiles with linear interpolation
-    at position ``p * (n - 1)`` over the non-null values; null when empty."""
-    spark = df.sparkSession
-    stats = df.agg(*[F.count(_normalised(_c(c))).alias(f"n{i}")
-                     for i, c in enumerate(columns)]).collect()[0]
-    counts = {c: int(stats[f"n{i}"]) for i, c in enumerate(columns)}
-    # A row count within the bound also bounds the distinct values; only
-    # larger columns pay for a distinct-count estimate (which has ~5% error,
-    # hence the headroom).
-    big = [c for c in columns if counts[c] > small]
-    est = {}
-    if big:
-        row = df.agg(*[F.approx_count_distinct(_c(c)).alias(f"d{i}")
-                       for i, c in enumerate(big)]).collect()[0]
-        est = {c: int(row[f"d{i}"]) for i, c in enumerate(big)}
-    positions = {c: {p: p * (counts[c] - 1) for p in probabilities} for c in columns}
-    ranks = {c: tuple(sorted({math.floor(x) for x in positions[c].values()}
-                             | {math.ceil(x) for x in positions[c].values()})) for c in columns}
-    live = [c for c in columns if counts[c] > 0]
-    direct = [c for c in live if c not in big or est[c] * 1.25 <= small]
-    narrow = [c for c in live if c not in direct]
-    at: dict[tuple[str, int], float] = {}
-    if direct:
-        at.update(_rank_items(_long(df, direct),
-                              [_Item(c, None, None, 0, counts[c], ranks[c]) for c in direct],
-                              partition_by_column=True))
-    if narrow:
-        at.update(_narrow(_long(df, narrow),
-                          [_Item(c, None, None, 0, counts[c], ranks[c]) for c in narrow],
-                          small, splits))
-    out = []
+                    hit |= ((F.col("column") == c) & (F.col("region") == region)
+                            & (F.col("before") <= r - below) & (r - below < F.col("before") + F.col("n")))
+            below += n
+    order = Window.partitionBy("column", "region").orderBy("v")
+    ranked = counted.filter(inside).withColumn("before", F.sum("n").over(order) - F.col("n"))
+    rows = ranked.filter(hit).select("column", "region", "v", "before", "n").collect()  # at most one row a rank
+    out = {}
+    for r in rows:
+        base = sum(totals.get((r["column"], k), 0) for k in range(r["region"])) + r["before"]
+        for rank in ranks[r["column"]]:
+            if base <= rank < base + r["n"]:
+                out[(r["column"], rank)] = r["v"]
+    return out, sorted(set(wrong))
+
+
+def quantile_stats(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], more: Sequence[Column] = (),
+                   accuracy: int = ACCURACY):
+    """(row of ``more`` and pass 1, {(column, p): exact quantile or None})."""
+    row, found = _sketch(df, columns, probabilities, MARGIN, accuracy, more)
+    place = {c: {p: p * (found[c][0] - 1) for p in probabilities} for c in found}
+    ranks = {c: sorted({f(x) for x in place[c].values() for f in (math.floor, math.ceil)}) for c in found}
+    at, margin, todo = {}, MARGIN, dict(found)
+    while todo:
+        got, wrong = _select(df, todo, {c: ranks[c] for c in todo})
+        at.update(got)
+        margin *= 4
+        todo = _sketch(df, wrong, probabilities, margin, accuracy, ())[1] if wrong else {}
+    out = {}
     for c in columns:
         for p in probabilities:
-            if counts[c] == 0:
-                out.append((c, float(p), None))
+            if c not in found:
+                out[(c, p)] = None
                 continue
-            x = positions[c][p]
+            x = place[c][p]
             a, b = at[(c, math.floor(x))], at[(c, math.ceil(x))]
-            out.append((c, float(p), a + (b - a) * (x - math.floor(x))))
-    return spark.createDataFrame(out, "column string, p double, value double")
+            out[(c, p)] = a if a == b else a + (b - a) * (x - math.floor(x))
+    return row, out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """Rows ``(column, p, value)``: exact quantiles with linear interpolation
+    at position ``p * (n - 1)`` over the non-null values; null when empty."""
+    _, values = quantile_stats(df, columns, probabilities, accuracy=accuracy)
+    return df.sparkSession.createDataFrame([(c, float(p), values[(c, p)]) for c in columns for p in probabilities],
+                                           "column string, p double, value double")

@@ -161,9 +161,27 @@ def product_summary(processed: DataFrame) -> DataFrame:
             .orderBy("product_name", "product_code"))
 
 
-def date_range(processed: DataFrame, time_col: str) -> DataFrame:
-    """First and last order time of the processed lines."""
-    return processed.agg(F.min(_c(time_col)).alias("start"), F.max(_c(time_col)).alias("end"))
+# FIXED VALUES: text forms of a time that exports hold; the first that fits counts.
+TIME_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d",
+                "yyyyMMdd", "yyyy年M月d日", "yyyy-M-d'T'H:m:s")
+
+
+def parse_time(col: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
+    """A text time by the first fitting format; null if none fits."""
+    text = F.trim(col.cast("string"))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def date_range(processed: DataFrame, time_col: str, formats: Sequence[str] = TIME_FORMATS) -> DataFrame:
+    """First and last order time of the processed lines, in order of time.
+
+    Text is read by ``formats``, and the cells that fit none are counted (``unparsed``); they
+    play no other part.  Dates and timestamps are taken as they are."""
+    c = _c(time_col)
+    if dict(processed.dtypes)[time_col] != "string":
+        return processed.agg(F.min(c).alias("start"), F.max(c).alias("end"))
+    t = parse_time(c, formats)
+    return processed.agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.when(c.isNotNull() & t.isNull(), F.lit(1))).alias("unparsed"))
 
 
 def counters_frame(spark, pairs: Sequence[tuple[str, DataFrame]]) -> DataFrame:

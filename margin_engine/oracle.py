@@ -16,8 +16,8 @@ from __future__ import annotations
 from .functions.numeric import NUMBER_PATTERN
 from .operators.profile import STAT_DIGITS
 from .operators.reports import MEAN_DIGITS
-from .queries import PAGE_ROWS, SELECTED_SHOPS, SHOP_SEARCH_TERM
-from .sources.fixtures import (CATALOG_SQL, ORDER_LINE_COLUMNS, ORDER_LINES_SQL,
+from .queries import NAME_TAIL, PAGE_ROWS, PREVIEW_ROWS, SELECTED_SHOPS, SHOP_SEARCH_TERM, STAMP
+from .sources.fixtures import (CATALOG_SQL, ORDER_LINE_COLUMNS, ORDER_LINES_SQL, TABLES,
                                duckdb_sql_text)
 
 
@@ -384,6 +384,7 @@ def build() -> dict[str, str]:
     o["run_counters"] = with_(
         K,
         "SELECT 'original_lines' AS counter, CAST(COUNT(*) AS BIGINT) AS value FROM lines "
+        "UNION ALL SELECT 'deduplicated_lines', COUNT(*) FROM (SELECT DISTINCT * FROM lines) u "
         "UNION ALL SELECT 'cleaned_lines', COUNT(*) FROM cleaned "
         f"UNION ALL SELECT 'original_orders', COUNT(DISTINCT {OID}) FROM lines "
         f"UNION ALL SELECT 'cleaned_orders_after_clean', COUNT(DISTINCT {OID}) FROM cleaned "
@@ -473,6 +474,62 @@ def build() -> dict[str, str]:
             f"m3 AS (SELECT *, {rnd('revenue - total_cost', 2)} AS profit FROM m2)"]),
         f"SELECT {', '.join(LINE_COLS + products)}, match_status, unit_cost, quantity, revenue, total_cost, profit, "
         f"CASE WHEN revenue > 0 THEN {rnd('profit / revenue', 4)} ELSE 0.0 END AS margin FROM m3")
+    o["shop_filter_list"] = with_(clean_ctes(), f"SELECT * FROM cleaned WHERE {SHOP} IN (SELECT s_name FROM supplier WHERE s_acctbal > 0)")
+    o["match_no_candidates"] = with_(clean_ctes(), "SELECT *, '未匹配' AS match_status FROM cleaned")
+    o["match_no_catalogue"] = with_(clean_ctes(), "SELECT *, CAST(NULL AS VARCHAR) AS match_status FROM cleaned WHERE false")
+    o["match_name_clash"] = with_(
+        ",\n".join([clean_ctes(), PRODUCTS, CAT_FIRST, JOINED, MATCHED]),
+        f"SELECT * EXCLUDE ({NAME}, {ITEM}), {NAME} AS {q('商品名称_order')}, {ITEM} AS {q('商品名称_product')} FROM matched")
+    o["post_join_dedup_spaces"] = with_(
+        ",\n".join([clean_ctes(), PRODUCTS, CAT_FIRST, JOINED]),
+        "SELECT CAST(2 * COUNT(*) AS BIGINT) AS rows_before, "
+        "CAST((SELECT COUNT(*) FROM (SELECT DISTINCT * FROM joined)) AS BIGINT) AS rows_after FROM joined")
+    details = ("SELECT {d} AS {h}, field, t AS total, u AS \"unique\", t - u AS duplicates, "
+               f"CASE WHEN t > 0 THEN {rate} ELSE 0.0 END AS duplicate_rate")
+
+    def counted(src: str, fields) -> str:
+        rows = [f"SELECT CAST(NULL AS VARCHAR) AS field, CAST(COUNT(*) AS BIGINT) AS t, "
+                f"CAST((SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {src})) AS BIGINT) AS u FROM {src}"]
+        rows += [f"SELECT {lit(f)}, CAST(COUNT(*) AS BIGINT), CAST(COUNT(DISTINCT {q(f)}) AS BIGINT) FROM {src}" for f in fields]
+        return " UNION ALL ".join(rows)
+
+    o["dup_details"] = with_(LINES, details.format(d="'order_lines'", h="description") + f" FROM ({counted('lines', ('订单号', '商品编码'))})")
+    run_fields = ("订单号", "商品编码", "商家编码", "SKU")
+    o["dedup_details"] = with_(K, " UNION ALL ".join(
+        details.format(d=lit(stage), h="stage") + f", '订单号,商品编码,规格' AS key_columns FROM ({counted(src, run_fields)})"
+        for stage, src in (("before_final_dedup", "margined"), ("after_final_dedup", "final"))))
+    o["margin_stamped"] = with_(",\n".join([clean_ctes(), PRODUCTS, CAT_FIRST, JOINED, MATCHED, MARGIN]),
+                                f"SELECT *, {lit(STAMP)} AS processed_at FROM margined")
+    numbers = ("total_cost", "total_revenue", "total_profit", "avg_margin")
+    long = lambda name, item, cols, src: " UNION ALL ".join(
+        f"SELECT {lit(name)} AS report, {item.format(c=c)} AS item, CAST({c} AS DOUBLE) AS value FROM ({src})" for c in cols)
+    o["run_report"] = (
+        f"SELECT * FROM ({long('summary', chr(39) + '{c}' + chr(39), ('total_records', 'total_shops') + numbers, o['summary'])}) "
+        f"UNION ALL SELECT 'counters', counter, CAST(value AS DOUBLE) FROM ({o['run_counters']}) "
+        f"UNION ALL SELECT * FROM ({long('shops', 'shop_name || ' + chr(39) + '.{c}' + chr(39), ('total_orders',) + numbers, o['shop_rollup'])})")
+    o["date_range_text"] = with_(
+        LINES, f"SELECT CAST(MIN({TIME}) FILTER (NOT ends_with({CODE}, '0')) AS TIMESTAMP) AS start, "
+               f"CAST(MAX({TIME}) FILTER (NOT ends_with({CODE}, '0')) AS TIMESTAMP) AS \"end\", "
+               f"COUNT(*) FILTER (ends_with({CODE}, '0')) AS unparsed FROM lines")
+    o["page_info"] = with_(K, f"SELECT CAST(COUNT(*) AS BIGINT) AS total_rows, CAST(least(COUNT(*), {PAGE_ROWS}) AS BIGINT) AS page_rows, "
+                              f"{lit('[' + ','.join(c if c.startswith(chr(34)) else chr(34) + c + chr(34) for c in MARGINED_COLS) + ']')} AS columns FROM final")
+    types = [(PKEY, "string"), (ITEM, "string"), (SKU, "string"), (COST, "string"), (q("seq"), "int")]
+    o["preview_info"] = with_(PRODUCTS, " UNION ALL ".join(
+        f"SELECT {i} AS position, {lit(c.strip(chr(34)))} AS \"column\", '{t}' AS dtype, CAST(least(COUNT(*), {PREVIEW_ROWS}) AS BIGINT) AS preview_rows, "
+        f"{len(types)} AS preview_columns FROM products" for i, (c, t) in enumerate(types)))
+    o["table_headers"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS name, CAST((SELECT COUNT(*) FROM duckdb_columns() WHERE table_name = '{t}') AS INTEGER) AS column_count, "
+        f"(SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() WHERE table_name = '{t}') AS columns, "
+        f"(SELECT COUNT(*) FROM {t}) AS rows" for t in TABLES)
+    texts = _cols(LINE_COLS, {TIME: f"CAST({TIME} AS VARCHAR)"})
+    o["encoded_orders"] = with_(
+        LINES, f"SELECT {texts}, CASE WHEN CAST({OID} AS BIGINT) % 2 <> 0 THEN '第一行' || chr(10) || '\"' || trim({CODE}) || '\" 第二行' END "
+               f"AS {q('备注')} FROM lines")
+    o["encoded_catalog"] = with_(PRODUCTS, f"SELECT {_cols(PRODUCT_COLS, {'seq': 'CAST(seq AS VARCHAR)'})} FROM products")
+    tail = " || ".join(["','", "chr(10)", lit(NAME_TAIL[2:])])
+    o["export_detail_csv"] = with_(V1_CTES, f"SELECT * REPLACE ({NAME} || {tail} AS {NAME}) FROM v1_proc")
+    o["export_shop_summary"] = o["shop_summary"]
+    o["export_product_summary"] = f"SELECT * REPLACE (product_name || {tail} AS product_name) FROM ({o['product_summary']})"
     # The streamed detail must equal the batch detail.
     o["stream_ingest"] = o["business_dedup"]
     return o

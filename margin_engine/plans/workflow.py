@@ -21,7 +21,7 @@ business dedup subsumes it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ from ..operators import match as J
 from ..operators import reports as R
 from ..operators.joins import DEFAULT_MAX_BROADCAST_ROWS
 from ..sources.readers import LoadedPair
-from .materialize import materialize
+from .materialize import Intermediates, materialize
 
 
 def business_dedup(df: DataFrame, keys: Sequence[str],
@@ -46,6 +46,9 @@ def business_dedup(df: DataFrame, keys: Sequence[str],
 
 @dataclass
 class KeywordRun:
+    """A run and its reports.  The run owns the folders of its intermediates: ``with run_keyword(...) as
+    run:`` (or ``close``) deletes them, after which its lazy results are void."""
+
     orders: DataFrame                 # raw input
     cleaned: DataFrame                # Q1 output
     clean_roles: OrderRoles
@@ -53,6 +56,23 @@ class KeywordRun:
     margined: DataFrame               # Q3 output (before business dedup)
     processed: DataFrame              # final detail
     dedup_keys: tuple[str, ...]
+    folders: Intermediates
+    ordering: tuple[str, ...] = ()    # columns of ``raw`` that are no part of a row's identity
+    raw: DataFrame | None = field(default=None, repr=False)
+
+    def __enter__(self) -> "KeywordRun":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.folders.close()
+
+    def saved(self) -> "KeywordRun":
+        """The same run with its final detail written once: every report after this reads that table."""
+        with self.folders.using():
+            return replace(self, processed=materialize(self.processed, "processed"))
 
     def summary(self) -> DataFrame:
         return R.summary_keyword(self.processed, self._shop())
@@ -67,27 +87,49 @@ class KeywordRun:
     def dedup_stats(self) -> DataFrame:
         return D.dedup_stats(self.margined, self.processed, self.dedup_keys)
 
+    def dedup_details(self) -> DataFrame:
+        return D.dedup_details(self.margined, self.processed, self.dedup_keys, dup_key_fields(self.margined))
+
     def counters(self) -> DataFrame:
-        """A11 + A12 as a long (counter, value) table: one aggregate per frame."""
+        """A11 + A12 as a long (counter, value) table.
+
+        Counts come from data, not from task metrics, which a lost executor's repeated
+        stage would add twice: one scan of the raw lines gives lines, lines after the exact dedup and
+        orders from (row fingerprint, order) groups; the other counts read the cleaned table that the run
+        has written and the final detail (written too after ``saved``)."""
         oid = self.clean_roles.order_id
         final_oid = self.match.order_names.get(oid, oid) if oid else None
-
-        def stats(df: DataFrame, key: str | None, lines: str, orders: str) -> DataFrame:
-            aggs = [F.count(F.lit(1)).cast("long").alias(lines)]
-            if key:
-                aggs.append(F.count_distinct(F.col(f"`{key}`")).cast("long").alias(orders))
-            one = df.agg(*aggs)
-            names = [lines] + ([orders] if key else [])
-            return one.select(F.explode(F.array(*[
-                F.struct(F.lit(n).alias("counter"), F.col(n).alias("value")) for n in names]))
-                .alias("s")).select("s.*")
-
-        out = stats(self.orders, oid, "original_lines", "original_orders")
-        out = out.unionByName(stats(self.cleaned, oid, "cleaned_lines",
-                                    "cleaned_orders_after_clean"))
-        out = out.unionByName(stats(self.processed, final_oid, "matched_lines",
-                                    "cleaned_orders"))
-        return out
+        raw = self.orders if self.raw is None else self.raw
+        own = [c for c in raw.columns if c not in self.ordering]
+        order = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
+        rows = raw.select(*D.row_fingerprint(raw, own), order(oid).alias("oid")).groupBy("__md5", "__check", "oid").agg(F.count(F.lit(1)).alias("n"))
+        per_order = rows.groupBy("oid").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_lines"))
+        whole = per_order.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("original_lines"),
+                              F.coalesce(F.sum("distinct_lines"), F.lit(0)).alias("deduplicated_lines"), F.count("oid").alias("original_orders"))
+
+        def lines_and_orders(df: DataFrame, key: str | None, lines: str, orders: str) -> DataFrame:
+            return (df.select(order(key).alias("oid")).groupBy("oid").agg(F.count(F.lit(1)).alias("n"))
+                    .agg(F.coalesce(F.sum("n"), F.lit(0)).alias(lines), F.count("oid").alias(orders)))
+
+        def stacked(one: DataFrame) -> DataFrame:
+            names = [c for c in one.columns if oid or not c.endswith(("_orders", "_after_clean"))]
+            return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("counter"), F.col(n).cast("long").alias("value"))
+                                                  for n in names])).alias("s")).select("s.*")
+
+        return (stacked(whole)
+                .unionByName(stacked(lines_and_orders(self.cleaned, oid, "cleaned_lines", "cleaned_orders_after_clean")))
+                .unionByName(stacked(lines_and_orders(self.processed, final_oid, "matched_lines", "cleaned_orders"))))
+
+    def report(self) -> DataFrame:
+        """Summary, counters and dedup statistics as one long (report, item, value) table; call it on a ``saved`` run."""
+        def melted(df: DataFrame, name: str, item: str | None = None) -> DataFrame:
+            shown = [c for c in df.columns if c != item and dict(df.dtypes)[c] != "string"]
+            label = lambda c: F.concat_ws(".", *([F.col(item)] if item else []), *([F.lit(c)] if not item or len(shown) > 1 else []))
+            return df.select(F.explode(F.array(*[F.struct(label(c).alias("item"), F.col(f"`{c}`").cast("double").alias("value"))
+                                                 for c in shown])).alias("s")).select(F.lit(name).alias("report"), "s.*")
+
+        return (melted(self.summary(), "summary").unionByName(melted(self.counters(), "counters", "counter"))
+                .unionByName(melted(self.shop_rollup(), "shops", "shop_name")))
 
 
 def _resolve(pairs: list[tuple[str, str]], keywords, override: str | None = None) -> str | None:
@@ -114,7 +156,15 @@ def run_keyword(orders: DataFrame, products: DataFrame,
 
     The cleaned lines feed both the key-pair search and the final join, so
     by default they are written once to the shared checkpoint folder and
-    read back (see ``plans.materialize``)."""
+    read back (see ``plans.materialize``), in a folder that the run owns."""
+    folders = Intermediates(orders.sparkSession)
+    with folders.using():
+        return _run_keyword(folders, orders, products, opts, product_order_by, line_order_by, stamp, max_broadcast_rows,
+                            roles, materialize_cleaned)
+
+
+def _run_keyword(folders: Intermediates, orders: DataFrame, products: DataFrame, opts, product_order_by, line_order_by,
+                 stamp, max_broadcast_rows, roles, materialize_cleaned) -> KeywordRun:
     r = dict(roles or {})
     # ordering columns (a row's place in its file, say) play no role
     line_columns = [c for c in orders.columns if c not in (line_order_by or ())]
@@ -150,7 +200,8 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     else:
         processed = margined
     bare = lambda df: df.drop(K.LINE_POSITION)  # noqa: E731 - the place in a file is no result column
-    return KeywordRun(bare(orders), bare(cleaned), cres.roles, mres, bare(margined), bare(processed), keys)
+    return KeywordRun(bare(orders), bare(cleaned), cres.roles, mres, bare(margined), bare(processed), keys, folders,
+                      tuple(line_order_by or ()), orders)
 
 
 def run_pair(pair: LoadedPair, opts: C.CleanOptions | None = None, **params) -> KeywordRun:

@@ -28,6 +28,7 @@ from .plans.materialize import materialize
 from .session import ensure_checkpoint_dir
 from .sources import files as S
 from .sources import fixtures as FX
+from .sources.csv_files import DIALECT, read_csv
 from .sources.readers import drop_header_rows, load_pair
 
 # Parameters of the registered queries (a user's choices, not data subsets).
@@ -36,6 +37,8 @@ SHOP_SEARCH_TERM = "IER#00000001"
 PRODUCT_ORDER = ("seq",)
 PAGE_ROWS = 100
 PREVIEW_ROWS = 10
+STAMP = "2026-01-01 08:00:00"
+NAME_TAIL = ',\n"件"'
 STREAM_TIMEOUT_S = 1800
 
 
@@ -88,6 +91,12 @@ def shop_filter(spark, sf):
     return _cleaned(spark, sf, C.CleanOptions.of(SELECTED_SHOPS))
 
 
+def shop_filter_list(spark, sf):
+    """The shop list is a table of any length (here: suppliers with a positive balance)."""
+    shops = FX.table(spark, sf, "supplier").filter("s_acctbal > 0").select("s_name")
+    return _cleaned(spark, sf, C.CleanOptions.of(shops))
+
+
 def include_flags(spark, sf):
     return _cleaned(spark, sf, C.CleanOptions.of(None, True, True))
 
@@ -123,6 +132,32 @@ def match_fallback(spark, sf):
     return J.match_keyword(_cleaned_shared(spark, sf), products, PRODUCT_ORDER).df
 
 
+def match_no_candidates(spark, sf):
+    # A catalogue without a key column.
+    return J.match_keyword(_cleaned_shared(spark, sf), _products(spark, sf).select("成本", "seq"), PRODUCT_ORDER).df
+
+
+def match_no_catalogue(spark, sf):
+    return J.match_keyword(_cleaned_shared(spark, sf), None).df
+
+
+def match_name_clash(spark, sf):
+    # A catalogue whose item heading is also a heading of the lines: both get suffixes.
+    products = _products(spark, sf).withColumnRenamed("商品", "商品名称")
+    return J.match_keyword(_cleaned_shared(spark, sf), products, PRODUCT_ORDER).df
+
+
+def post_join_dedup_spaces(spark, sf):
+    """Every line once more with a blank before its code: the copies are equal after the join only."""
+    lines = _lines(spark, sf)
+    padded = lines.withColumn(K.V1_ORDER_KEY, F.concat(F.lit(" "), F.col(f"`{K.V1_ORDER_KEY}`")))
+    cleaned = materialize(C.clean_keyword(lines.union(padded)).cleaned, "cleaned")
+    match = J.match_keyword(cleaned, _products(spark, sf), PRODUCT_ORDER)
+    return J.without_post_join_dedup(match).agg(F.count(F.lit(1)).alias("rows_before")).unionByName(
+        match.df.agg(F.count(F.lit(1)).alias("rows_after")), allowMissingColumns=True).agg(
+        F.max("rows_before").alias("rows_before"), F.max("rows_after").alias("rows_after"))
+
+
 def post_join_dedup(spark, sf):
     joined = J.match_keyword(_cleaned_shared(spark, sf), _products(spark, sf), PRODUCT_ORDER,
                              dedup_after=False).df
@@ -150,6 +185,15 @@ def dup_fields(spark, sf):
     return D.field_duplicates(lines, W.dup_key_fields(lines))
 
 
+def dup_details(spark, sf):
+    lines = _lines(spark, sf)
+    return D.duplicate_details(lines, W.dup_key_fields(lines), "order_lines")
+
+
+def dedup_details(spark, sf):
+    return _run(spark, sf).saved().dedup_details()
+
+
 def dedup_stats(spark, sf):
     return _run(spark, sf).dedup_stats()
 
@@ -160,6 +204,10 @@ def margin_lines(spark, sf):
     return _run(spark, sf).margined
 
 
+def margin_stamped(spark, sf):
+    return W.run_keyword(_lines(spark, sf), _products(spark, sf), product_order_by=PRODUCT_ORDER, stamp=STAMP).margined
+
+
 def margin_fixed(spark, sf):
     return _fixed(spark, sf).processed
 
@@ -168,6 +216,11 @@ def summary(spark, sf):
     return _run(spark, sf).summary()
 
 
+def run_report(spark, sf):
+    """Summary, counters and shop rollup of one run from its one saved detail."""
+    return _run(spark, sf).saved().report()
+
+
 def summary_fixed(spark, sf):
     return R.summary_fixed(_fixed(spark, sf).processed)
 
@@ -224,6 +277,14 @@ def date_range(spark, sf):
     return R.date_range(_fixed(spark, sf).processed, "下单时间")
 
 
+def date_range_text(spark, sf):
+    """The same times as text in several forms, and cells that hold none."""
+    time = F.col("`下单时间`")
+    text = (F.when(F.col("`商品编码`").endswith("0"), F.lit("待定")).when(F.dayofmonth(time) % 2 == 0, F.date_format(time, "yyyy-M-d"))
+            .otherwise(F.date_format(time, "yyyy/M/d 0:0:0")))
+    return R.date_range(_lines(spark, sf).withColumn("下单时间", text), "下单时间")
+
+
 # --- profiles -------------------------------------------------------------
 
 def column_profile(spark, sf):
@@ -251,6 +312,18 @@ def preview_page(spark, sf):
     return processed.orderBy(*D.row_order(processed)).limit(PAGE_ROWS)
 
 
+def page_info(spark, sf):
+    return PV.page_info(_run(spark, sf).processed, PAGE_ROWS)
+
+
+def preview_info(spark, sf):
+    return S.preview_info(_products(spark, sf), PREVIEW_ROWS)
+
+
+def table_headers(spark, sf):
+    return S.table_headers({name: FX.table(spark, sf, name) for name in FX.TABLES}).drop("files")
+
+
 def priority_preview(spark, sf):
     return PV.priority_preview(_run(spark, sf).processed, PREVIEW_ROWS)
 
@@ -302,13 +375,60 @@ def file_catalogue(spark, sf):
     return S.file_catalogue(spark, sf)
 
 
+def _folder(spark, tag: str) -> str:
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{tag}-{uuid.uuid4().hex}"
+
+
+def encoded_orders(spark, sf):
+    """The order lines in GB18030 files: half with the columns turned round and a further column whose cells hold
+    line breaks and quotes; read in splits and united by name."""
+    base, lines = _folder(spark, "encoded"), _lines(spark, sf).withColumn("下单时间", F.col("`下单时间`").cast("string"))
+    note = F.concat(F.lit('第一行\n"'), F.trim("`商品编码`"), F.lit('" 第二行'))
+    even = F.pmod(F.col("`订单号`").cast("bigint"), F.lit(2)) == 0
+    options = {**DIALECT, "header": True, "encoding": "GB18030", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    held = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark's writer knows the standard charsets only
+    try:
+        lines.filter(even).write.options(**options).csv(f"{base}/a")
+        lines.filter(~even).select(*[F.col(f"`{c}`") for c in reversed(lines.columns)], note.alias("备注")).write.options(**options).csv(f"{base}/b")
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", held)
+    return read_csv(spark, [f"{base}/a", f"{base}/b"], encoding="GB18030")
+
+
+def encoded_catalog(spark, sf):
+    """The catalogue as UTF-16 files, with the header row inside the data dropped."""
+    base = _folder(spark, "encoded")
+    (FX.catalog(spark, sf).write.options(**DIALECT, header=True, encoding="UTF-16").csv(base))
+    return drop_header_rows(read_csv(spark, base, encoding="UTF-16"))
+
+
 def export_roundtrip(spark, sf):
-    """Write detail + shop / product summaries under the shared checkpoint
+    """Publish detail + shop / product summaries under the shared checkpoint
     folder, read the detail back."""
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/export-{uuid.uuid4().hex}"
-    fixed = _fixed(spark, sf)
-    res = X.export_run(fixed.processed, base, summaries=True)
-    return spark.read.parquet(res.paths["detail"])
+    base = _folder(spark, "export")
+    X.export_run(_fixed(spark, sf).processed, base, summaries=True)
+    return X.read_export(spark, base)
+
+
+def _csv_export(spark, sf) -> str:
+    base, processed = _folder(spark, "export"), _fixed(spark, sf).processed
+    # names with a line break, quotes and a comma
+    processed = processed.withColumn(K.V1_PRODUCT_NAME, F.concat(F.col(f"`{K.V1_PRODUCT_NAME}`"), F.lit(NAME_TAIL)))
+    X.export_run(processed, base, "csv", summaries=True)
+    return base
+
+
+def export_detail_csv(spark, sf):
+    return X.read_export(spark, _csv_export(spark, sf))
+
+
+def export_shop_summary(spark, sf):
+    return X.read_export(spark, _csv_export(spark, sf), "shop_summary")
+
+
+def export_product_summary(spark, sf):
+    return X.read_export(spark, _csv_export(spark, sf), "product_summary")
 
 
 def stream_ingest(spark, sf):
@@ -382,4 +502,22 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "file_catalogue": file_catalogue,
     "export_roundtrip": export_roundtrip,
     "stream_ingest": stream_ingest,
+    "shop_filter_list": shop_filter_list,
+    "match_no_candidates": match_no_candidates,
+    "match_no_catalogue": match_no_catalogue,
+    "match_name_clash": match_name_clash,
+    "post_join_dedup_spaces": post_join_dedup_spaces,
+    "dup_details": dup_details,
+    "dedup_details": dedup_details,
+    "margin_stamped": margin_stamped,
+    "run_report": run_report,
+    "date_range_text": date_range_text,
+    "page_info": page_info,
+    "preview_info": preview_info,
+    "table_headers": table_headers,
+    "encoded_orders": encoded_orders,
+    "encoded_catalog": encoded_catalog,
+    "export_detail_csv": export_detail_csv,
+    "export_shop_summary": export_shop_summary,
+    "export_product_summary": export_product_summary,
 }

@@ -64,3 +64,23 @@ def preview_samples(df: DataFrame, n: int = 3) -> DataFrame:
     """S5 (upload analysis): first ``n`` rows with nulls shown as ''."""
     return df.limit(n).select([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c)
                                for c in df.columns])
+
+
+def preview_info(df: DataFrame, n: int = 10) -> DataFrame:
+    """Shape and types of the preview of the first ``n`` rows, one row per column."""
+    rows = df.limit(n).agg(F.count(F.lit(1)).cast("long").alias("preview_rows"))
+    columns = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"))
+               for i, f in enumerate(df.schema.fields)]
+    return rows.select("preview_rows", F.lit(len(columns)).alias("preview_columns"), F.explode(F.array(*columns)).alias("c")).select(
+        "c.position", "c.column", "c.dtype", "preview_rows", "preview_columns")
+
+
+def table_headers(frames: dict[str, DataFrame]) -> DataFrame:
+    """S4 over several tables: name, number of columns, their names, rows and files (one partial count a table)."""
+    out = None
+    for name, df in frames.items():
+        one = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), F.count(F.lit(1)).cast("long").alias("files")).select(
+            F.lit(name).alias("name"), F.lit(len(df.columns)).alias("column_count"), F.lit(",".join(df.columns)).alias("columns"), "rows", "files")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -13,30 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-
-
-def _text_schema_from_header(spark: SparkSession, path: str, sep: str) -> T.StructType:
-    # Header-only read: one row of the first file, no data scan.
-    head = spark.read.option("header", False).option("sep", sep).csv(path).limit(1).collect()
-    names = [str(v) for v in head[0]] if head else []
-    return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+from .csv_files import read_csv
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | None = None, sep: str = ",",
-               multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
+               multi_line: bool = True, encoding: str = "UTF-8",
+               position: str | None = None) -> DataFrame:
     """Full scan of one tabular file or directory with a header row.
 
-    ``multi_line`` allows line breaks inside quoted cells; such a file is one task, so
-    turn it off for large files without them."""
+    CSV files are read in splits whatever their cells hold, in any encoding, and united by
+    name (``sources.csv_files``); ``multi_line=False`` states that no cell holds a line break.
+    ``position`` adds each row's place in its file (``with_position``)."""
     fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
     if fmt == "csv":
-        sch = schema or _text_schema_from_header(spark, path, sep)
-        # RFC quoting; a file whose header differs from the schema fails the read
-        return (spark.read.schema(sch).option("header", True).option("sep", sep)
-                .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-                .option("encoding", encoding).option("enforceSchema", False)
-                .option("mode", "FAILFAST").csv(path))
+        return read_csv(spark, path, schema, sep, multi_line, encoding, position)
+    if position:
+        return with_position(read_table(spark, path, fmt, schema), position, fmt)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -63,7 +56,7 @@ def drop_header_rows(df: DataFrame, key: str = K.V1_PRODUCT_KEY) -> DataFrame:
 def with_position(df: DataFrame, name: str, fmt: str) -> DataFrame:
     """Add a row's place in the files just read: (path, block start, row).
 
-    Parquet knows a row's index in its file.  Other formats number the rows of a task in
+    Parquet knows a row's index in its file.  JSON and ORC rows are numbered by task in
     reading order; inside one file block, which one task reads, that is the file's order."""
     parquet = fmt == "parquet"
     start = F.lit(0).cast("bigint") if parquet else F.col("_metadata.file_block_start")
@@ -88,13 +81,12 @@ def load_pair(spark: SparkSession, product_path: str, order_path: str,
               product_options: dict | None = None, order_options: dict | None = None) -> LoadedPair:
     """Read a catalogue and an order-line export together; both required.
 
-    The options go to ``read_table``; ``{"multi_line": False}`` splits a large CSV file
-    without line breaks in its cells over tasks."""
+    The options go to ``read_table`` (``encoding``, ``sep``, ``multi_line``, ``schema``)."""
     if not product_path or not order_path:
         raise ValueError("both a product file and an order file are required")
+
     def load(path, fmt, name, options):
-        fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
-        return with_position(read_table(spark, path, fmt, **(options or {})), name, fmt)
+        return read_table(spark, path, fmt, **{**(options or {}), "position": name})
 
     products = drop_header_rows(load(product_path, product_format, K.PRODUCT_POSITION, product_options))
     orders = load(order_path, order_format, K.LINE_POSITION, order_options)

@@ -33,6 +33,7 @@ from ..functions.roles import OrderRoles
 from ..operators import reports as R
 from ..operators.clean import CleanOptions
 from ..plans.workflow import run_keyword
+from ..sources.csv_files import DIALECT
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,8 @@ def start_ingest(spark: SparkSession, paths: StreamPaths, order_schema: T.Struct
     reader = (spark.readStream.schema(order_schema).format(fmt)
               .option("recursiveFileLookup", "true"))
     if fmt == "csv":
-        reader = reader.option("header", True)
+        # the batch reader's dialect; a file whose header differs from the schema fails its batch
+        reader = reader.options(**DIALECT, header=True, multiLine=True, enforceSchema=False, mode="FAILFAST")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(paths.landing)

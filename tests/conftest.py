@@ -8,6 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
+#: Folders that a lazy result reads for as long as its caller likes.
+KEPT = ("run-", "pipeline-", "tokens-")
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +23,13 @@ def spark():
         d = tempfile.mkdtemp(prefix="me-test-ckpt-")
         s.sparkContext.setCheckpointDir(d)
         s.conf.set("spark.checkpoint.dir", d)
+    folder = os.path.join(s.conf.get("spark.checkpoint.dir").removeprefix("file:"), "margin-engine")
+    earlier = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     yield s
+    from margin_engine.plans.materialize import release
+    release(s)
+    left = set(os.listdir(folder)) - earlier if os.path.isdir(folder) else set()
+    assert not [n for n in left if not n.startswith(KEPT)], left
     s.stop()
 
 

@@ -1,8 +1,9 @@
-"""Exact quantiles: direct path and interval narrowing against numpy."""
+"""Exact quantiles in two scans against numpy."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from margin_engine.operators import quantiles as Q
 from margin_engine.operators.quantiles import exact_quantiles
 from margin_engine.sources.fixtures import table
 
@@ -13,29 +14,61 @@ def _numpy(values, p):
     return float(np.percentile(np.array(values, dtype=float), p * 100, method="linear"))
 
 
-def test_direct_and_narrowing_agree_with_numpy(spark, sf001):
+def test_two_scans_agree_with_numpy(spark, sf001):
     li = table(spark, sf001, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
     vals = {c: [r[0] for r in li.select(c).collect()] for c in li.columns}
-    for small in (1_000_000, 500, 20):  # direct; one column narrows; two narrow together
-        got = {(r["column"], r["p"]): r["value"]
-               for r in exact_quantiles(li, li.columns, PROBS, small=small, splits=16).collect()}
+    for accuracy in (10_000, 200, 20):  # sketches from exact to coarse
+        got = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(li, li.columns, PROBS, accuracy).collect()}
         for c in li.columns:
             for p in PROBS:
-                assert abs(got[(c, p)] - _numpy(vals[c], p)) < 1e-9, (small, c, p)
+                assert abs(got[(c, p)] - _numpy(vals[c], p)) < 1e-9, (accuracy, c, p)
+
+
+def test_broken_sketch_bounds_are_widened(spark, sf001, monkeypatch):
+    li = table(spark, sf001, "lineitem").select("l_extendedprice")
+    vals = [r[0] for r in li.collect()]
+    real, calls = Q._sketch, []
+
+    def off(df, columns, probabilities, margin, accuracy, more):
+        calls.append(margin)
+        row, found = real(df, columns, probabilities, margin, accuracy, more)
+        if len(calls) < 3:  # intervals that miss every rank but the smallest
+            found = {c: (n, [(min(vals), min(vals))]) for c, (n, _) in found.items()}
+        return row, found
+
+    monkeypatch.setattr(Q, "_sketch", off)
+    got = {r["p"]: r["value"] for r in exact_quantiles(li, li.columns, PROBS).collect()}
+    assert len(calls) == 3
+    assert all(abs(got[p] - _numpy(vals, p)) < 1e-9 for p in PROBS)
 
 
 def test_hot_value_ties(spark, sf001):
-    # A third of the rows share one value: the narrowing must settle on it.
+    # A third of the rows share one value.
     li = table(spark, sf001, "lineitem")
     col = F.when(F.col("l_linenumber") <= 2, F.lit(5.0)).otherwise(F.col("l_extendedprice"))
     df = li.select(col.alias("v"))
     vals = [r[0] for r in df.collect()]
-    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v"], PROBS, small=300,
-                                                        splits=8).collect()}
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v"], PROBS, accuracy=50).collect()}
     for p in PROBS:
         assert abs(got[p] - _numpy(vals, p)) < 1e-9, p
 
 
+def test_infinities_and_signed_zero(spark):
+    df = spark.createDataFrame([(float("inf"),), (-0.0,), (0.0,), (float("-inf"),), (1.0,)], "v double")
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v"], (0.0, 0.5, 1.0)).collect()}
+    assert got == {0.0: float("-inf"), 0.5: 0.0, 1.0: float("inf")}
+
+
+def test_samples_of_the_approximate_profile_come_from_all_rows(spark):
+    from margin_engine.operators.profile import column_profile
+    df = spark.range(0, 20000, 1, 8).select(F.when(F.col("id") >= 19900, F.col("id").cast("string")).alias("late"),
+                                            F.lit("one").alias("constant"), F.lit(None).cast("string").alias("none"), "id")
+    got = {r["column"]: r for r in column_profile(df, approximate=True).collect()}
+    assert got["constant"]["sample_values"] == ["one"] and got["none"]["sample_values"] == []
+    assert len(got["late"]["sample_values"]) == 3 and all(int(v) >= 19900 for v in got["late"]["sample_values"])
+    assert got["late"]["null_count"] == 19900 and max(map(int, got["id"]["sample_values"])) >= 100
+
+
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     got = exact_quantiles(df, ["v"], (0.5,)).collect()

