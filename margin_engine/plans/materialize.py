@@ -72,12 +72,18 @@ class _Using:
         _OWNER.reset(self.token)
 
 
-def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared checkpoint folder, with the lifecycle of an intermediate."""
     owner = _OWNER.get()
     path = f"{owner.root if owner else _base(spark)}/{tag}-{uuid.uuid4().hex}"
     if owner is None:
         _LOOSE.add(path)
+    return path
+
+
+def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
+    spark = df.sparkSession
+    path = shared_folder(spark, tag)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 

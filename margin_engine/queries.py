@@ -7,7 +7,6 @@ order-line export and the catalogue are the stand-in views of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +23,7 @@ from .operators import preview as PV
 from .operators import reports as R
 from .plans import export as X
 from .plans import workflow as W
-from .plans.materialize import materialize
-from .session import ensure_checkpoint_dir
+from .plans.materialize import materialize, shared_folder
 from .sources import files as S
 from .sources import fixtures as FX
 from .sources.csv_files import DIALECT, read_csv
@@ -359,7 +357,7 @@ def safe_json_nulls(spark, sf):
 def load_pair_csv(spark, sf):
     """Both tables written as CSV files (largest rows first), loaded as a pair and run: "first"
     rows are the files' first."""
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/pair-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "pair")
 
     def save(df, order, name):
         (df.orderBy(*[F.col(f"`{c}`").desc_nulls_last() for c in order]).drop("seq").write.option("header", True)
@@ -375,14 +373,10 @@ def file_catalogue(spark, sf):
     return S.file_catalogue(spark, sf)
 
 
-def _folder(spark, tag: str) -> str:
-    return ensure_checkpoint_dir(spark).rstrip("/") + f"/{tag}-{uuid.uuid4().hex}"
-
-
 def encoded_orders(spark, sf):
     """The order lines in GB18030 files: half with the columns turned round and a further column whose cells hold
     line breaks and quotes; read in splits and united by name."""
-    base, lines = _folder(spark, "encoded"), _lines(spark, sf).withColumn("下单时间", F.col("`下单时间`").cast("string"))
+    base, lines = shared_folder(spark, "encoded"), _lines(spark, sf).withColumn("下单时间", F.col("`下单时间`").cast("string"))
     note = F.concat(F.lit('第一行\n"'), F.trim("`商品编码`"), F.lit('" 第二行'))
     even = F.pmod(F.col("`订单号`").cast("bigint"), F.lit(2)) == 0
     options = {**DIALECT, "header": True, "encoding": "GB18030", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -398,7 +392,7 @@ def encoded_orders(spark, sf):
 
 def encoded_catalog(spark, sf):
     """The catalogue as UTF-16 files, with the header row inside the data dropped."""
-    base = _folder(spark, "encoded")
+    base = shared_folder(spark, "encoded")
     (FX.catalog(spark, sf).write.options(**DIALECT, header=True, encoding="UTF-16").csv(base))
     return drop_header_rows(read_csv(spark, base, encoding="UTF-16"))
 
@@ -406,13 +400,13 @@ def encoded_catalog(spark, sf):
 def export_roundtrip(spark, sf):
     """Publish detail + shop / product summaries under the shared checkpoint
     folder, read the detail back."""
-    base = _folder(spark, "export")
+    base = shared_folder(spark, "export")
     X.export_run(_fixed(spark, sf).processed, base, summaries=True)
     return X.read_export(spark, base)
 
 
 def _csv_export(spark, sf) -> str:
-    base, processed = _folder(spark, "export"), _fixed(spark, sf).processed
+    base, processed = shared_folder(spark, "export"), _fixed(spark, sf).processed
     # names with a line break, quotes and a comma
     processed = processed.withColumn(K.V1_PRODUCT_NAME, F.concat(F.col(f"`{K.V1_PRODUCT_NAME}`"), F.lit(NAME_TAIL)))
     X.export_run(processed, base, "csv", summaries=True)
@@ -436,7 +430,7 @@ def stream_ingest(spark, sf):
     in a landing folder under the shared checkpoint folder; the streaming ingest processes
     each arrival; the result is the current detail."""
     from .streaming.ingest import StreamPaths, current_detail, start_ingest
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     paths = StreamPaths(f"{base}/landing", f"{base}/sink", f"{base}/checkpoint")
     lines, products = _lines(spark, sf), _products(spark, sf)
     part = F.pmod(F.xxhash64(F.col("`订单号`"), F.col("`商品编码`")), F.lit(2))

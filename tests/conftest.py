@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
 #: Folders that a lazy result reads for as long as its caller likes.
-KEPT = ("run-", "pipeline-", "tokens-")
+KEPT = ("run-", "pipeline-")
 
 
 @pytest.fixture(scope="session")
