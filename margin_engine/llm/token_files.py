@@ -17,7 +17,6 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..plans.materialize import shared_folder
 from . import rans
 from .blocks import blocks
 
@@ -139,7 +138,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     ids = spark.read.parquet(f"{path}/ids")
     counts = ids.select("ids").mapInArrow(_counter(width), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     counts.coalesce(1).write.parquet(f"{path}/table")
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one doc_id, or of none, are dealt apart by their ids, equal rows by their place
+    place = ids.withColumn("ids_hash", F.xxhash64("ids")).withColumn("place", F.monotonically_increasing_id())
+    order = ["doc_id", "ids_hash", "place"]
+    ordered = place.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(_packer(_table(spark, path), width), BLOCK_SCHEMA).write.option(
         "compression", "none").parquet(f"{path}/blocks")
 
@@ -184,7 +186,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    path = ensure_checkpoint_dir(docs.sparkSession).rstrip("/") + f"/margin-engine/tokens-{uuid.uuid4().hex}"
+    path = shared_folder(docs.sparkSession, "tokens")
     write(docs, path, tokenizer)
     return read(docs.sparkSession, path)
 

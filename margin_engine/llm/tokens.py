@@ -3,8 +3,7 @@
 A text that holds only characters below U+0250 or of General Punctuation is
 cut into the tokenizer's pre-tokens with numpy, every distinct pre-token of a
 task is encoded once by the library's own model, and ids are gathered from
-that dictionary (two generations of at most ``CACHE`` entries; entries in use move
-to the younger one).  Any other text, and any text that holds the content of an
+that dictionary (about ``CACHE`` entries; those not met lately are dropped beyond it).  Any other text, and any text that holds the content of an
 added token (``<|endoftext|>``, one id), goes
 through the library's ``encode`` whole.  Both ways give the same ids: merges
 never cross pre-tokens; tests compare them.
@@ -81,34 +80,48 @@ def pretokens(cp: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
+    """Ids of pre-tokens, looked up by 64-bit hash in sorted arrays; only unseen pre-tokens go to the model, one by one."""
+
     def __init__(self, path: str):
         self.tokenizer, self.model = _tokenizer(path), _tokenizer(path).model
-        self.classes, self.alphabet = _classes(), _alphabet()
+        self.classes = _classes()
+        self.letters = np.array([_alphabet()[b] for b in range(256)], dtype="<u4")
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[int, int] = {}
-        self._clear()
-
-    def _clear(self):
-        self.old = (self.known, self.flat, self.begin, self.size) if self.known else ({}, None, None, None)
-        self.known = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def _learn(self, key: int, raw: bytes):
-        j = self.old[0].get(key)
-        if j is not None:
-            ids = self.old[1][self.old[2][j]:self.old[2][j] + self.old[3][j]]
-        else:
-            ids = [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
-        n = len(self.known)
-        if n == len(self.begin):
-            self.begin, self.size = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.size, np.zeros_like(self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.begin[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.known[key] = n
+        self.keys = np.zeros(0, np.uint64)  # sorted; begin, size and used go along
+        self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _drop_unused(self):
+        """Forget the pre-tokens not met since the last time."""
+        keep = self.used
+        size = self.size[keep]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.flat = self.flat[np.repeat(self.begin[keep], size) + step]
+        self.keys, self.size, self.begin = self.keys[keep], size, np.cumsum(size) - size
+        self.used = np.zeros(len(size), dtype=bool)
+
+    def _learn(self, keys, data, starts, ends):
+        text = self.letters[data].tobytes().decode("utf-32-le")  # one character a byte
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            own = tokenize(text[s:e])
+            sizes.append(len(own))
+            ids += [t.id for t in own]
+        size = np.array(sizes, dtype=np.int64)
+        begin = np.cumsum(size) - size + len(self.flat)
+        self.flat = np.concatenate([self.flat, np.array(ids, dtype=np.uint32)])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin = keys[order], np.concatenate([self.begin, begin])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.used = np.concatenate([self.used, np.zeros(len(size), dtype=bool)])[order]
+
+    def _find(self, keys):
+        """Places of ``keys`` in the sorted keys, and which of them are there."""
+        at = np.searchsorted(self.keys, keys)
+        if not len(self.keys):
+            return at, np.zeros(len(keys), dtype=bool)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the block's texts."""
@@ -140,16 +153,16 @@ class Encoder:
         starts, ends, row = starts[fast], ends[fast], row[fast]
         keys, first, inverse = np.unique(ranges_hash(prefix_sums(_BYTES[data]), starts, ends),
                                          return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > CACHE:
-            self._clear()
-        get, index = self.known.get, np.empty(len(keys), dtype=np.int64)
-        for j, key in enumerate(keys.tolist()):
-            k = get(key)
-            if k is None:
-                self._learn(key, data[starts[first[j]]:ends[first[j]]].tobytes())
-                k = len(self.known) - 1
-            index[j] = k
-        token = index[inverse]
+        at_key, there = self._find(keys)
+        if not there.all():
+            if len(self.keys) + np.count_nonzero(~there) > CACHE:
+                self._drop_unused()
+                there = self._find(keys)[1]
+            new = ~there
+            self._learn(keys[new], data, starts[first[new]], ends[first[new]])
+            at_key, _ = self._find(keys)
+        self.used[at_key] = True
+        token = at_key[inverse]
         size = self.size[token]
         total = int(size.sum())
         step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
