@@ -323,18 +323,38 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
     return pa.concat_tables([empty, *out])
 
 
+def _holders(block, hot_grams):
+    """Rows of the block that hold a hot gram anywhere (anchors are grams, so no other row matters)."""
+    data = block.data
+    if len(data) < GRAM:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(data) - GRAM + 1)
+    grams = ranges_hash(prefix_sums(_BYTES[data]), at, at + GRAM)
+    marks = np.zeros(1 << 16, dtype=bool)
+    marks[(hot_grams >> np.uint64(48)).astype(np.int64)] = True
+    some = np.flatnonzero(marks[(grams >> np.uint64(48)).astype(np.int64)])
+    some = some[np.isin(grams[some], hot_grams)]
+    return np.unique(np.searchsorted(block.offsets, some, side="right") - 1)
+
+
 def _hot_windows(hot):
     def run(batches):
         for batch in batches:
             for rows, block in blocks(batch, "text", 1 << 20):
-                _, lo, hi, gram, doc = anchors(block.data, block.offsets)
+                held = _holders(block, hot.value)
+                if not len(held):
+                    continue
+                sizes = np.diff(block.offsets)[held]
+                offsets = np.append(0, np.cumsum(sizes))
+                data = np.concatenate([block.data[block.offsets[i]:block.offsets[i + 1]] for i in held.tolist()])
+                _, lo, hi, gram, doc = anchors(data, offsets)
                 pick = np.flatnonzero(np.isin(gram.astype(np.uint64), hot.value))
                 per = hi[pick] - lo[pick] + 1
                 at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(lo[pick], per)
                 row = np.repeat(doc[pick], per)
-                k1, k2 = (rows.column(i).to_numpy()[row] for i in (0, 1))
-                h = [ranges_hash(prefix_sums(t[block.data]), at, at + LENGTH).view(np.int64) for t in (_BYTES, _SECOND)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*h, k1, k2, at - block.offsets[row])], names=["h1", "h2", "k1", "k2", "start"])
+                k1, k2 = (rows.column(i).to_numpy()[held[row]] for i in (0, 1))
+                h = [ranges_hash(prefix_sums(t[data]), at, at + LENGTH).view(np.int64) for t in (_BYTES, _SECOND)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*h, k1, k2, at - offsets[row])], names=["h1", "h2", "k1", "k2", "start"])
 
     return run
 
@@ -359,7 +379,8 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     removed = keyed.mapInArrow(_runs(bitmap, bits, hot_set, buckets), "bucket int, run binary").groupBy(
         "bucket").applyInArrow(_merge_bucket, _REMOVED)
     if len(hot):
-        windows = keyed.mapInArrow(_hot_windows(hot_set), "h1 bigint, h2 bigint, k1 bigint, k2 bigint, start bigint")
+        # the texts are looked at once: the windows are counted and joined from the table written here
+        windows = materialize(keyed.mapInArrow(_hot_windows(hot_set), "h1 bigint, h2 bigint, k1 bigint, k2 bigint, start bigint"), "hot-windows")
         twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         removed = removed.union(windows.join(twice, ["h1", "h2"]).select("k1", "k2", "start", (F.col("start") + LENGTH).alias("stop")))
     return removed
@@ -405,7 +426,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         F.xxhash64(F.col(text_col), F.col(id_col).isNull()).alias("k2"), F.col(text_col).alias("text"),
                         F.col(id_col).cast("bigint").alias("doc_id"))
     ranges = repeated_ranges(keyed.select("k1", "k2", "text")).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("start", "stop")).alias("ranges"))
+        F.collect_set(F.struct("start", "stop")).alias("ranges"))  # copies of a row name the same ranges
     return keyed.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "ranges").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
