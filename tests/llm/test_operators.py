@@ -157,7 +157,9 @@ def test_tool_calls(spark):
     results = [(1, 6, "a", "A"), (1, 7, "a", "later"), (3, 1, "lost", None), (1, 8, "b", "B")]
     c = spark.createDataFrame(calls, "conv_id bigint, turn bigint, call_id string, name string, arguments string, after array<string>")
     r = spark.createDataFrame(results, "conv_id bigint, turn bigint, call_id string, content string")
-    got = {(x.conv_id, x.call_id): x for x in tool_calls.link(c, r).collect()}
+    every = tool_calls.link(c, r).collect()
+    assert collections.Counter(x.status for x in every if x.status in ("repeated", "no_identifier")) == {"repeated": 3, "no_identifier": 1}
+    got = {(x.conv_id, x.call_id): x for x in every if x.status not in ("repeated", "no_identifier")}
     assert {k: (x.level, x.status) for k, x in got.items()} == {
         (1, "a"): (0, "ok"), (1, "b"): (1, "ok"), (1, "c"): (2, "bad_arguments"), (1, "x"): (None, "cycle"), (1, "y"): (None, "cycle"),
         (1, "z"): (None, "cycle"), (2, "a"): (0, "unknown_tool"), (2, "b"): (0, "bad_json"), (2, "c"): (0, "bad_json"),
@@ -292,7 +294,6 @@ def test_token_files(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.default_tokenizer())
-    t.encode_special_tokens = True
     got = token_files.write_and_read(docs).orderBy("start").collect()
     assert [g.doc_id for g in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
     at = 0
@@ -307,6 +308,24 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.write_and_read(empty).count() == 0
 
 
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from margin_engine.llm import tokens
+    from margin_engine.llm.blocks import Block
+
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    path = token_files.default_tokenizer()
+    t, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    for k in range(40):
+        texts = [f"word{k * i} the {i} of\n\n it's {k}" for i in range(12)]
+        raw = [x.encode() for x in texts]
+        block = Block(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+        ids, offsets = encoder.encode(block)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(encoder.keys) < 50 + 12 * 8
+
+
 def test_token_files_added_token(spark):
     from tokenizers import Tokenizer
 

@@ -114,7 +114,6 @@ def encode(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.default_tokenizer())
-    t.encode_special_tokens = True
     for r in rows:
         ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4")
         yield r[0], len(ids), zlib.crc32(ids.tobytes())
