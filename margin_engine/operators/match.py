@@ -33,6 +33,9 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+#: States that no candidate pair has hits.
+NO_PAIR = "no pair"
+
 SCORE_SCHEMA = T.StructType([
     T.StructField("p_ix", T.IntegerType(), False),
     T.StructField("product_column", T.StringType(), False),
@@ -76,6 +79,19 @@ def key_search(orders: DataFrame, products: DataFrame,
                     F.coalesce(F.col("product_keys"), F.lit(0)).cast("long").alias("product_keys")))
 
 
+def key_hits(orders: DataFrame, products: DataFrame, product_candidates: Sequence[str],
+             order_candidates: Sequence[str], by: str) -> DataFrame:
+    """J3 per group of lines: (``by``, p_ix, o_ix, matched_lines) of pairs with hits.
+
+    Summed over the groups it is ``key_search``; a store keeps it per group and replaces the groups
+    that change."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("o_ix"), strip_key(_c(c)).alias("key")) for i, c in enumerate(order_candidates)]))
+    counts = (orders.select(_c(by), pairs.alias("u")).select(_c(by), "u.*").filter("key is not null")
+              .groupBy(_c(by), "o_ix", "key").agg(F.count(F.lit(1)).alias("n")))
+    p_keys = _unpivot_keys(products, product_candidates, "p_ix").distinct()
+    return counts.join(p_keys, "key").groupBy(_c(by), "p_ix", "o_ix").agg(F.sum("n").alias("matched_lines"))
+
+
 def best_pair(scores: DataFrame) -> tuple[str, str, int, int] | None:
     """Most matched lines; ties go to the earlier product, then order column.
 
@@ -206,8 +222,11 @@ def candidates(orders: DataFrame, products: DataFrame, product_order_by: Sequenc
 def match_keyword(orders: DataFrame, products: DataFrame,
                   product_order_by: Sequence[str] | None = None,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                  dedup_after: bool = True, line_order_by: Sequence[str] | None = None) -> MatchResult:
-    """Q2: pick the best key pair, then J2; J4 fallbacks when nothing matches."""
+                  dedup_after: bool = True, line_order_by: Sequence[str] | None = None,
+                  key_pair: tuple[str, str] | str | None = None) -> MatchResult:
+    """Q2: pick the best key pair, then J2; J4 fallbacks when nothing matches.
+
+    ``key_pair`` (product column, order column) skips the search; ``NO_PAIR`` states that it found no hits."""
     names = {c: c for c in orders.columns}
     if products is None:
         # No catalogue loaded -> nothing to process.
@@ -217,8 +236,9 @@ def match_keyword(orders: DataFrame, products: DataFrame,
     if not p_cands or not o_cands:
         return MatchResult(orders.withColumn("match_status", F.lit(K.MATCH_NO_CANDIDATES)),
                            "no_candidates", None, 0, names, {})
-    scores = key_search(orders, products, p_cands, o_cands)
-    best = best_pair(scores)
+    if isinstance(key_pair, tuple):
+        return match_first(orders, products, key_pair[1], key_pair[0], product_order_by, max_broadcast_rows, dedup_after)
+    best = None if key_pair == NO_PAIR else best_pair(key_search(orders, products, p_cands, o_cands))
     if best is None or best[2] <= 0:
         return MatchResult(orders.withColumn("match_status", F.lit(K.MATCH_ALL_FAILED)),
                            "no_hits", None, 0, names, {})

@@ -150,7 +150,8 @@ def run_keyword(orders: DataFrame, products: DataFrame,
                 line_order_by: Sequence[str] | None = None,
                 stamp: str | None = "now",
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                roles: dict | None = None, materialize_cleaned: bool = True) -> KeywordRun:
+                roles: dict | None = None, materialize_cleaned: bool = True,
+                key_pair: tuple[str, str] | str | None = None) -> KeywordRun:
     """Q4: keyword-schema run.  Roles are resolved once on the two input
     schemas (before any join, so suffixes cannot be mistaken for roles).
 
@@ -160,11 +161,11 @@ def run_keyword(orders: DataFrame, products: DataFrame,
     folders = Intermediates(orders.sparkSession)
     with folders.using():
         return _run_keyword(folders, orders, products, opts, product_order_by, line_order_by, stamp, max_broadcast_rows,
-                            roles, materialize_cleaned)
+                            roles, materialize_cleaned, key_pair)
 
 
 def _run_keyword(folders: Intermediates, orders: DataFrame, products: DataFrame, opts, product_order_by, line_order_by,
-                 stamp, max_broadcast_rows, roles, materialize_cleaned) -> KeywordRun:
+                 stamp, max_broadcast_rows, roles, materialize_cleaned, key_pair) -> KeywordRun:
     r = dict(roles or {})
     # ordering columns (a row's place in its file, say) play no role
     line_columns = [c for c in orders.columns if c not in (line_order_by or ())]
@@ -172,7 +173,7 @@ def _run_keyword(folders: Intermediates, orders: DataFrame, products: DataFrame,
                            line_order_by=line_order_by)
     cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
     mres = J.match_keyword(cleaned, products, product_order_by, max_broadcast_rows,
-                           dedup_after=True, line_order_by=line_order_by)
+                           dedup_after=True, line_order_by=line_order_by, key_pair=key_pair)
     # Roles are resolved on input names, order columns first, then mapped to
     # the output names of their own side (a clashing name is suffixed).
     product_names = [(c, n) for c, n in mres.product_names.items() if c not in (product_order_by or ())]
