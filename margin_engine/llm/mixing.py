@@ -85,7 +85,8 @@ def plan(rows: DataFrame, totals: DataFrame | None = None, seed: int = SEED, wei
          percent: int = BUDGET_PERCENT, cap: int = CAP) -> DataFrame:
     """``rows`` (doc_id, source, size) with source_size, target and ``copies``.
 
-    ``totals`` (source, size) are the rows that sizes are summed over, by default ``rows``."""
+    ``totals`` (source, size) are the rows that sizes are summed over, by default ``rows``; a column
+    ``tie`` tells rows without doc_id apart."""
     t = targets(rows if totals is None else totals, weights, percent, cap)
     rows = rows.join(t.withColumnRenamed("source", "mix_source"),
                      F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
@@ -93,7 +94,7 @@ def plan(rows: DataFrame, totals: DataFrame | None = None, seed: int = SEED, wei
     cells = F.expr(f"greatest(1, (n_docs + {CELL - 1}) div {CELL})")
     rows = (rows.withColumn("mix_rate", rate)
             .withColumn("mix_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(
-                F.col("doc_id").cast("string"), F.lit("")))))
+                F.col("doc_id").cast("string"), F.col("tie") if "tie" in rows.columns else F.lit(""), F.lit("")))))
             .withColumn("mix_cell", _digits(F.col("mix_hash"), 7) % cells))
     w = Window.partitionBy("source", "mix_cell").orderBy("size", "mix_hash")
     k = F.row_number().over(w) - 1
@@ -109,19 +110,22 @@ def mix(df: DataFrame, key: str = "doc_id", text_col: str = "text", source: str
         **params) -> DataFrame:
     """The mixed documents: each row of ``df`` as often as the plan takes it, same columns.
 
-    Only (key, source, size) rows are planned, rows equal in these once (they get the same
-    number of copies), and the plan joins back on them: no window sorts texts."""
-    cols = df.columns
-    sized = df.withColumn("mix_size_of", text_size(F.col(text_col)))
-    rows = sized.select(F.col(key).alias("doc_id"), F.col(source).alias("source"),
-                        F.col("mix_size_of").alias("size"))
-    p = plan(rows.distinct(), rows, **params).filter("copies > 0").select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"),
-        F.col("size").alias("mix_size"), F.col("copies").cast("int").alias("mix_copies"))
-    taken = sized.join(p, F.col(key).eqNullSafe(F.col("mix_id"))
-                       & F.col(source).eqNullSafe(F.col("mix_source"))
-                       & (F.col("mix_size_of") == F.col("mix_size")))
-    return taken.withColumn("mix_k", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*cols)
+    Every row has its own rank in the plan, repeated rows and rows without id too.  Only narrow rows (key, source,
+    size, MD5 of the text) are planned; the copies of rows equal in these are summed, joined back and dealt out evenly among
+    them, so no window sorts rows of different texts together."""
+    # the row travels as one struct, so its columns may have any names
+    sized = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), F.col(key).alias("doc_id"), F.col(source).alias("source"),
+                      text_size(F.col(text_col)).alias("size"),
+                      F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("tie"))
+    p = (plan(sized.drop("whole"), **params).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("tie").alias("mix_tie"))
+         .agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")).filter("mix_copies > 0"))
+    taken = sized.join(p, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
+                       & (F.col("tie") == F.col("mix_tie")))
+    alike = Window.partitionBy("mix_id", "mix_source", "mix_tie").orderBy(F.xxhash64("whole"))
+    share = F.expr("mix_copies div mix_rows + if(place <= mix_copies % mix_rows, 1, 0)").cast("int")
+    copies = (taken.withColumn("place", F.row_number().over(alike)).withColumn("share", share).filter("share > 0")
+              .select("whole", F.explode(F.sequence(F.lit(1), F.col("share")))))
+    return copies.select(*[F.col("whole").getField(c).alias(c) for c in df.columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -237,10 +237,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The rows of ``docs`` that stay: one of each component (its smallest doc_id), same columns."""
     found = near_duplicates(docs, id_col, text_col)
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.join(gone, F.col(id_col).cast("bigint") == F.col("gone_id"), "left_anti")
-    n = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return rows.withColumn("dedup_row", n).filter(
-        (F.col("dedup_row") == 1) | F.col(id_col).isNull()).drop("dedup_row")
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).cast("bigint").alias("own_id"))
+    rows = rows.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
+    # a row without id is a group of its own, so no task gathers them
+    key = F.struct(F.col("own_id"), F.when(F.col("own_id").isNull(), F.monotonically_increasing_id()))
+    n = F.row_number().over(Window.partitionBy("own_key").orderBy(F.col("whole").getField(text_col)))
+    kept = rows.withColumn("own_key", key).withColumn("n", n).filter("n = 1")
+    return kept.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

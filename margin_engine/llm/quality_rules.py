@@ -168,6 +168,15 @@ def apply_rules(df: DataFrame, text_col: str = "text", lang: str = "lang",
     return judge(rows, thresholds(sketches(rows, lang, source)), lang, source)
 
 
+def keep(df: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``df`` that the rules keep, with their own columns, whatever their names."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("quality_row"), F.col(text_col).alias("text"),
+                       F.col(lang).alias("lang"), F.col(source).alias("source"))
+    rows = materialize(measure(packed, "text").drop("text"), "quality")
+    kept = judge(rows, thresholds(sketches(rows, "lang", "source")), "lang", "source").filter("kept")
+    return kept.select(*[F.col("quality_row").getField(c).alias(c) for c in df.columns])
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = materialize(measure(docs).drop("text"), "quality")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from margin_engine.llm import mixing, quality_rules, token_files
@@ -99,15 +100,17 @@ def mix(rows):
         free = free - over if over else set()
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     cells = collections.defaultdict(list)
-    for i, s, n in {(r[0], r[3], len(spaced(r[1]))) for r in rows}:
-        h = md5(f"{mixing.SEED}:{'' if i is None else i}")
-        cells[s, int(h[:7], 16) % max(1, -(-docs[s] // mixing.CELL))].append((n, h, i))
+    for r in rows:
+        i, s, tie = r[0], r[3], md5(r[1] or "")
+        h = md5(f"{mixing.SEED}:{tie if i is None else i}")
+        cells[s, int(h[:7], 16) % max(1, -(-docs[s] // mixing.CELL))].append((len(spaced(r[1])), h, i, tie))
     for (s, cell), members in cells.items():
         rate = target[s] / size[s] if size[s] else 0.0
         frac, start = rate - math.floor(rate), int(md5(f"{mixing.SEED}:{s or ''}:{cell}")[:5], 16) / (1 << 20)
-        for k, (n, _, i) in enumerate(sorted(members)):
-            plans[i, s, n] = math.floor(rate) + math.floor((k + 1) * frac + start) - math.floor(k * frac + start)
-    return [r for r in rows for _ in range(plans[r[0], r[3], len(spaced(r[1]))])]
+        for k, (_, _, i, tie) in enumerate(sorted(members)):
+            plans[i, s, tie] = plans.get((i, s, tie), 0) + math.floor(rate) + math.floor((k + 1) * frac + start) - math.floor(k * frac + start)
+    one = {(r[0], r[3], md5(r[1] or "")): r for r in rows}
+    return [one[key] for key, n in plans.items() for _ in range(n)]
 
 
 def encode(rows):
@@ -151,6 +154,33 @@ def test_pipeline(spark, tables):
     assert ids == sorted(ids)
 
 
+def test_stages_keep_columns_of_any_name(spark, tables):
+    folder, rows, _ = tables
+    names = ("kept", "base_failed", "quality_m", "mix_copies", "dedup_row", "size", "row")
+    docs = spark.createDataFrame([(*r, *[f"{c}-{r[0]}" for c in names]) for r in rows], SCHEMA + "".join(f", {c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}-{r.doc_id}" for c in names), name
+
+
+def test_repeated_rows_and_rows_without_id_meet_the_target(spark):
+    texts = [f"t{i} " + "w " * (i % 7) for i in range(60)]
+    rows = [(None, texts[i % 60], "en", "a", 0) for i in range(1200)] + [(5, "same five words are here", "en", "b", 0)] * 900
+    rows += [(i, "one two three", "en", "c", 0) for i in range(100, 700)] + [(None, None, None, None, None)] * 10
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {r.source: r.target for r in mixing.targets(docs.select("source", mixing.text_size(F.col("text")).alias("size"))).collect()}
+    mixed = mixing.mix(docs)
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.text_size(F.col("text"))).alias("n")).collect()}
+    for s, target in want.items():
+        assert abs(got.get(s, 0) - target) <= 16, (s, got.get(s), target)  # about one document a cell
+    most = mixed.groupBy("source", "text").count().collect()
+    held = collections.Counter((r[3], r[1]) for r in rows)
+    assert all(r["count"] <= 2 * held[r.source, r.text] for r in most)
+    assert mixed.exceptAll(mixing.mix(docs.repartition(7))).count() == 0
+
+
 def test_stage_columns_and_empty_tables(spark, tables):
     folder, rows, _ = tables
     docs = spark.createDataFrame([], SCHEMA + ", kept string, size string")
