@@ -3,19 +3,22 @@
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and reread as the next one's
 docs.  Every stage but the last returns the columns of ``documents``.
+
+Defined cases, stage by stage: columns of any name are carried (a column ``kept`` or ``size`` too).  Quality rules: null
+and empty texts have no words and go.  Near-duplicates: repeated rows of a doc_id leave one; rows without doc_id all stay.
+Decontamination: null texts stay.  Mixing: every row, repeated ones and those without doc_id too, has its own rank; a null source is
+a source.  Token files: a null text is the end id alone, a null doc_id sorts first.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from margin_engine.llm import decontaminate, mixing, odd_sketch, quality_rules, token_files
-from margin_engine.session import ensure_checkpoint_dir
+from margin_engine.plans.materialize import shared_folder
 
 
 def quality(spark, docs, sf_dir):
     """Operator 10: documents that the base rule or an adaptive threshold rejects go."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -47,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str):
     """Apply the stages to ``documents``; each result is written to the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/margin-engine/pipeline-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
