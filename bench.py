@@ -21,6 +21,7 @@ HEADLINE = (
     "clean_keyword", "match_key_search", "match_first", "business_dedup", "summary",
     "shop_rollup", "run_counters", "margin_fixed", "shop_summary", "product_summary",
     "dup_report", "column_profile", "numeric_summary", "status_counts",
+    "exact_dedup", "dedup_stats", "load_pair_csv", "encoded_orders", "stream_ingest", "preview_page", "run_report",
 )
 
 
