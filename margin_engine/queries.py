@@ -38,6 +38,7 @@ PREVIEW_ROWS = 10
 STAMP = "2026-01-01 08:00:00"
 NAME_TAIL = ',\n"件"'
 STREAM_TIMEOUT_S = 1800
+STREAM_BUCKETS = 4
 
 
 def _lines(spark, sf) -> DataFrame:
@@ -437,7 +438,7 @@ def stream_ingest(spark, sf):
     for n, i in enumerate((0, 1, 0)):
         lines.filter(part == i).write.parquet(f"{paths.landing}/export_{n}")
         q = start_ingest(spark, paths, lines.schema, products,
-                         product_order_by=list(PRODUCT_ORDER), available_now=True)
+                         product_order_by=list(PRODUCT_ORDER), available_now=True, buckets=STREAM_BUCKETS)
         if not q.awaitTermination(STREAM_TIMEOUT_S):
             q.stop()
             raise TimeoutError(f"stream ingest did not drain within {STREAM_TIMEOUT_S}s")

@@ -46,6 +46,8 @@ from ..plans.workflow import run_keyword
 from ..sources.csv_files import DIALECT
 
 BUCKETS = 64
+#: Files that a bucket's rows of one batch go to, at most.
+SPREAD = 4
 ORDER = "__order"
 #: Columns of the store that are no columns of the lines.
 STORE_COLUMNS = ("batch_id", "bucket")
@@ -94,6 +96,9 @@ def _bucket(key, buckets: int):
 
 
 def _write(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    if partitions:  # few files a bucket, not one a task and bucket; a hot order is spread by its rows
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        df = df.repartition(*partitions, F.pmod(row, F.lit(SPREAD)))
     (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions, "batch_id").parquet(path))
@@ -116,16 +121,13 @@ def _of_last_batch(df: DataFrame, last: DataFrame) -> DataFrame:
 class _Store:
     """One micro-batch over the store."""
 
-    def __init__(self, spark, paths, products, opts, product_order_by, batch_id, order, columns, buckets):
+    def __init__(self, spark, paths, products, opts, product_order_by, batch_id, order, buckets):
         self.spark, self.paths, self.products, self.opts = spark, paths, products, opts
         self.product_order_by, self.batch_id, self.order, self.buckets = product_order_by, batch_id, order, buckets
-        self.columns = columns
 
     def add(self, batch: DataFrame) -> None:
         keyed = batch.withColumn("bucket", _bucket(_key(self.order), self.buckets))
-        # a bucket's lines of a batch are written by few tasks: a few files, not one a task and bucket
-        _write(keyed.repartition("bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in self.columns]), F.lit(4))),
-               self.paths.lines, self.batch_id, "bucket")
+        _write(keyed, self.paths.lines, self.batch_id, "bucket")
         _write(keyed.select("bucket", _key(self.order).alias(ORDER)).distinct(), self.paths.touched, self.batch_id, "bucket")
 
     def _touched(self, everything: bool) -> DataFrame:
@@ -214,7 +216,7 @@ def start_ingest(spark: SparkSession, paths: StreamPaths, order_schema: T.Struct
         if batch.isEmpty():
             return
         store = _Store(batch.sparkSession, paths, products, opts, product_order_by, batch_id,
-                       OrderRoles.resolve(batch.columns).order_id, batch.columns, buckets)
+                       OrderRoles.resolve(batch.columns).order_id, buckets)
         store.add(batch)
         store.process()
 
@@ -249,7 +251,7 @@ def compact(spark: SparkSession, paths: StreamPaths, min_batches: int = 8) -> in
     for r in many:
         with Intermediates(spark, "compact"):
             whole = materialize(lines.filter(F.col("bucket") == r["bucket"]).drop("batch_id").distinct(), "bucket")
-            _write(whole.repartition(F.xxhash64(*[F.col(f"`{c}`") for c in whole.columns]) % 4), paths.lines, r["ids"][-1], "bucket")
+            _write(whole, paths.lines, r["ids"][-1], "bucket")
         for old in r["ids"][:-1]:
             delete_folder(spark, f"{paths.lines}/bucket={r['bucket']}/batch_id={old}")
     return len(many)
