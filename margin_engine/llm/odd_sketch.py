@@ -11,8 +11,9 @@
    pair shares no band with probability (1 - 0.75^4)^48 = 1e-8.
    Round 1 tests each against its most similar bucket minimum (by sketch).
    Round 2 compares, in every bucket that still spans several components, the
-   sketches of members of different components and near sizes; only pairs that
-   sizes and sketches allow leave the join and are confirmed.
+   members outside the bucket's largest component with all members of other
+   components and near sizes; only pairs that sizes and sketches allow leave
+   the join and are confirmed.
    The test on MinHash samples keeps six standard deviations: it only drops
    pairs whose XOR count shows a similarity under about 0.44.  The test on
    shingles is a bound and drops no link: at similarity 0.75 or more at most a
@@ -179,6 +180,28 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                        .select("u", "v", "text_a", "text_b").mapInArrow(_confirm, "u bigint, v bigint"), "links")
 
 
+def open_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components and near sizes that share a bucket, with what ``_allowed`` reads.
+
+    ``u`` is always outside the bucket's largest component, so the join meets (rows outside it) x (rows)
+    and never pairs that component's own members, however many it has."""
+    labelled = members.join(found, F.col("rep") == F.col("node"), "left").select(
+        "band", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(
+        F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    # sets of similarity 0.75 differ by one size class at most
+    open_ = materialize(labelled.join(mixed.drop("roots"), "band").join(sketches, "rep").withColumn(
+        "class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))), "open")
+    side = lambda c: [F.col("rep").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in (
+        ("root", "root"), ("n", "n"), ("sketch", "s"), ("parity", "p")))]
+    near = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("class")
+    u = open_.filter("root <> main").select("band", *side("u"), near)
+    v = open_.select("band", *side("v"), "class", (F.col("root") == F.col("main")).alias("in_main"))
+    # two outside rows meet once, a row of the largest component meets every outside row
+    return u.join(v, (u["band"] == v["band"]) & (u["class"] == v["class"]) & (F.col("root_u") != F.col("root_v"))
+                  & (F.col("in_main") | (F.col("u") > F.col("v"))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``."""
     signed = materialize(sign(docs, id_col, text_col), "signatures")
@@ -204,19 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(best, texts)
     found = components(links)
 
-    labelled = members.join(found, F.col("rep") == F.col("node"), "left").select(
-        "band", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    # sets of similarity 0.75 differ by one size class at most; pairs leave the join only if sketches allow them
-    open_ = materialize(labelled.join(mixed.select("band"), "band").join(sketches, "rep").withColumn(
-        "class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))), "open")
-    side = lambda c: [F.col("rep").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in (
-        ("root", "root"), ("class", "class"), ("n", "n"), ("sketch", "s"), ("parity", "p")))]
-    u = open_.select("band", *side("u"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"))
-    v = open_.select("band", *side("v"), "class")
-    pair = ((u["band"] == v["band"]) & (u["class"] == v["class"]) & (F.col("root_u") != F.col("root_v"))
-            & ((F.col("class_u") > F.col("class_v")) | (F.col("u") > F.col("v"))))
-    cross = u.join(v, pair & _allowed()).select(
+    cross = open_pairs(members, found, sketches).filter(_allowed()).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     more = _verified(cross.join(best, ["u", "v"], "left_anti"), texts)
     if more.limit(1).count():

@@ -375,6 +375,27 @@ def test_odd_sketch(spark, docs, rows, empty):
     assert odd_sketch.near_duplicates(empty).count() == 0 and odd_sketch.dedup(empty).count() == 0
 
 
+def test_open_pairs(spark):
+    """Every pair of different components that shares a bucket, and no pair inside the bucket's largest one."""
+    r = np.random.default_rng(5)
+    n = {i: int(r.integers(90, 220)) for i in range(60)}
+    root = {i: 0 for i in range(40)} | {i: i // 3 * 3 for i in range(40, 60)}
+    band = [(1, i) for i in range(60)] + [(2, i) for i in range(40)] + [(b, int(i)) for b in range(3, 9) for i in r.choice(60, 12, False)]
+    members = spark.createDataFrame(band, "band bigint, rep bigint")
+    found = spark.createDataFrame([(i, x) for i, x in root.items() if i < 50], "node bigint, root bigint")
+    root |= {i: i for i in range(50, 60)}
+    sketches = spark.createDataFrame([(i, x, [0] * 8, [0] * 16) for i, x in n.items()],
+                                     "rep bigint, n bigint, sketch array<bigint>, parity array<bigint>")
+    got = [(min(x.u, x.v), max(x.u, x.v)) for x in odd_sketch.open_pairs(members, found, sketches).collect()]
+    size = lambda i: math.floor(math.log(n[i]) / math.log(4 / 3))
+    want = [(i, j) for b in range(1, 9) for i in sorted(x for c, x in band if c == b) for j in sorted(x for c, x in band if c == b)
+            if i < j and root[i] != root[j] and abs(size(i) - size(j)) <= 1]
+    assert collections.Counter(got) == collections.Counter(want)
+    # the plan pairs rows outside the largest component with the bucket, so 40 linked members cost 40 an outside row
+    hot = odd_sketch.open_pairs(members.filter("band = 1 and rep < 41"), found, sketches.withColumn("n", F.lit(100).cast("bigint")))
+    assert hot.count() == 40 and hot.select("u").distinct().count() == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
