@@ -41,11 +41,11 @@ class EliasFano:
     def arrays(self):
         return [self.low, self.high, self.zeros]
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th zero of the high bits."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = (k - self.zeros[word]).astype(np.int64)
-        bits = ~self.high[word]
+    def _nth(self, k: np.ndarray, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Position of the k-th set bit of ``words``, of which ``before`` counts those ahead of each word."""
+        word = np.searchsorted(before, k, side="right") - 1
+        rest = (k - before[word]).astype(np.int64)
+        bits = words[word]
         at = np.zeros(len(k), dtype=np.uint64)
         for step in (32, 16, 8, 4, 2, 1):
             count = np.bitwise_count((bits >> at) & np.uint64((1 << step) - 1)).astype(np.int64)
@@ -54,6 +54,19 @@ class EliasFano:
             at += np.where(go, np.uint64(step), np.uint64(0))
         return word * 64 + at.astype(np.int64)
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th zero of the high bits."""
+        return self._nth(k, self.zeros, ~self.high)
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The i-th elements."""
+        if not len(i):
+            return np.zeros(0, dtype=np.uint64)
+        i = i.astype(np.int64)
+        ones = 64 * np.arange(len(self.zeros), dtype=np.int64) - self.zeros
+        top = self._nth(i, ones, self.high) - i
+        return (top.astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
+
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), dtype=np.uint64)
@@ -62,14 +75,17 @@ class EliasFano:
         second = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.low[word] >> shift) | second) & ((_ONE << np.uint64(self.width)) - _ONE)
 
-    def successor(self, value: np.ndarray) -> np.ndarray:
-        """Index of the first element >= value (n where there is none); values below the universe."""
+    def successor(self, value: np.ndarray, first=None, last=None) -> np.ndarray:
+        """Index of the first element >= value (n where there is none); values below the universe.
+        With ``first`` and ``last`` the search stays in first <= index < last, and is ``last`` where none is there."""
         value = value.astype(np.uint64)
         top = (value >> np.uint64(self.width)).astype(np.int64)
         begin = np.where(top > 0, self._zero(np.maximum(top - 1, 0)) - top + 1, 0)
         end = self._zero(top) - top
         want = value & ((_ONE << np.uint64(self.width)) - _ONE)
         lo, hi = begin.copy(), end.copy()
+        if first is not None:
+            lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
@@ -79,13 +95,15 @@ class EliasFano:
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """Index of an element equal to value, -1 where there is none."""
-        if not self.n:
+    def find(self, value: np.ndarray, first=None, last=None) -> np.ndarray:
+        """Index of an element equal to value (in first <= index < last where given), -1 where there is none."""
+        if not self.n or not len(value):
             return np.full(len(value), -1, dtype=np.int64)
-        at = self.successor(value)
+        at = self.successor(value, first, last)
         top = (value.astype(np.uint64) >> np.uint64(self.width)).astype(np.int64)
         inside = at < self._zero(top) - top
+        if first is not None:
+            inside &= at < last
         hit = inside.copy()
         hit[inside] = self._lows(at[inside]) == (value[inside].astype(np.uint64) & ((_ONE << np.uint64(self.width)) - _ONE))
         return np.where(hit, at, -1)

@@ -15,10 +15,12 @@ was predicted; so one shuffle of the token stream both trains and scores:
    for head words, 64-bit hashes for the rest, zstd.
 3. A shard sums its pairs' counts and builds its trie, path word -> word before:
    level 1 the sorted words, monotone pointers to their ranges, level 2 the
-   ranks of the words before, relative to their word's range, all Elias-Fano;
+   ranks of the words before, each range raised by the end of the range before it (so the
+   level stays monotone and its universe small), all Elias-Fano;
    values are log probabilities quantised to 16 bits.  The levels are one
    memory-mapped file without a name.  Each distinct
-   pair is looked up once, by successor search inside its word's range; unseen
+   pair is looked up once: two pointers give its word's range, the element before the range
+   what to add, and a successor search inside the range finds it; unseen
    bigrams take the word's back-off value.
 4. A shard answers each map block with one row: the values of the block's pairs.  A second
    grouping, by block, adds them up over the block's tokens (four bytes each, the pair's
@@ -215,6 +217,9 @@ class Trie:
         pointers = np.append(np.flatnonzero(new), len(word))
         rank = np.searchsorted(contexts, before)
         slot = np.cumsum(new) - 1
+        # a range's ranks follow on the last value of the range before it
+        tops = np.cumsum(rank[pointers[1:] - 1] + 1) if len(word) else np.zeros(0, np.int64)
+        raised = rank + np.concatenate([[0], tops])[slot]
         self.span = max(1, len(contexts))
         code = head.codes(words)
         tails, tail_counts = tail_only
@@ -227,7 +232,7 @@ class Trie:
         quantised = np.rint((value - self.lo) / step * BINS).astype(np.uint16)
         sequences = [EliasFano.build(words >> np.uint64(1), 1 << 63), EliasFano.build(contexts >> np.uint64(1), 1 << 63),
                      EliasFano.build(pointers, len(word) + 1),
-                     EliasFano.build(slot.astype(np.uint64) * np.uint64(self.span) + rank.astype(np.uint64), max(1, len(words)) * self.span)]
+                     EliasFano.build(raised, int(tops[-1]) + self.span if len(tops) else 1)]
         levels = MappedLevels([a for s in sequences for a in s.arrays()] + [quantised])
         mapped = iter(levels.arrays)
         self.words, self.contexts, self.pointers, self.pairs = (
@@ -241,7 +246,10 @@ class Trie:
         contexts, place = np.unique(before, return_inverse=True)
         v = self.contexts.find(contexts >> np.uint64(1))[place]
         both = np.flatnonzero((w >= 0) & (v >= 0))
-        at = self.pairs.find(w[both].astype(np.uint64) * np.uint64(self.span) + v[both].astype(np.uint64))
+        slots, inverse = np.unique(w[both], return_inverse=True)
+        first, last = (self.pointers.access(slots + i).astype(np.int64) for i in (0, 1))
+        base = np.where(first > 0, self.pairs.access(np.maximum(first - 1, 0)).astype(np.int64) + 1, 0)
+        at = self.pairs.find(base[inverse] + v[both], first[inverse], last[inverse])
         hit = at >= 0
         value = np.log10(prior)
         value[both[hit]] = self.lo + self.values[at[hit]].astype(np.float64) / BINS * self.step

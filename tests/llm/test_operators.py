@@ -132,6 +132,34 @@ def test_elias_fano():
         if n:
             assert (ef.successor(probe) == np.searchsorted(values, probe)).all()
         assert ((ef.find(probe) >= 0) == np.isin(probe, values)).all()
+        assert (ef.access(np.arange(n)) == values).all()
+        if n > 100:  # inside a range of indexes
+            lo = rng.integers(0, n, len(probe))
+            hi = np.minimum(n, lo + rng.integers(0, 50, len(probe)))
+            want = np.clip(np.searchsorted(values, probe), lo, hi)
+            assert (ef.successor(probe, lo, hi) == want).all()
+            assert ((ef.find(probe, lo, hi) >= 0) == [v in values[a:b] for v, a, b in zip(probe, lo, hi)]).all()
+
+
+def test_trie_ranges():
+    """Each pair is found in its word's range only; the level is no wider than the ranks that its ranges use."""
+    rng = np.random.default_rng(4)
+    word = rng.integers(0, 60, 3000).astype(np.uint64) << np.uint64(40)
+    before = (rng.integers(0, 300, 3000) ** 2).astype(np.uint64) << np.uint64(30)
+    pairs = np.unique(np.stack([word, before]), axis=1)
+    seen = rng.random(pairs.shape[1]) < 0.6
+    count = rng.integers(1, 1000, pairs.shape[1])
+    head = ngram_lm.Head(np.array([ngram_lm.END], np.uint64), np.array([9]), 1_000_000, 61)
+    tails = np.unique(pairs[0][seen])
+    tail_counts = rng.integers(1000, 9000, len(tails))
+    trie = ngram_lm.Trie(pairs[0][seen], pairs[1][seen], count[seen], head, (tails, tail_counts))
+    of = dict(zip(tails.tolist(), tail_counts.tolist()))
+    prior = ngram_lm.MU * head.p1(np.array([of.get(w, 0) for w in pairs[0].tolist()]))
+    got = trie.log_numerators(pairs[0], pairs[1], prior)
+    assert np.allclose(got, np.log10(np.where(seen, count, 0) + prior), atol=1e-3)
+    empty = np.zeros(0, np.uint64)
+    none = ngram_lm.Trie(empty, empty, np.zeros(0, np.int64), head, (empty, np.zeros(0, np.int64)))
+    assert np.allclose(none.log_numerators(pairs[0], pairs[1], prior), np.log10(prior))
 
 
 def test_quality_model(spark, empty):
