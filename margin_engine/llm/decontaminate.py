@@ -3,16 +3,20 @@
 Benchmark items become windows of 13 normalised words (an item of fewer words
 is one window).  Items are dealt to groups of at most about ``GROUP_BYTES`` of
 text; each group becomes sorted window hashes plus the items' words, and is
-broadcast: its size is bounded by that parameter, and a larger benchmark
-takes more passes over the documents (one map step each, no shuffle).  A scan
-rolls window hashes over each whole document, looks them up in the hash set,
-and verifies every hit word by word against the item.  Word ranges of verified
-hits and the items found travel with the row from group to group.
+broadcast: its size is bounded by that parameter.  A scan rolls window hashes over
+each whole document, looks them up in the hash set, and verifies every hit word by
+word against the distinct windows of that hash, each with its list of items.
+
+One group needs one map step and no shuffle.  A larger benchmark saves the documents
+once with a row key; each group then is a pass of its own over the saved texts that
+writes only the rows it hits (key, word ranges, items), so a task holds one group at a
+time, however many there are, and the hits go back by one join on the key.
 
 Defined cases: a null or empty document has no words, no hits and is clean; an
 item without words has no window; a null item_id counts as ''; repeated items
 and rows count as they are; empty tables give no hits or no rows; further
-columns pass through ``scan`` unchanged (its own are prefixed ``decon_``).
+columns pass through ``scan`` unchanged (its own are prefixed ``decon_``; with more
+than one group they are of types that Parquet holds).
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.materialize import materialize
 from .blocks import ALNUM, Block, LOWER, blocks
 
 WINDOW = 13
@@ -52,9 +57,14 @@ class Index:
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[self.hashes >> np.uint64(44)] = True
 
-    def words(self, j: int) -> list[bytes]:
-        a, size = self.at[j], self.size[j]
-        return [self.text[s:e] for s, e in zip(self.starts[a:a + size], self.ends[a:a + size])]
+    def windows(self, a: int, b: int) -> dict[tuple, set]:
+        """The distinct windows (words) among entries ``a`` to ``b``, each with its items."""
+        out: dict[tuple, set] = {}
+        for j in range(a, b):
+            at, size = self.at[j], self.size[j]
+            words = tuple(self.text[s:e] for s, e in zip(self.starts[at:at + size], self.ends[at:at + size]))
+            out.setdefault(words, set()).add(self.ids[self.row[j]])
+        return out
 
 
 def _merge(spans):
@@ -70,7 +80,7 @@ def _merge(spans):
 def _find(index: Index, block: Block):
     """Per row: verified word ranges and item ids."""
     spans, items = {}, {}
-    known: dict[int, list] = {}
+    known: dict[int, dict] = {}
     for size in index.sizes:
         row, at, hashes = block.windows(size)
         cand = np.flatnonzero(index.filter[hashes >> np.uint64(44)])
@@ -78,10 +88,10 @@ def _find(index: Index, block: Block):
         hi = np.searchsorted(index.hashes, hashes[cand], "right")
         for c, a, b in zip(cand[hi > lo], lo[hi > lo], hi[hi > lo]):
             if a not in known:
-                known[a] = [(index.words(j), index.ids[index.row[j]]) for j in range(a, b)]
+                known[a] = index.windows(a, b)
             w = at[c]
-            own = [LOWER[block.data[s:e]].tobytes() for s, e in zip(block.starts[w:w + size], block.ends[w:w + size])]
-            hit = {i for words, i in known[a] if words == own}
+            own = tuple(LOWER[block.data[s:e]].tobytes() for s, e in zip(block.starts[w:w + size], block.ends[w:w + size]))
+            hit = known[a].get(own)
             if hit:
                 r, first = row[c], w - block.first[row[c]]
                 spans.setdefault(r, []).append((int(first), int(first) + size))
@@ -89,6 +99,68 @@ def _find(index: Index, block: Block):
     return {r: _merge(s) for r, s in spans.items()}, items
 
 
+_FOUND = [T.StructField("decon_spans", T.ArrayType(T.StructType([
+              T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+          T.StructField("decon_items", T.ArrayType(T.StringType()))]
+
+
+def _found(rows, spans, items):
+    """Columns of word ranges and items of the rows numbered ``rows``."""
+    return [pa.array([[{"start": a, "end": b} for a, b in spans.get(r, ())] for r in rows], _SPANS),
+            pa.array([sorted(items.get(r, ())) for r in rows], pa.list_(pa.string()))]
+
+
+def _one_pass(docs: DataFrame, text_col: str, index) -> DataFrame:
+    """``docs`` with the words counted and the hits of the one group."""
+    def run(batches):
+        for batch in batches:
+            for rows, block in blocks(batch, text_col):
+                block.words(ALNUM)
+                cols = [*rows.columns, pa.array(np.diff(block.first), pa.int64()), *_found(range(len(block)), *_find(index.value, block))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*rows.schema.names, "decon_n_words", "decon_spans", "decon_items"])
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField("decon_n_words", T.LongType()), *_FOUND]))
+
+
+def _hits(texts: DataFrame, text_col: str, index) -> DataFrame:
+    """(key, word ranges, items) of the rows of (key, text) that a group hits."""
+    def run(batches):
+        for batch in batches:
+            for rows, block in blocks(batch, text_col):
+                block.words(ALNUM)
+                spans, items = _find(index.value, block)
+                hit = sorted(spans)
+                if hit:
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(hit, pa.int64())), *_found(hit, spans, items)],
+                                                     names=["decon_key", "decon_spans", "decon_items"])
+
+    return texts.mapInArrow(run, T.StructType([T.StructField("decon_key", T.LongType()), *_FOUND]))
+
+
+def _joined_hits(parts: DataFrame) -> DataFrame:
+    """One row a key: ranges merged, items sorted.  A key has at most a row a group."""
+    def run(batches):
+        for batch in batches:
+            spans = [_merge([s["start"], s["end"]] for s in row) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_found(range(len(spans)), dict(enumerate(spans)),
+                                                                       dict(enumerate(map(set, batch.column(2).to_pylist()))))],
+                                             names=["decon_key", "decon_spans", "decon_items"])
+
+    grouped = parts.groupBy("decon_key").agg(F.flatten(F.collect_list("decon_spans")).alias("decon_spans"),
+                                             F.flatten(F.collect_list("decon_items")).alias("decon_items"))
+    return grouped.mapInArrow(run, T.StructType([T.StructField("decon_key", T.LongType()), *_FOUND]))
+
+
+def _count_words(docs: DataFrame, text_col: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for rows, block in blocks(batch, text_col):
+                cols = [*rows.columns, pa.array(np.diff(block.words(ALNUM).first), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*rows.schema.names, "decon_n_words"])
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField("decon_n_words", T.LongType())]))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
          item_text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``docs`` with ``decon_n_words``, ``decon_spans`` (hit word ranges) and ``decon_items``."""
@@ -97,38 +169,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                              F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    schema = T.StructType(docs.schema.fields + [
-        T.StructField("decon_n_words", T.LongType()),
-        T.StructField("decon_spans", T.ArrayType(T.StructType([
-            T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("decon_items", T.ArrayType(T.StringType()))])
-    out = docs.withColumns({"decon_n_words": F.lit(0).cast("bigint"),
-                            "decon_spans": F.array().cast("array<struct<start:bigint,end:bigint>>"),
-                            "decon_items": F.array().cast("array<string>")})
+
+    def index(part):  # <= about group_bytes
+        return spark.sparkContext.broadcast(Index([(r["id"], r["t"].encode()) for r in part.distinct().collect()]))
+
+    if groups == 1:
+        return _one_pass(docs, text_col, index(bench))
+    saved = materialize(_count_words(docs, text_col).withColumn("decon_key", F.monotonically_increasing_id()), "decon-docs")
+    texts, parts = saved.select("decon_key", text_col), None
     for g in range(groups):
-        part = bench if groups == 1 else bench.filter(F.pmod(F.xxhash64("id", "t"), F.lit(groups)) == g)
-        index = spark.sparkContext.broadcast(
-            Index([(r["id"], r["t"].encode()) for r in part.distinct().collect()]))  # <= about group_bytes
-
-        def run(batches, index=index):
-            for batch in batches:
-                names = batch.schema.names
-                for rows, block in blocks(batch, text_col):
-                    block.words(ALNUM)
-                    spans, items = _find(index.value, block)
-                    cols = [rows.column(i) for i in range(rows.num_columns)]
-                    old_spans, old_items = (cols[names.index(c)].to_pylist() for c in ("decon_spans", "decon_items"))
-                    for r in spans:
-                        merged = _merge(spans[r] + [[s["start"], s["end"]] for s in old_spans[r]])
-                        old_spans[r] = [{"start": a, "end": b} for a, b in merged]
-                        old_items[r] = sorted(items[r] | set(old_items[r]))
-                    cols[names.index("decon_n_words")] = pa.array(np.diff(block.first), pa.int64())
-                    cols[names.index("decon_spans")] = pa.array(old_spans, _SPANS)
-                    cols[names.index("decon_items")] = pa.array(old_items, pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
-
-        out = out.mapInArrow(run, schema)
-    return out
+        held = index(bench.filter(F.pmod(F.xxhash64("id", "t"), F.lit(groups)) == g))
+        part = materialize(_hits(texts, text_col, held), "decon-hits")
+        held.unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    found = materialize(_joined_hits(parts), "decon-found")
+    return saved.join(found, "decon_key", "left").withColumns({
+        f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in _FOUND}).drop("decon_key")
 
 
 def n_hit():

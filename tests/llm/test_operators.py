@@ -75,6 +75,24 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, table).filter("doc_id in (9004, 9005)").count() == 0
     assert decontaminate.scan(empty, table).count() == 0
     assert decontaminate.decontaminate(docs, table.limit(0)).count() == len(rows)
+    many = decontaminate.scan(docs, table, group_bytes=60)
+    assert many.dtypes == decontaminate.scan(docs, table).dtypes
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0  # saved passes, no chained steps
+    assert decontaminate.scan(empty, table, group_bytes=60).count() == 0
+
+
+def test_decontaminate_many_groups(spark):
+    shared = "the very same thirteen words stand in all of these items of the benchmark table"
+    bench = [(f"i{i:03d}", f"{shared} own{i} tail{i}") for i in range(60)] + [("i000", f"{shared} own0 tail0")]
+    table = spark.createDataFrame(bench, "item_id string, text string")
+    docs = [(1, f"before {shared} after"), (1, f"before {shared} after"), (None, f"{shared} own7 tail7"), (3, "clean text"), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert len(decontaminate.Index([(i, t.encode()) for i, t in bench]).hashes) == 61 * 5
+    for group_bytes in (1 << 20, 400):
+        got = sorted((r.doc_id or 0, r.decon_n_words, [tuple(s) for s in r.decon_spans], r.decon_items)
+                     for r in decontaminate.scan(frame, table, group_bytes=group_bytes).collect())
+        every = [f"i{i:03d}" for i in range(60)]
+        assert got == [(0, 17, [(0, 17)], every), (1, 17, [(1, 16)], every), (1, 17, [(1, 16)], every), (3, 2, [], []), (4, 0, [], [])]
 
 
 def test_ngram_lm(spark, docs, rows, empty, monkeypatch):
