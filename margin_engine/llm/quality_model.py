@@ -11,7 +11,9 @@ sparse dot product.
 Defined cases: a null or empty text has no features (its score is the bias's);
 null labels and labels of unknown documents are ignored; repeated labels
 train once; without labels every score is 0.5; a null doc_id is scored and not held
-out; repeated rows are scored each; further columns are ignored.
+out; repeated rows are scored each; further columns, of any name, are ignored.  Training
+goes by the hash of the id, ties by label and features, so it does not depend on the
+order in which rows arrive.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def _train(batches):
                 ids, count = np.unique(slots[offsets[i]:offsets[i + 1]], return_counts=True)
                 examples.append((keys[i], np.append(ids, DIMS).astype(np.int32),
                                  np.append(count * (SCALE / max(1, n[i])), 1.0).astype(np.float32), labels[i]))
-    examples.sort(key=lambda e: e[0])
+    examples.sort(key=lambda e: (e[0], e[3], e[1].tobytes(), e[2].tobytes()))
     w, bias = train([e[1:] for e in examples])
     used = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(used, DIMS), pa.int32()), pa.array(np.append(w[used], bias))], names=["slot", "w"])
@@ -101,13 +103,13 @@ def _train(batches):
 
 def fit(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS):
     """Weights from ``labelled`` (doc_id, label): about ``rows`` of them by hash of the id."""
-    labelled = labelled.filter("label is not null and doc_id is not null").distinct()
+    labelled = labelled.select("doc_id", "label").filter("label is not null and doc_id is not null").distinct()
     total = labelled.count()
     share = min(1.0, rows / max(1, total))
     cut = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     sample = labelled.withColumn("order", cut).filter(F.col("order") < int(share * (1 << 30)))
     # the sample's ids are bounded by the parameter, so they are broadcast
-    texts = docs.join(F.broadcast(sample), "doc_id").select("order", "text", "label")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("order", "text", "label")
     got = texts.repartition(1).mapInArrow(_train, "slot int, w double").toPandas()
     w = np.zeros(DIMS + 1)
     w[got["slot"].to_numpy()] = got["w"].to_numpy()

@@ -194,6 +194,93 @@ def test_quality_model(spark, empty):
     assert {r.score for r in quality_model.score(odd, none).collect()} == {0.5}
 
 
+def _plain_features(text):
+    """{slot: count} and the number of words, one n-gram at a time, with plain integers."""
+    wrap, prime = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & wrap
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & wrap
+        return x ^ (x >> 31)
+
+    def fold(values):
+        return mix(sum(v * pow(prime, i, 1 << 64) for i, v in enumerate(values)) & wrap)
+
+    def of_bytes(raw):
+        return fold([mix(((c + 1) * prime) & wrap) for c in raw])
+
+    def shape(raw):
+        kinds = "".join("a" if c >= 0x80 or 97 <= c <= 122 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else chr(c) for c in raw)
+        return re.sub(r"(.)\1+", r"\1", kinds, flags=re.S).encode()
+
+    found = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    plain, shapes = [of_bytes(w) for w in found], [of_bytes(shape(w)) for w in found]
+    out = collections.Counter()
+    for tag, (hashes, size) in enumerate([(plain, 1), (plain, 2), (shapes, 1), (shapes, 2), (shapes, 3)]):
+        for i in range(len(hashes) - size + 1):
+            out[mix((fold(hashes[i:i + size]) + tag) & wrap) >> 46] += 1
+    for i, w in enumerate(found):
+        out[mix(99 + (i > 0 and w == found[i - 1])) >> 46] += 1
+    return out, len(found)
+
+
+def _plain_model(examples):
+    """Follow the regularised leader, a slot at a time; examples are (features, words, label)."""
+    q = quality_model
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(i):
+        if abs(z[i]) <= q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(q.EPOCHS):
+        for found, size, label in examples:
+            x = {i: k * q.SCALE / max(1, size) for i, k in found.items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            off = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - label
+            for i, v in x.items():
+                g = off * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA * w[i]
+                n[i] += g * g
+    return weight
+
+
+def test_quality_model_brute_force(spark):
+    texts = ["Good plain words about 12 things.", "BUY BUY buy $$$ now now now", "one", "", None, "é 中文 ünï é é", "A1b2 c3  D4\n\tA1b2 A1b2",
+             "good words, good words; Good plain words", "now now $$$ 999 999", "x" * 3000 + " end"]
+    rows = [(i, texts[i % len(texts)] if i < 20 else f"{texts[i % len(texts)]} {i}") for i in range(40)]
+    rows += [rows[1], rows[7], (None, "no id"), (7, "another text of a known id")]
+    marks = [(i, int("ood" in (t or ""))) for i, t in rows if i is not None and i % 3] + [(1, 0), (1, None), (None, 1), (999, 1), (7, 0)]
+    docs = spark.createDataFrame([(i, t, 5, 6, 7.0) for i, t in rows], "doc_id bigint, text string, label int, order bigint, score double")
+    labels = spark.createDataFrame([(i, m, 3) for i, m in marks], "doc_id bigint, label int, order int")
+    place = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).distinct().collect()}
+    assert len(set(place.values())) == len(place)
+    known = collections.defaultdict(set)
+    for i, m in marks:
+        if i is not None and m is not None:
+            known[i].add(m)
+
+    def packed(found, size):
+        ids = sorted(found)
+        return (np.array(ids + [quality_model.DIMS], np.int32).tobytes(),
+                np.append(np.array([found[i] for i in ids]) * (quality_model.SCALE / max(1, size)), 1.0).astype(np.float32).tobytes())
+
+    examples = [(place[i], m, packed(*_plain_features(t)), _plain_features(t)) for i, t in rows if i is not None for m in sorted(known[i])]
+    examples.sort(key=lambda e: e[:3])
+    weight = _plain_model([(*f, m) for _, m, _, f in examples])
+    want = []
+    for i, t in rows:
+        found, size = _plain_features(t)
+        x = sum(weight(s) * k * quality_model.SCALE / max(1, size) for s, k in found.items()) + weight("bias")
+        want.append((i is None, i or 0, 1 / (1 + math.exp(-x))))
+    shuffled = docs.repartition(5, F.xxhash64("text"))
+    for frame in (docs, shuffled):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in quality_model.score(docs, quality_model.fit(frame, labels)).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)], rel=1e-4)
+
+
 def test_tool_calls(spark):
     calls = [(1, 5, "a", "answer", '{"turn":1,"query":"é"}', []), (1, 4, "b", "answer", '{"query":"q","turn":2}', ["a"]),
              (1, 3, "c", "answer", '{"query":"q","turn":true}', ["b", "zzz"]), (1, 1, "x", "answer", "{}", ["y"]), (1, 2, "y", "answer", "{}", ["x"]),
