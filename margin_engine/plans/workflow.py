@@ -151,27 +151,29 @@ def run_keyword(orders: DataFrame, products: DataFrame,
                 stamp: str | None = "now",
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                 roles: dict | None = None, materialize_cleaned: bool = True,
-                key_pair: tuple[str, str] | str | None = None) -> KeywordRun:
+                key_pair: tuple[str, str] | str | None = None, cleaned: DataFrame | None = None) -> KeywordRun:
     """Q4: keyword-schema run.  Roles are resolved once on the two input
     schemas (before any join, so suffixes cannot be mistaken for roles).
 
     The cleaned lines feed both the key-pair search and the final join, so
     by default they are written once to the shared checkpoint folder and
-    read back (see ``plans.materialize``), in a folder that the run owns."""
+    read back (see ``plans.materialize``), in a folder that the run owns.  ``cleaned`` gives the saved lines
+    that the same cleaning of ``orders`` made before."""
     folders = Intermediates(orders.sparkSession)
     with folders.using():
         return _run_keyword(folders, orders, products, opts, product_order_by, line_order_by, stamp, max_broadcast_rows,
-                            roles, materialize_cleaned, key_pair)
+                            roles, materialize_cleaned, key_pair, cleaned)
 
 
 def _run_keyword(folders: Intermediates, orders: DataFrame, products: DataFrame, opts, product_order_by, line_order_by,
-                 stamp, max_broadcast_rows, roles, materialize_cleaned, key_pair) -> KeywordRun:
+                 stamp, max_broadcast_rows, roles, materialize_cleaned, key_pair, cleaned) -> KeywordRun:
     r = dict(roles or {})
     # ordering columns (a row's place in its file, say) play no role
     line_columns = [c for c in orders.columns if c not in (line_order_by or ())]
     cres = C.clean_keyword(orders, opts, OrderRoles.resolve(line_columns, r.get("orders")),
                            line_order_by=line_order_by)
-    cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
+    if cleaned is None:
+        cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
     mres = J.match_keyword(cleaned, products, product_order_by, max_broadcast_rows,
                            dedup_after=True, line_order_by=line_order_by, key_pair=key_pair)
     # Roles are resolved on input names, order columns first, then mapped to

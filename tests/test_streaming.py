@@ -139,3 +139,30 @@ def test_csv_arrivals_keep_quotes_and_line_breaks(spark):
     except Exception:  # noqa: BLE001 - the query's own failure
         pass
     assert q.exception() is not None
+
+
+def test_a_batch_cleans_once_and_looks_up_earlier_lines_only(spark, monkeypatch):
+    from margin_engine.streaming import ingest
+    schema = "`订单号` string, `商品编码` string, `买家实付` string"
+    products = spark.createDataFrame([("A", "3")], "`商家编码` string, `成本` string")
+    paths, plans, saved = _paths(), [], []
+    real, save = ingest._Store.lines, ingest.materialize
+
+    def lines(self, everything):
+        df = real(self, everything)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    def materialize(df, tag="stage"):
+        saved.append(tag)
+        return save(df, tag)
+
+    monkeypatch.setattr(ingest._Store, "lines", lines)
+    monkeypatch.setattr(ingest, "materialize", materialize)
+    _feed(spark, paths, products, schema, [("O1", "A", "5"), ("O2", "A", "6")], 0)
+    _feed(spark, paths, products, schema, [("O1", "A", "-9"), (None, "A", "1")], 1)
+    assert saved == ["cleaned", "cleaned"]  # the lines are cleaned once a batch and saved in no other form
+    assert "Join" not in plans[0] and plans[1].count("Join") == 1 and "Union" in plans[1]
+    assert [(r["订单号"], r["revenue"]) for r in ingest.current_detail(spark, paths).collect()] == [("O2", 6.0)]
+    _feed(spark, paths, products, schema, [("O1", "A", "20"), ("O1", "A", "20")], 2)
+    assert sorted(r["订单号"] for r in ingest.current_detail(spark, paths).collect()) == ["O1", "O2"]
