@@ -101,3 +101,22 @@ def test_nan_is_missing_in_numeric_summary(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
     r = numeric_summary(df).collect()[0]
     assert (r["count"], r["mean"], r["min"], r["p50"], r["max"]) == (2, 2.0, 1.0, 2.0, 3.0)
+
+
+def test_intervals_come_from_counts_and_hold_few_values(spark):
+    # heavy tails, a hot value, infinities and a constant: the intervals are exact, without a sketch
+    rng = np.random.default_rng(3)
+    tail = np.exp(rng.normal(0, 4, 4000))
+    hot = np.where(np.arange(4000) % 3 == 0, 7.0, rng.uniform(-1e6, 1e6, 4000))
+    far = np.concatenate([rng.normal(0, 1, 3990), [np.inf] * 5, [-1.7e308] * 5])
+    df = spark.createDataFrame([(float(a), float(b), float(c), 2.0) for a, b, c in zip(tail, hot, far)], "tail double, hot double, far double, one double")
+    row, found = Q._sketch(df, df.columns, PROBS, Q.MARGIN, 200, ())
+    for name, values in (("tail", tail), ("hot", hot), ("far", far), ("one", np.full(4000, 2.0))):
+        n, intervals = found[name]
+        assert n == 4000 and all(b1 < a2 for (_, b1), (a2, _) in zip(intervals, intervals[1:]))
+        for a, b in intervals:
+            assert a == b or ((values >= a) & (values <= b)).sum() <= 4 * Q.MARGIN * 4000 / 200
+    got = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(df, ["tail", "hot", "one"], PROBS, 200).collect()}
+    for name, values in (("tail", tail), ("hot", hot), ("one", np.full(4000, 2.0))):
+        for p in PROBS:
+            assert np.isclose(got[(name, p)], _numpy(values, p), rtol=1e-12, atol=1e-12), (name, p)
