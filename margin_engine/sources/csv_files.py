@@ -3,12 +3,12 @@
 A quoted cell may hold line breaks, so a line is not always a record, and a task that starts in the middle of
 a file does not know whether it starts inside a cell.  Spark's own answer is one task a file.  Here:
 
-1. One splittable scan of the lines (raw bytes) counts the quotes of every file block, keeps each file's first line and
-   notes lines with an odd number of quotes.
+1. One splittable scan of the lines (raw bytes) counts the quotes of every file block, notes lines with an odd number
+   of quotes and the number of each file's first line, which a second scan fetches.
 2. The parities of a file's blocks, summed in order, say which blocks start inside a quoted cell (one small row a block).
 3. Files are grouped by header; groups without odd lines go to Spark's line-splitting CSV reader as they are.
 4. In the others each task, told its blocks' parities by a checked broadcast, puts lines together to records while it streams over
-   them (whole runs of one-line records at once).  Only records that cross a block's edge meet in a small shuffle.
+   them (all records of a batch at once).  Only records that cross a block's edge meet in a small shuffle.
    ``from_csv`` parses the records.
 5. Groups are united by name; a column that a file lacks is null.
 
@@ -75,10 +75,19 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def _survey(lines: DataFrame) -> DataFrame:
-    """One row per file block: quotes, odd (a line has an odd number), the first line that is not blank."""
+    """One row per file block: quotes, odd (a line has an odd number), the number of the first line that is not blank.
+
+    Numbers alone are kept, so the lines are hashed, not sorted."""
     return lines.groupBy("path", "start").agg(
-        F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2).alias("odd"),
-        F.min_by(F.when(~F.col("blank"), F.struct("line", "quotes")), F.when(~F.col("blank"), F.col("seq"))).alias("head"))
+        F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2).alias("odd"), F.min(F.when(~F.col("blank"), F.col("seq"))).alias("head_seq"))
+
+
+def _heads(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, head, ...): ``files`` with the line of their number ``head_seq``; a second scan of the same files numbers lines alike."""
+    known, _ = bounded_broadcast(files.select(F.col("path").alias("h_path"), "head_seq"))
+    line = lines.select("path", "seq", F.struct("line", "quotes").alias("head"))
+    found = line.join(known, (F.col("path") == F.col("h_path")) & (F.col("seq") == F.col("head_seq"))).select("path", "head")
+    return files.drop("head_seq").join(found, "path")
 
 
 def _block_parity(blocks: DataFrame) -> DataFrame:
@@ -89,16 +98,12 @@ def _block_parity(blocks: DataFrame) -> DataFrame:
                          ((before % 2 == 1) | ((before + F.col("quotes")) % 2 == 1)).alias("crosses"))
 
 
-def _assembler(encoding: str):
-    """A task function: lines of whole blocks, in order, to records and to the pieces that cross block edges."""
+def _assembler(encoding: str, edges: bool = False):
+    """A task function: lines of whole blocks, in order, to records and to the pieces that cross block edges (``edges``: to these alone)."""
     def run(batches):
         block, inside, parts, at, begun, first = None, False, [], 0, False, False
         out = {k: [] for k in ("path", "start", "seq", "kind", "first", "text")}
 
-        def put(path, start, seq, kind, is_first, data):
-            for name, value in zip(out, (path, start, seq, kind, is_first, data.decode(encoding))):
-                out[name].append(value)
-
         def close(open_end):
             """End the record in hand; its kind says whether this block holds its begin and its end."""
             nonlocal parts, first
@@ -106,43 +111,63 @@ def _assembler(encoding: str):
                 kind = _CONTINUED if not begun else _BEGUN if open_end else _WHOLE
                 data = b"\n".join(parts)
                 is_first = begun and first and bool(data.strip())
-                put(*block, at, kind, is_first, data)
+                if not edges or kind != _WHOLE:
+                    for name, value in zip(out, (*block, at, kind, is_first, data.decode(encoding))):
+                        out[name].append(value)
                 first = first and not is_first
                 parts = []
 
+        def whole(records, seqs):
+            """A batch of records that this block holds from begin to end."""
+            nonlocal first
+            flags = np.zeros(len(records), dtype=bool)
+            if first:
+                k = next((k for k, r in enumerate(records) if r.strip()), None)
+                if k is not None:
+                    flags[k], first = True, False
+            if edges:
+                return None
+            text = pa.array(records, pa.binary()).cast(pa.string()) if encoding == "utf-8" else pa.array([r.decode(encoding) for r in records], pa.string())
+            n = len(records)
+            return pa.RecordBatch.from_arrays(
+                [pa.repeat(block[0], n), pa.array(np.full(n, block[1], np.int64)), pa.array(seqs.astype(np.int64)),
+                 pa.array(np.full(n, _WHOLE, np.int32)), pa.array(flags), text], names=list(out))
+
         for batch in batches:
             path, start = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             seq, line = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3)
-            odd = batch.column(4).to_numpy(zero_copy_only=False) % 2 == 1
+            odd = batch.column(4).to_numpy(zero_copy_only=False) % 2
             begins_inside = batch.column(5).to_numpy(zero_copy_only=False)
-            i, n = 0, batch.num_rows
-            odd_at = np.flatnonzero(odd)
+            n = batch.num_rows
             new_block = np.flatnonzero((start[1:] != start[:-1]) | np.array([a != b for a, b in zip(path[1:], path[:-1])], dtype=bool)) + 1
-            while i < n:
+            cuts = [0, *new_block.tolist(), n] if n else []
+            for i, end in zip(cuts, cuts[1:]):
                 if block != (path[i], int(start[i])):
                     close(inside)
                     block, inside = (path[i], int(start[i])), bool(begins_inside[i])
                     begun, first = not inside, start[i] == 0
                     at = int(seq[i])
-                k = np.searchsorted(new_block, i, side="right")
-                end = int(new_block[k]) if k < len(new_block) else n
-                k = np.searchsorted(odd_at, i)
-                turn = min(end, int(odd_at[k]) if k < len(odd_at) else end)
-                if not inside:  # a run of one-line records
-                    for j in range(i, turn):
-                        begun, at, parts = True, int(seq[j]), [line[j].as_py()]
-                        close(False)
-                else:
-                    parts += [x.as_py() for x in line[i:turn]]
-                i = turn
-                if i < end:  # a line with an odd number of quotes opens or closes a cell
-                    if not inside:
-                        begun, at = True, int(seq[i])
-                    parts.append(line[i].as_py())
-                    inside = not inside
-                    if not inside:
-                        close(False)
-                    i += 1
+                lines = line.slice(i, end - i).to_pylist()
+                after = (np.cumsum(odd[i:end]) + inside) % 2 == 1  # whether a cell is open after each line
+                ends = np.flatnonzero(~after) + 1
+                done = 0
+                if inside and len(ends):  # the record in hand ends here
+                    done = int(ends[0])
+                    parts += lines[:done]
+                    close(False)
+                    ends = ends[1:]
+                if len(ends):
+                    begins = np.append(done, ends[:-1])
+                    records = [lines[b] if e == b + 1 else b"\n".join(lines[b:e]) for b, e in zip(begins.tolist(), ends.tolist())]
+                    begun, done = True, int(ends[-1])
+                    made = whole(records, seq[i + begins])
+                    if made is not None:
+                        yield made
+                if done < len(lines):
+                    if not parts and (done or not inside):
+                        begun, at = True, int(seq[i + done])
+                    parts += lines[done:]
+                inside = bool(after[-1])
             yield _piece_batch(out)
         if block is not None:
             close(inside)
@@ -160,19 +185,19 @@ def _piece_batch(out: dict) -> pa.RecordBatch:
 
 def _records(spark: SparkSession, paths, blocks: DataFrame, encoding: str) -> DataFrame:
     """(path, start, seq, first, text): the records of files with line breaks in cells or of another encoding."""
-    def pieces(of):
+    def pieces(of, edges):
         lines = _lines(spark, of).select("path", "start", "seq", "line", "quotes")
         known, small = bounded_broadcast(blocks.select(F.col("path").alias("b_path"), F.col("start").alias("b_start"), "inside"))
         met = lines.join(known, (F.col("path") == F.col("b_path")) & (F.col("start") == F.col("b_start"))).drop("b_path", "b_start")
         if not small:  # more blocks than a broadcast may hold: the lines are brought in order by a shuffle
             met = met.repartition("path", "start").sortWithinPartitions("path", "start", "seq")
-        return met.mapInArrow(_assembler(encoding), _PIECES)
+        return met.mapInArrow(_assembler(encoding, edges), _PIECES)
 
-    out = pieces(paths).filter(F.col("kind") == _WHOLE).drop("kind")
+    out = pieces(paths, False).filter(F.col("kind") == _WHOLE).drop("kind")
     crossing = [_file(r.path) for r in blocks.filter("crosses").select("path").distinct().collect()]  # names of files
     if crossing:
         order = Window.partitionBy("path").orderBy("start", "seq")
-        edges = pieces(crossing).filter(F.col("kind") != _WHOLE).withColumn("record", F.sum((F.col("kind") == _BEGUN).cast("int")).over(order))
+        edges = pieces(crossing, True).filter(F.col("kind") != _WHOLE).withColumn("record", F.sum((F.col("kind") == _BEGUN).cast("int")).over(order))
         joined = edges.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("start", "seq", "text"))).alias("p"), F.max("first").alias("first"))
         out = out.unionByName(joined.select("path", F.col("p")[0]["start"].alias("start"), F.col("p")[0]["seq"].alias("seq"), "first",
                                             F.array_join("p.text", "\n").alias("text")))
@@ -225,10 +250,11 @@ def _wide_groups(spark, paths, encoding):
     return [(header, sorted(of), False) for header, of in groups.items() if header]
 
 
-def _line_groups(spark, blocks: DataFrame, parity: DataFrame, encoding: str, multi_line: bool):
+def _line_groups(spark, lines: DataFrame, blocks: DataFrame, parity: DataFrame, encoding: str, multi_line: bool):
     """(header, files, whether records need assembling) of each header; only headers and file names reach the driver."""
-    first = F.min_by("head", F.when(F.col("head").isNotNull(), F.col("start")))
-    files = blocks.groupBy("path").agg(first.alias("head"), F.max("odd").alias("odd"), (F.sum("quotes") % 2).alias("left")).filter("head is not null")
+    first = F.min_by("head_seq", F.when(F.col("head_seq").isNotNull(), F.col("start")))
+    files = blocks.groupBy("path").agg(first.alias("head_seq"), F.max("odd").alias("odd"), (F.sum("quotes") % 2).alias("left")).filter("head_seq is not null")
+    files = _heads(lines, files)
     rows = files.groupBy("head.line", F.col("head.quotes").alias("quotes"), "odd", "left").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
     broken = [r["paths"][0] for r in rows if r["left"] and multi_line]
     if broken:
@@ -261,7 +287,7 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, sep:
     else:
         blocks = materialize(_survey(_lines(spark, paths)), "csv-blocks")
         parity = materialize(_block_parity(blocks), "csv-parity")
-        groups = _line_groups(spark, blocks, parity, code, multi_line or code != "utf-8")
+        groups = _line_groups(spark, _lines(spark, paths), blocks, parity, code, multi_line or code != "utf-8")
     groups.sort(key=lambda g: (g[1][0], g[2]))
     frames = []
     for header, files, assemble in groups:

@@ -129,3 +129,17 @@ def test_positions_follow_the_file(spark, small_splits):
     assert pair.orders.columns == ["订单号", "备注"]
     place = pair.positioned_orders.columns[-1]
     assert [r[0] for r in pair.positioned_orders.orderBy(place).collect()] == [r[0] for r in rows]
+
+
+def test_lines_are_surveyed_without_a_sort_and_edges_alone_are_made_twice(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"k,v\n" + b"".join(b'%d,"x\ny"\n%d,z\n' % (i, i) for i in range(50)))
+    plan = X._survey(X._lines(spark, str(tmp_path)))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    import pyarrow as pa
+    lines = [b'q",1', b"a,1", b'b,"2', b'3"', b"", b'c,"4']  # a block that begins and ends inside a cell
+    columns = [["f"] * 6, [9] * 6, list(range(6)), lines, [x.count(b'"') for x in lines], [True] * 6]
+    for cut in range(1, 6):  # however the lines are dealt over batches
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("abcdef"))
+        for edges, want in ((False, [(0, 2, 'q",1'), (1, 0, "a,1"), (2, 0, 'b,"2\n3"'), (4, 0, ""), (5, 1, 'c,"4')]), (True, [(0, 2, 'q",1'), (5, 1, 'c,"4')])):
+            got = [r for b in X._assembler("gb18030", edges)([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
+            assert sorted((r["seq"], r["kind"], r["text"]) for r in got) == want
