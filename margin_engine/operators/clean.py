@@ -21,7 +21,7 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -143,14 +143,16 @@ class CleanResult:
 def clean_keyword(orders: DataFrame, opts: CleanOptions | None = None,
                   roles: OrderRoles | None = None, exact_dedup_first: bool = True,
                   order_filter: bool = True,
-                  line_order_by: tuple[str, ...] | list[str] | None = None) -> CleanResult:
+                  line_order_by: tuple[str, ...] | list[str] | None = None,
+                  share: Callable[[DataFrame], DataFrame] | None = None) -> CleanResult:
     """Q1: keyword-schema cleaning.
 
     D1 exact dedup -> amount coercion -> mark/status predicates -> order-level
     amount filter (or the row-level fallback without an order id) -> shop
     filter.  ``order_filter=False`` returns the lines before the order-level
     test.  ``line_order_by`` names ordering columns (file position) that the
-    exact dedup ignores when comparing rows.
+    exact dedup ignores when comparing rows.  ``share`` saves the lines that the order test
+    reads twice: the sums do not need the ordering columns, so the two readings would not be one plan.
     """
     opts = opts or CleanOptions()
     roles = roles or OrderRoles.resolve(orders.columns)
@@ -158,6 +160,8 @@ def clean_keyword(orders: DataFrame, opts: CleanOptions | None = None,
     typed = coerce_amount(d1, roles.amount)
     base = typed.filter(all_of(keyword_predicates(roles, opts)))
     if roles.amount and roles.order_id:
+        if order_filter and share:
+            base = share(base)
         lines = base
         if order_filter:
             lines = keep_positive_orders(base, base, roles.order_id, roles.amount)

@@ -22,7 +22,7 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,12 +46,12 @@ def _orderable(dt: T.DataType) -> bool:
 
 
 def row_order(df: DataFrame, order_by: Sequence[str] | None = None,
-              exclude: Sequence[str] = ()) -> list[Column]:
+              exclude: Sequence[str] = (), value: Callable[[str], Column] = _c) -> list[Column]:
     """Sort expressions: ``order_by`` first, then every other orderable column."""
     first = list(order_by or [])
     rest = [f.name for f in df.schema.fields
             if f.name not in first and f.name not in exclude and _orderable(f.dataType)]
-    return [_c(c).asc_nulls_first() for c in first + rest]
+    return [value(c).asc_nulls_first() for c in first + rest]
 
 
 def exact_dedup(df: DataFrame, keep_first_by: Sequence[str] | None = None) -> DataFrame:
@@ -75,19 +75,21 @@ def exact_dedup(df: DataFrame, keep_first_by: Sequence[str] | None = None) -> Da
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str],
-                  order_by: Sequence[str] | None = None) -> DataFrame:
+                  order_by: Sequence[str] | None = None, value: Callable[[str], Column] = _c,
+                  then: Sequence[Column] = ()) -> DataFrame:
     """First row per key combination by the given order.
 
     Null key values group together.  The window is partitioned by the *tuple*
     of the keys: the operator always gets its own exchange with the partial
     group limit below it (instead of inheriting a partitioning on a subset of
     the keys), and its output is not partitioned on the bare key, so a later
-    shuffle join on the key sees a direct shuffle on this side.
+    shuffle join on the key sees a direct shuffle on this side.  ``value`` gives what a column is
+    grouped and ordered by, ``then`` what decides after all columns.
     """
     if not keys:
         return df
-    w = Window.partitionBy(F.struct(*[_c(k) for k in keys])).orderBy(
-        *row_order(df, order_by, exclude=keys))
+    w = Window.partitionBy(F.struct(*[value(k) for k in keys])).orderBy(
+        *row_order(df, order_by, keys, value), *then)
     return (df.withColumn("__rn", F.row_number().over(w))
             .filter(F.col("__rn") == 1).drop("__rn"))
 

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -86,10 +86,10 @@ def key_hits(orders: DataFrame, products: DataFrame, product_candidates: Sequenc
     Summed over the groups it is ``key_search``; a store keeps it per group and replaces the groups
     that change."""
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("o_ix"), strip_key(_c(c)).alias("key")) for i, c in enumerate(order_candidates)]))
-    counts = (orders.select(_c(by), pairs.alias("u")).select(_c(by), "u.*").filter("key is not null")
-              .groupBy(_c(by), "o_ix", "key").agg(F.count(F.lit(1)).alias("n")))
+    keys = orders.select(_c(by), pairs.alias("u")).select(_c(by), "u.*").filter("key is not null")
+    # a group's lines mostly differ in their keys, so counting them before the join would be a shuffle that joins nothing
     p_keys = _unpivot_keys(products, product_candidates, "p_ix").distinct()
-    return counts.join(p_keys, "key").groupBy(_c(by), "p_ix", "o_ix").agg(F.sum("n").alias("matched_lines"))
+    return keys.join(p_keys, "key").groupBy(_c(by), "p_ix", "o_ix").agg(F.count(F.lit(1)).alias("matched_lines"))
 
 
 def best_pair(scores: DataFrame) -> tuple[str, str, int, int] | None:
@@ -115,6 +115,8 @@ class MatchResult:
     product_names: dict[str, str] = field(default_factory=dict)
     broadcast: bool = False
     pre_dedup: DataFrame | None = None      # joined rows before D3
+    lines: DataFrame | None = None          # J2: the lines as they go into the join, stripped key and output names
+    rejoin: Callable[[DataFrame], DataFrame] | None = None   # J2 for some of ``lines``: joined rows before D3
 
 
 def _rename_clashes(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
@@ -149,12 +151,15 @@ def join_catalogue(orders: DataFrame, products: DataFrame, o_key: str, p_key: st
     p2 = p2.withColumn("__matched", F.lit(True))
     p2, used_broadcast = bounded_broadcast(p2, max_broadcast_rows, known_rows)
     left_key = o_names[o_key]
-    joined = o2.alias("o").join(p2.alias("p"),
-                                F.col(f"o.`{left_key}`") == F.col("p.__pkey"), "left")
     cols = [F.col(f"o.`{n}`") for n in o_names.values()]
     cols += [F.col(f"p.`{n}`") for n in p_names.values()]
     cols.append(F.coalesce(F.col("p.__matched"), F.lit(False)).alias("__matched"))
-    return joined.select(*cols), o_names, p_names, used_broadcast
+
+    def join(lines: DataFrame) -> DataFrame:
+        """Lines with stripped keys and output names, joined to the catalogue."""
+        return lines.alias("o").join(p2.alias("p"), F.col(f"o.`{left_key}`") == F.col("p.__pkey"), "left").select(*cols)
+
+    return o2, join, o_names, p_names, used_broadcast
 
 
 def match_first(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
@@ -166,18 +171,22 @@ def match_first(orders: DataFrame, products: DataFrame, o_key: str, p_key: str,
     ``product_keys`` (distinct non-null keys, known from the key search)
     bounds the first-row catalogue at ``product_keys + 1`` rows, so the
     broadcast decision needs no counting job of its own."""
-    joined, o_names, p_names, bc = join_catalogue(
+    lines, join, o_names, p_names, bc = join_catalogue(
         orders, products, o_key, p_key, True, product_order_by, max_broadcast_rows,
         ("_order", "_product"),
         None if product_keys is None else product_keys + 1)
-    out = joined.withColumn(
-        "match_status",
-        F.when(F.col("__matched"), F.lit(K.MATCH_MATCHED)).otherwise(F.lit(K.MATCH_UNMATCHED))
-    ).drop("__matched")
+
+    def matched(some: DataFrame) -> DataFrame:
+        return join(some).withColumn(
+            "match_status",
+            F.when(F.col("__matched"), F.lit(K.MATCH_MATCHED)).otherwise(F.lit(K.MATCH_UNMATCHED))
+        ).drop("__matched")
+
+    out = matched(lines)
     pre = out
     if dedup_after:
         out = exact_dedup(out, [K.LINE_POSITION])
-    return MatchResult(out, "matched", (p_key, o_key), 0, o_names, p_names, bc, pre)
+    return MatchResult(out, "matched", (p_key, o_key), 0, o_names, p_names, bc, pre, lines, matched)
 
 
 def match_fanout(orders: DataFrame, products: DataFrame,
@@ -190,10 +199,10 @@ def match_fanout(orders: DataFrame, products: DataFrame,
     keep = [c for c in K.V1_PRODUCT_COLUMNS if c in products.columns]
     if p_key not in keep:
         raise KeyError(f"fixed-schema match needs product column {p_key}")
-    joined, o_names, p_names, bc = join_catalogue(
+    lines, join, o_names, p_names, bc = join_catalogue(
         orders, products.select([_c(c) for c in keep]), o_key, p_key, False, None,
         max_broadcast_rows, ("_x", "_y"))
-    return MatchResult(joined.drop("__matched"), "matched", (p_key, o_key), 0,
+    return MatchResult(join(lines).drop("__matched"), "matched", (p_key, o_key), 0,
                        o_names, p_names, bc)
 
 

@@ -15,7 +15,11 @@ Physical shape of the keyword run (asserted in ``tests/test_plans.py``)::
 The business dedup partitions by the key *tuple*, so it gets its own exchange
 with the partial group limit under it (a hot business key sends one row per
 map task); the post-join exact dedup is skipped on that path because the
-business dedup subsumes it.
+business dedup subsumes it.  Where the key's columns are all the lines' own it runs before the
+join of job 4: the lines are shuffled without catalogue and computed columns, and only first rows are joined.
+
+With a place in a file per line (``line_order_by``), job 1 saves the lines after the exact dedup, as the sums of the order
+test do not need the place and would read and dedup the files once more.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from ..operators import match as J
 from ..operators import reports as R
 from ..operators.joins import DEFAULT_MAX_BROADCAST_ROWS
 from ..sources.readers import LoadedPair
-from .materialize import Intermediates, materialize
+from .materialize import Intermediates, dropping_shuffles, materialize
 
 
 def business_dedup(df: DataFrame, keys: Sequence[str],
@@ -144,6 +148,13 @@ def _resolve(pairs: list[tuple[str, str]], keywords, override: str | None = None
     return None
 
 
+def _lines_decide(mres: J.MatchResult, keys: Sequence[str]) -> bool:
+    """Whether the business keys are columns of the lines, joined to one catalogue row each, and no heading is that of a
+    computed column (which would take its place)."""
+    names = {*mres.order_names.values(), *mres.product_names.values()}
+    return mres.rejoin is not None and set(keys) <= set(mres.lines.columns) and not names & {*M.COMPUTED, "match_status", "processed_at"}
+
+
 def run_keyword(orders: DataFrame, products: DataFrame,
                 opts: C.CleanOptions | None = None,
                 product_order_by: Sequence[str] | None = None,
@@ -170,10 +181,13 @@ def _run_keyword(folders: Intermediates, orders: DataFrame, products: DataFrame,
     r = dict(roles or {})
     # ordering columns (a row's place in its file, say) play no role
     line_columns = [c for c in orders.columns if c not in (line_order_by or ())]
-    cres = C.clean_keyword(orders, opts, OrderRoles.resolve(line_columns, r.get("orders")),
-                           line_order_by=line_order_by)
-    if cleaned is None:
-        cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
+    save = bool(line_order_by) and materialize_cleaned and cleaned is None
+    with Intermediates(orders.sparkSession, "base"), dropping_shuffles(orders.sparkSession):  # writes alone
+        cres = C.clean_keyword(orders, opts, OrderRoles.resolve(line_columns, r.get("orders")),
+                               line_order_by=line_order_by, share=(lambda df: materialize(df, "base")) if save else None)
+        if cleaned is None:
+            with folders.using():
+                cleaned = materialize(cres.cleaned, "cleaned") if materialize_cleaned else cres.cleaned
     mres = J.match_keyword(cleaned, products, product_order_by, max_broadcast_rows,
                            dedup_after=True, line_order_by=line_order_by, key_pair=key_pair)
     # Roles are resolved on input names, order columns first, then mapped to
@@ -194,11 +208,17 @@ def _run_keyword(folders: Intermediates, orders: DataFrame, products: DataFrame,
     else:
         keys = tuple(k for k in (_resolve(merged, kw) for kw in
                                  (K.KW_ORDER_ID, K.KW_DEDUP_SKU, K.KW_DEDUP_SPEC)) if k)
-    if keys:
+    order_by = [mres.order_names.get(c, c) for c in (line_order_by or [])]
+    if keys and _lines_decide(mres, keys):
+        # the join adds to a line what its code alone decides, so D4 on the lines keeps the same rows: lines
+        # without catalogue and computed columns are shuffled for it, and only those it keeps are joined.
+        fields = {f.name: f for f in mres.lines.schema.fields}
+        first = D.first_per_key(mres.lines, keys, order_by, lambda c: M.filled(fields[c]), M.ties(mres.lines, mroles))
+        processed = M.margin_keyword(mres.rejoin(first), mroles, stamp)
+    elif keys:
         # D4 keeps one row per key; exact copies share the key and are equal,
         # so it subsumes the post-join exact dedup: skip that shuffle here.
         pre = M.margin_keyword(J.without_post_join_dedup(mres), mroles, stamp)
-        order_by = [mres.order_names.get(c, c) for c in (line_order_by or [])]
         processed = business_dedup(pre, keys, order_by)
     else:
         processed = margined

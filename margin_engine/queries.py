@@ -23,7 +23,7 @@ from .operators import preview as PV
 from .operators import reports as R
 from .plans import export as X
 from .plans import workflow as W
-from .plans.materialize import materialize, shared_folder
+from .plans.materialize import Intermediates, dropping_shuffles, materialize, shared_folder
 from .sources import files as S
 from .sources import fixtures as FX
 from .sources.csv_files import DIALECT, read_csv
@@ -356,16 +356,19 @@ def safe_json_nulls(spark, sf):
 
 
 def load_pair_csv(spark, sf):
-    """Both tables written as CSV files (largest rows first), loaded as a pair and run: "first"
+    """Both tables written as CSV files (gzip, largest rows first), loaded as a pair and run: "first"
     rows are the files' first."""
     base = shared_folder(spark, "pair")
 
     def save(df, order, name):
         (df.orderBy(*[F.col(f"`{c}`").desc_nulls_last() for c in order]).drop("seq").write.option("header", True)
-         .option("ignoreLeadingWhiteSpace", False).csv(f"{base}/{name}"))
+         .option("compression", "gzip").option("ignoreLeadingWhiteSpace", False).csv(f"{base}/{name}"))
 
-    save(FX.catalog(spark, sf), ("seq", K.V1_PRODUCT_KEY), "products")
-    save(_lines(spark, sf), FX.ORDER_LINE_COLUMNS, "orders")
+    # The lines are saved between their joins and their sort, which reads its input twice: the files of the
+    # joins' shuffles have gone when those of the sort's come.
+    with Intermediates(spark, "pair-lines"), dropping_shuffles(spark):
+        save(FX.catalog(spark, sf), ("seq", K.V1_PRODUCT_KEY), "products")
+        save(materialize(_lines(spark, sf), "lines"), FX.ORDER_LINE_COLUMNS, "orders")
     pair = load_pair(spark, f"{base}/products", f"{base}/orders", "csv", "csv")
     return W.run_pair(pair, stamp=None).processed
 
