@@ -2,6 +2,7 @@
 
 import os
 import random
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from margin_engine.operators import margin as M
 from margin_engine.operators import match as J
 from margin_engine.plans import workflow as W
 from margin_engine.plans.materialize import Intermediates, dropping_shuffles, materialize
+from margin_engine.streaming.ingest import StreamPaths, current_detail, start_ingest
 
 LINES = "`订单号` string, `商品编码` string, `买家实付` {paid}, `数量` {quantity}, `规格` string, `线上订单状态` string, `备注` int, `重量` double"
 
@@ -87,3 +89,54 @@ def test_keys_of_the_catalogue_and_computed_headings_are_left_to_the_join(spark)
     with W.run_keyword(lines, products, stamp=None, roles={"dedup": {"keys": ["订单号", "成本SKU"]}}) as run:
         assert not W._lines_decide(run.match, run.dedup_keys)
         assert sorted((r["订单号"], r["买家实付"]) for r in run.processed.collect()) == [("O1", 5.0), ("O2", 7.0)]
+
+
+def _paths():
+    base = tempfile.mkdtemp(prefix="me-stream-")
+    return StreamPaths(f"{base}/landing", f"{base}/sink", f"{base}/ckpt")
+
+
+def test_a_batch_touches_the_orders_whose_lines_pass_the_row_tests(spark):
+    schema = "`订单号` string, `商品编码` string, `买家实付` string, `线上订单状态` string"
+    products = spark.createDataFrame([("A", "3")], "`商家编码` string, `成本` string")
+    paths, seen = _paths(), []
+    batches = [[("O0", "A", "5", "关闭")],  # nothing passes: no order, no pair, no detail yet
+               [("O1", "A", "5", "ok"), ("O2", "A", "6", "ok"), ("O3", "A", "1", "关闭")],
+               [("O1", "A", "8", "关闭"), ("O2", "A", "-9", "ok"), ("O3", "A", "4", "ok")],
+               [("O1", "A", "5", "关闭")], [("O2", "A", "10", "ok"), ("O2", "A", "6", "ok")]]
+    for i, rows in enumerate(batches):
+        seen += rows
+        lines = spark.createDataFrame(rows, schema)
+        lines.coalesce(1).write.parquet(f"{paths.landing}/e{i}")
+        q = start_ingest(spark, paths, lines.schema, products, available_now=True, buckets=2)
+        q.awaitTermination(200)
+        assert q.exception() is None
+        if i:
+            run = W.run_keyword(spark.createDataFrame(seen, schema), products, stamp=None)
+            assert _rows(current_detail(spark, paths).select(*run.processed.columns)) == _rows(run.processed)
+            run.close()
+    touched = spark.read.parquet(paths.touched).select("batch_id", "__order").collect()
+    assert sorted(map(tuple, touched)) == [(1, "O1"), (1, "O2"), (2, "O2"), (2, "O3"), (4, "O2")]
+    assert spark.read.parquet(paths.lines).count() == sum(map(len, batches))  # every line is stored all the same
+
+
+def test_key_hits_equal_the_key_search(spark):
+    orders = spark.createDataFrame([("O1", "A", "x"), ("O1", "A", "sa"), ("O1", " A", None), ("O2", "B", "sa"), (None, "A", "sb"), ("O3", "zz", "q")], "o string, a string, b string")
+    products = spark.createDataFrame([("A", "sa"), ("A", "sb"), ("B", None)], "p string, s string")
+    hits = J.key_hits(orders, products, ["p", "s"], ["a", "b"], "o")
+    assert {(r.o, r.p_ix, r.o_ix): r.matched_lines for r in hits.collect()} == {
+        ("O1", 0, 0): 3, ("O1", 1, 1): 1, ("O2", 0, 0): 1, ("O2", 1, 1): 1, (None, 0, 0): 1, (None, 1, 1): 1}
+    whole = J.key_search(orders, products, ["p", "s"], ["a", "b"])
+    assert {(r.p_ix, r.o_ix): r.matched_lines for r in whole.collect() if r.matched_lines} == {(0, 0): 5, (1, 1): 3}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Join"):plan.index("Aggregate [p_ix", plan.index("Join"))]  # the lines are not grouped before it
+
+
+def test_the_exports_come_from_one_run_of_the_joins(spark, monkeypatch):
+    sent = []
+    real = Q.move_folder
+    monkeypatch.setattr(Q, "move_folder", lambda s, a, b: (sent.append(os.path.basename(b)), real(s, a, b)))
+    df = Q.stream_ingest(spark, "/root/testdata/sf0.001")
+    assert sent == ["export_0", "export_1"]
+    want = W.run_keyword(Q._lines(spark, "/root/testdata/sf0.001"), Q._products(spark, "/root/testdata/sf0.001"), product_order_by=["seq"], stamp=None)
+    assert _rows(df.select(*want.processed.columns)) == _rows(want.processed)
